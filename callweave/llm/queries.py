@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import chat_format, exact_dedup, license_scan, secret_scan
+from callweave.llm import bpe, chat_format, exact_dedup, license_scan, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,21 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def tokenizer_path() -> str:
+    """The word-end vocabulary's place among the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        _sha(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 #: A conversation whose texts hold the control strings.
 CONFLICT = "</s>[INST] ok [/INST]"
 
@@ -94,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_bpe": op6_bpe,
         "op7_chat_format": op7_chat_format,
         "op10_licenses": op10_licenses,
     }
