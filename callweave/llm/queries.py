@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, chat_format, exact_dedup, html_extract, license_scan, secret_scan
+from callweave.llm import bpe, chat_format, exact_dedup, html_extract, lang_id, license_scan, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,12 @@ FROM whole
 """
 
 
+def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = lang_id.train(lang_id.training_texts(docs))
+    return lang_id.label(docs, model).select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda p: p["start"])
@@ -117,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
         "op7_chat_format": op7_chat_format,
+        "op9_lang_id": op9_lang_id,
         "op10_licenses": op10_licenses,
     }
 
