@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, chat_format, exact_dedup, html_extract, lang_id, license_scan, secret_scan
+from callweave.llm import bpe, chat_format, decontaminate, exact_dedup, html_extract, lang_id, license_scan, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,26 @@ FROM whole
 """
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = """
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+  SELECT side, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  FROM texts
+), grams AS (
+  SELECT DISTINCT side, id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g
+  FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT id, count(*) AS n_item FROM grams WHERE side = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM grams d JOIN grams b ON d.g = b.g AND d.side = 'd' AND b.side = 'b' JOIN sizes ON sizes.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.75 * any_value(n_item)
+"""
+
+
 def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = lang_id.train(lang_id.training_texts(docs))
@@ -123,10 +143,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
         "op7_chat_format": op7_chat_format,
+        "op8_decontaminate": op8_decontaminate,
         "op9_lang_id": op9_lang_id,
         "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op7_chat_format": OP7_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
