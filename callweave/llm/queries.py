@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, secret_scan
+from callweave.llm import bpe, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, line_dedup, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = line_dedup.dedup_lines(docs)
+    return rows.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), _sha(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = html_extract.extract(_read(spark, sf_dir, "pages"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -144,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_line_dedup": op3_line_dedup,
         "op4_html": op4_html,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_bpe": op6_bpe,
