@@ -10,14 +10,20 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import struct
 from collections.abc import Iterator
 
-import pandas as pd
-import regex
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Distinct words whose encodings a task keeps.
 CACHE_WORDS = 300_000
+#: Texts of characters under it: nothing composes or moves, and lower case is the same in any Unicode version.
+PLAIN = 0x300
+#: Entries of each table of results that a task keeps.
+MEMO = 1_000_000
 #: Rows that a task holds decoded at once.
 ROWS = 256
 
@@ -29,28 +35,31 @@ def byte_symbols() -> list[str]:
     return [chr(other.get(b, b)) for b in range(256)]
 
 
-def unicode_ranges() -> dict[str, str]:
-    """The library's own letters, numbers and white space as regex ranges; the regex module has another Unicode version."""
+def unicode_ranges() -> dict[str, list[tuple[int, int]]]:
+    """First and last of the library's own letters, numbers and white space; Python has another Unicode version."""
     from tokenizers import Regex, pre_tokenizers
 
     chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     ranges = {}
     for name in (r"\p{L}", r"\p{N}", r"\s"):
         found = sorted(ord(x) for x, _ in pre_tokenizers.Split(Regex(name), "removed", invert=True).pre_tokenize_str(chars))
-        runs: list[list[int]] = []
-        for c in found:
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-        ranges[name] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+        breaks = [k for k in range(1, len(found)) if found[k] != found[k - 1] + 1]
+        ranges[name] = [(found[a], found[b - 1]) for a, b in zip([0, *breaks], [*breaks, len(found)], strict=True)]
     return ranges
 
 
+def spelled_out(pattern: str, ranges: dict[str, list[tuple[int, int]]], below: int) -> str:
+    """The pattern with its classes as ranges, for texts of characters under ``below``."""
+    for name, pairs in ranges.items():
+        inner = "".join(f"\\U{a:08x}-\\U{min(b, below - 1):08x}" for a, b in pairs if a < below)
+        pattern = pattern.replace(f"[{name}]", f"[{inner}]").replace(name, inner)
+    return pattern
+
+
 class WordBpe:
     """A tokenizer file with NFC and lower case, a removing split, byte symbols and a word-end mark."""
 
-    def __init__(self, file: str, ranges: dict[str, str]):
+    def __init__(self, file: str, ranges: dict[str, list[tuple[int, int]]]):
         from tokenizers import normalizers
 
         spec = json.loads(file)
@@ -60,12 +69,11 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        for name, inner in ranges.items():
-            pattern = pattern.replace(name, inner)
-        self.split = regex.compile(pattern.replace("[[", "[").replace("]]", "]"))
-        self.plain = regex.compile(r"[\0-\u02ff]*")
+        self.split = re.compile(spelled_out(pattern, ranges, 0x110000))
+        self.split_plain = re.compile(spelled_out(pattern, ranges, PLAIN))
+        self.plain = re.compile(f"[\\0-\\u{PLAIN - 1:04x}]*")
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.at_special = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.at_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.to_symbols = {b: s for b, s in enumerate(byte_symbols())}
         self.parts: dict[int, tuple[int, int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
@@ -77,12 +85,63 @@ class WordBpe:
                 raise ValueError("each token comes from one merge, of tokens that come before it")
             self.parts[whole] = (left, right, rank)
         self.spines: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.met: dict[int, int] = {}
         # a token that its own symbols don't merge to never ends an encoding
         self.dead = {t for t, (a, b, _) in self.parts.items() if not self.compatible_until(a, b, self.merge[a, b])}
-        self.alive = {s: i for s, i in self.vocab.items() if i not in self.dead}
-        self.longest = max(map(len, self.alive), default=1)
-        self.words: dict[str, tuple[str, list[int]]] = {}
+        self.build_automaton()
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
+
+    def build_automaton(self) -> None:
+        """States are prefixes of tokens, over bytes (a word's last byte plus 256); each knows the tokens that end there.
+
+        ``ends[state]``: (token, bytes) of its suffixes that are tokens, longest first. Moves are filled in as met.
+        """
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        self.moves: list[dict[int, int]] = [{}]
+        own: list[int | None] = [None]
+        self.bytes: dict[int, int] = {}
+        for text, token in self.vocab.items():
+            if token in self.dead:
+                continue
+            last = bool(self.end) and text.endswith(self.end)
+            codes = [byte[c] for c in (text[: -len(self.end)] if last else text)]
+            if last:
+                codes[-1] += 256
+            self.bytes[token] = len(codes)
+            at = 0
+            for c in codes:
+                nxt = self.moves[at].get(c)
+                if nxt is None:
+                    nxt = self.moves[at][c] = len(self.moves)
+                    self.moves.append({})
+                    own.append(None)
+                at = nxt
+            own[at] = token
+        self.fail = [0] * len(self.moves)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.moves)
+        level = [0]
+        while level:
+            below = []
+            for at in level:
+                for c, nxt in list(self.moves[at].items()):
+                    f = self.fail[at]
+                    while f and c not in self.moves[f]:
+                        f = self.fail[f]
+                    self.fail[nxt] = self.moves[f].get(c, 0) if at else 0
+                    token = own[nxt]
+                    self.ends[nxt] = (((token, self.bytes[token]),) if token is not None else ()) + self.ends[self.fail[nxt]]
+                    below.append(nxt)
+            level = below
+
+    def move(self, at: int, c: int) -> int:
+        f = at
+        while f and c not in self.moves[f]:
+            f = self.fail[f]
+        nxt = self.moves[f].get(c, 0)
+        self.met[at * 512 + c] = nxt
+        return nxt
 
     def rank(self, token: int) -> int:
         return self.parts[token][2] if token in self.parts else -1
@@ -112,84 +171,92 @@ class WordBpe:
                     return False
         return True
 
-    def compatible(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.compatible_until(a, b, math.inf)
-        return found
-
-    def last_token(self, prefix: str, at: int, states: list[int], mark: str) -> int:
-        """The token that ends the encoding of prefix[:at], given the states of all shorter prefixes."""
-        alive = self.alive
-        for start in range(max(0, at - self.longest), at):
-            t = alive.get(prefix[start:at] + mark)
-            if t is not None and (start == 0 or self.compatible(states[start], t)):
-                return t
-        raise ValueError("the vocabulary lacks a symbol")
-
     def encode_words(self, words: set[str]) -> None:
-        """Encodings of new words, by one traversal of their trie."""
+        """Encodings of new words, by one traversal of their trie; a node's place in the automaton goes along."""
         root: dict = {}
         for w in words:
             node = root
-            for c in "".join(map(self.to_symbols.__getitem__, w.encode("utf-8"))):
-                node = node.setdefault(c, {})
-            node[""] = w
-        states, prefix = [-1], []
-        todo: list = [(root, 0, "")]
+            raw = w.encode("utf-8")
+            for c in raw[:-1]:
+                nxt = node.get(c)
+                if nxt is None:
+                    nxt = node[c] = {}
+                node = nxt
+            node[raw[-1] + 256] = w
+        met, ends, pairs, size = self.met, self.ends, self.pairs, self.bytes
+        states = [-1]
+        todo: list = [(root, 0, 0)]
         while todo:
-            node, depth, c = todo.pop()
-            del states[depth or 1 :], prefix[max(0, depth - 1) :]
+            node, depth, at = todo.pop()
+            del states[max(depth, 1) :]
             if depth:
-                prefix.append(c)
-                text = "".join(prefix)
-                word = node.get("")
-                if word is not None:
-                    self.words[word] = self.path(text, states)
-                if len(node) > (word is not None):
-                    states.append(self.last_token(text, depth, states, ""))
-            for k, child in node.items():
-                if k:
-                    todo.append((child, depth + 1, k))
-
-    def path(self, text: str, states: list[int]) -> tuple[str, list[int]]:
-        at = len(text)
-        out = [self.last_token(text, at, states, self.end)]
-        at -= len(self.tokens[out[0]]) - len(self.end)
-        while at:
-            out.append(states[at])
-            at -= len(self.tokens[states[at]])
-        out.reverse()
-        return " ".join(self.tokens[i] for i in out), out
+                states.append(self.last_token(ends[at], depth, states))
+            below = depth + 1
+            for c, child in node.items():
+                nxt = met.get(at * 512 + c)
+                if nxt is None:
+                    nxt = self.move(at, c)
+                if c < 256:
+                    todo.append((child, below, nxt))
+                    continue
+                last = self.last_token(ends[nxt], below, states)
+                out, k = [last], below - size[last]
+                while k:
+                    t = states[k]
+                    out.append(t)
+                    k -= size[t]
+                out.reverse()
+                self.ids[child] = struct.pack(f"<{len(out)}i", *out)
+                self.decoded[child] = " ".join([self.tokens[i] for i in out])
+        if len(pairs) > MEMO:
+            pairs.clear()
+        if len(met) > MEMO:
+            met.clear()
+
+    def last_token(self, ends: tuple[tuple[int, int], ...], depth: int, states: list[int]) -> int:
+        """The token that ends the encoding of a prefix of ``depth`` bytes, given the states of all shorter prefixes."""
+        pairs = self.pairs
+        for t, n in ends:
+            if n == depth:
+                return t
+            key = states[depth - n] << 32 | t
+            ok = pairs.get(key)
+            if ok is None:
+                ok = pairs[key] = self.compatible_until(states[depth - n], t, math.inf)
+            if ok:
+                return t
+        raise ValueError("the vocabulary lacks a symbol")
 
     def pieces(self, text: str) -> list[str]:
         """Words of the normalised text; special tokens, found in the text as it is, stand in between as they are."""
         if self.at_special is None or not self.at_special.search(text):
             return self.normal(text)
         out: list[str] = []
-        for part in self.at_special.splititer(text):
+        for part in self.at_special.split(text):
             if part:
                 out += [f"\0{part}"] if part in self.special else self.normal(part)
         return out
 
     def normal(self, text: str) -> list[str]:
-        # up to there nothing composes or moves, and lower case is the same in any Unicode version
-        return self.split.findall(text.lower() if self.plain.fullmatch(text) else self.normalizer.normalize_str(text))
+        if self.plain.fullmatch(text):
+            return self.split_plain.findall(text.lower())
+        return self.split.findall(self.normalizer.normalize_str(text))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """Ids of each text, and the text that decoding them gives: the tokens, joined by spaces."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        """Ids of each text as little-endian int32, and the text that decoding them gives: the tokens, joined by spaces."""
         lists = [self.pieces(t) for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        fresh = set().union(*lists).difference(self.words) if lists else set()
-        marked = {w for w in fresh if w[0] == "\0" and w[1:] in self.special}
-        self.words.update({w: (w[1:], [self.special[w[1:]]]) for w in marked})
-        self.encode_words(fresh - marked)
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+            self.decoded.clear()
+        fresh: set[str] = set()
+        for words in lists:
+            fresh.update(set(words).difference(self.ids))
+        for w in [w for w in fresh if w[0] == "\0" and w[1:] in self.special]:
+            fresh.remove(w)
+            self.ids[w], self.decoded[w] = struct.pack("<i", self.special[w[1:]]), w[1:]
+        self.encode_words(fresh)
         for words in lists:
-            found = [self.words[w] for w in words]
-            yield [i for _, ids in found for i in ids], " ".join([t for t, _ in found])
+            yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids)
@@ -208,17 +275,19 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     with open(tokenizer_path, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast((f.read(), unicode_ranges()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, ranges = file.value
         bpe = _LOADED.get(hash(text))
         if bpe is None:
             bpe = _LOADED[hash(text)] = WordBpe(text, ranges)
         for b in batches:
-            for at in range(0, len(b), ROWS):
-                part = b.iloc[at : at + ROWS]
-                found = list(bpe.encode([x or "" for x in part["text"]]))
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": [x for x, _ in found], "decoded": [x for _, x in found]})
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                found = list(bpe.encode([x or "" for x in part.column(1).to_pylist()]))
+                ends = np.cumsum([0] + [len(x) // 4 for x, _ in found], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x for x, _ in found), np.int32)))
+                yield pa.record_batch([part.column(0), ids, pa.array([x for _, x in found], pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
