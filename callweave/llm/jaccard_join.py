@@ -7,7 +7,8 @@ before the sets themselves are intersected.
 
 Groups are as large as they like: a token that many documents share first brings each of them together with one of
 them; once the verified links have been followed, only those of the token's documents that are not yet connected are
-compared with one another. So no pair of different texts is left out, and no group is expanded into its pairs.
+compared with one another. So no pair of different texts is left out, and no group is expanded into its pairs. Before
+texts are moved, sketches of the sets bound how much they differ, and pairs that differ too much go.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm import scratch, shingles
@@ -29,6 +30,8 @@ FREQUENT = 1 << 17
 COUNTED, LOCALLY, LEAST = 4_000_000, 3, 12
 #: Documents of a token that are all compared at once; more are compared with the first, and the rest later.
 SMALL = 8
+#: Longs of a parity sketch, and of the larger one that sets of more shingles have bits have besides.
+SKETCH = 16
 #: Orders in all.
 ORDERS = 3
 #: Documents whose ids are broadcast at most to pick the texts that verification reads.
@@ -98,8 +101,24 @@ def in_prefix(s: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
     return s[np.argsort(key)]
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the hashes: whether an odd number of the set's shingles has it.
+
+    Two sets differ in at least as many shingles as their sketches in bits. There are at least as many bits as shingles.
+    """
+    bits = max(64 * SKETCH, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+    ends = np.cumsum([0] + [0 if r is None else len(r) for r in rows], dtype=np.int32)
+    found = [r for r in rows if r is not None]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+
+
 def _summarise(frequent, percent: int):
-    """doc_id, n, same (an earlier row's doc_id with the same set), prefix; the prefix only where there is no such row."""
+    """doc_id, n, same (an earlier row's doc_id with the same set), prefix and sketches, empty where there is such a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, classes = frequent.value
@@ -107,21 +126,45 @@ def _summarise(frequent, percent: int):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 ids = b.column(0).slice(at, 1024).to_pylist()
-                sizes, same, prefixes = [], [], []
+                sizes, same, prefixes, small, large = [], [], [], [], []
                 for doc_id, s in zip(ids, shingles.sets(b.column(1).slice(at, 1024).to_pylist()), strict=True):
                     sizes.append(len(s))
                     mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and doc_id is not None else None
                     earlier = seen.setdefault(mark, doc_id) if mark else None
                     same.append(earlier if earlier != doc_id else None)
-                    prefixes.append(in_prefix(s, first_order(s, tokens, classes), prefix_size(len(s), percent)).view(np.int64) if mark and earlier == doc_id else None)
-                flat = [p for p in prefixes if p is not None]
-                offsets = np.concatenate([[0], np.cumsum([0 if p is None else len(p) for p in prefixes])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(same, pa.int64()), lists], ["doc_id", "n", "same", "prefix"])
+                    own = mark and earlier == doc_id
+                    prefixes.append(in_prefix(s, first_order(s, tokens, classes), prefix_size(len(s), percent)).view(np.int64) if own else None)
+                    sketch = parity(s) if own else None
+                    small.append(None if sketch is None else np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH)))
+                    large.append(None if sketch is None or len(sketch) == SKETCH else sketch)
+                columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(same, pa.int64()), _lists(prefixes), _lists(small), _lists(large)]
+                yield pa.record_batch(columns, SUMMARY_NAMES)
 
     return run
 
 
+SUMMARY = "doc_id long, n int, same long, prefix array<long>, small array<long>, large array<long>"
+SUMMARY_NAMES = ["doc_id", "n", "same", "prefix", "small", "large"]
+
+
+def sketches_allow(a: str, b: str, percent: int) -> Column:
+    """Whether two sets may be similar as far as their sizes and sketches tell; columns n, small, large with suffixes."""
+    total = F.col(f"n_{a}") + F.col(f"n_{b}")
+    bits = sum((F.bit_count(F.get(f"small_{a}", F.lit(k)).bitwiseXOR(F.get(f"small_{b}", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    more = F.zip_with(f"large_{a}", f"large_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    fine = F.aggregate(more, F.lit(0), lambda acc, x: acc + x)
+    sizes = 100 * F.least(f"n_{a}", f"n_{b}") >= percent * F.greatest(f"n_{a}", f"n_{b}")
+    within = lambda d: (100 + percent) * d <= (100 - percent) * total
+    return sizes & within(bits) & ((F.size(f"large_{a}") != F.size(f"large_{b}")) | (F.size(f"large_{a}") == 0) | within(fine))
+
+
+def plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches allow it."""
+    own = rows.where("same is null").select("doc_id", F.col("n").cast("long").alias("n"), "small", "large")
+    a, b = (own.select(*[F.col(c).alias(s if c == "doc_id" else f"{c}_{s}") for c in own.columns]) for s in "ab")
+    return pairs.join(a, "a").join(b, "b").where(sketches_allow("a", "b", percent)).select("a", "b")
+
+
 # -- candidates
 
 
@@ -228,13 +271,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(base))
-    rows = scratch.table(base.mapInArrow(_summarise(frequent, percent), "doc_id long, n int, same long, prefix array<long>"), "sets")
-    at = rows.where("prefix is not null").select("doc_id", F.col("n").cast("long").alias("n"), "prefix", F.posexplode("prefix").alias("pos", "token"))
+    rows = scratch.table(base.mapInArrow(_summarise(frequent, percent), SUMMARY), "sets")
+    at = rows.where("size(prefix) > 0").select("doc_id", F.col("n").cast("long").alias("n"), "prefix", F.posexplode("prefix").alias("pos", "token"))
     before = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.xxhash64(F.get("prefix", F.col("pos") - 1)).bitwiseAND(F.lit(0xFFFFFFFF)) + 1)
     tokens = at.select("token", "doc_id", "n", before.alias("before"))
     spread = tokens.repartition(F.col("token")).sortWithinPartitions("token", "doc_id")
     met = scratch.table(spread.mapInArrow(_pairs_of_tokens(percent), "token long, a long, b long, n long, before long"), "met")
-    pairs = scratch.table(met.where("token is null").select("a", "b").distinct(), "pairs")
+    pairs = scratch.table(plausible(met.where("token is null").select("a", "b").distinct(), rows, percent), "pairs")
     base_ok = base.where("doc_id is not null")
     same = rows.where("same is not null").select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
     links = scratch.table(verified(pairs, base_ok, percent).unionAll(same), "links")
@@ -243,11 +286,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     crowd = met.where("token is not null").select("token", F.col("a").alias("doc"), "n", "before")
     crowd = crowd.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = crowd.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    crowd = scratch.table(crowd.join(mixed, "token", "left_semi"), "crowd")
+    own = rows.where("same is null").select(F.col("doc_id").alias("doc"), "small", "large")
+    crowd = scratch.table(crowd.join(mixed, "token", "left_semi").join(own, "doc"), "crowd")
     if not crowd.isEmpty():
         a, b = (crowd.select(*[F.col(c).alias(c if c == "token" else f"{c}_{s}") for c in crowd.columns]) for s in "ab")
         apart = (F.col("component_a") != F.col("component_b")) & (F.col("doc_a") < F.col("doc_b"))
-        fits = ((F.col("before_a") != F.col("before_b")) | (F.col("before_a") == 0)) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        fits = ((F.col("before_a") != F.col("before_b")) | (F.col("before_a") == 0)) & sketches_allow("a", "b", percent)
         more = a.join(b, (a["token"] == b["token"]) & apart & fits).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
         more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():

@@ -262,21 +262,25 @@ def label(docs: DataFrame, model: CrfModel | None) -> DataFrame:
     the first in order is taken. Only the text is looked at, all of it. Repeated rows give repeated results; other
     columns are ignored; an empty table gives an empty result. What is sent around is the model, whose size is fixed.
     """
+    return label_rows(docs.select("doc_id", "text"), model).select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def label_rows(docs: DataFrame, model: CrfModel | None) -> DataFrame:
+    """All columns of ``docs``, and __lang and __score as ``label`` has them."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang string, score double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
         labeller = Labeller(m) if m else None
-        for b in batches:
-            for at in range(0, len(b), 2048):
-                part = b.iloc[at : at + 2048]
-                means = labeller(list(part["text"])) if labeller else [None] * len(part)
-                best = [None if x is None else int(x.argmax()) for x in means]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].array,
-                    "lang_pred": [UNDETERMINED if k is None else m.labels[k] for k in best],
-                    "score": [0.0 if k is None else min(1.0, float(x[k])) for k, x in zip(best, means, strict=True)],
-                })
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), 2048):
+                part = list(texts.iloc[at : at + 2048])
+                for x in labeller(part) if labeller else [None] * len(part):
+                    k = None if x is None else int(x.argmax())
+                    out.append((UNDETERMINED, 0.0) if k is None else (m.labels[k], min(1.0, float(x[k]))))
+            yield pd.DataFrame(out, columns=["lang", "score"])
+
+    rows = docs.withColumn("__judged", judge(docs["text"].cast("string")))
+    return rows.select(*docs.columns, F.col("__judged.lang").alias("__lang"), F.col("__judged.score").alias("__score"))

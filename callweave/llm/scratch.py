@@ -24,12 +24,13 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back; ``keep``: not to be deleted by ``release``."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if not keep:
+        _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
