@@ -35,7 +35,6 @@ class Partition:
 
 @dataclass(frozen=True)
 class Index:
-    ids: list
     sets: list[np.ndarray]
     partitions: list[Partition]
     rare: np.ndarray  # sorted shingles that are a minimum of some item
@@ -50,7 +49,7 @@ def functions_for(size: int, containment: float, miss: float) -> int:
     return max(8, math.ceil(math.log(miss) / math.log(1 - jaccard)))
 
 
-def build_index(ids: list, texts: list[str | None], containment: float, miss: float = MISS) -> Index:
+def build_index(texts: list[str | None], containment: float, miss: float = MISS) -> Index:
     found = list(shingles.sets(texts))
     by_size: dict[int, list[int]] = {}
     for k, s in enumerate(found):
@@ -65,7 +64,7 @@ def build_index(ids: list, texts: list[str | None], containment: float, miss: fl
     rare = np.unique(np.concatenate([p.minima.ravel() for p in parts])) if parts else np.empty(0, np.uint64)
     sieve = np.zeros(1 << 20, bool)
     sieve[(rare >> np.uint64(44)).astype(np.int64)] = True
-    return Index(ids, found, parts, rare, sieve)
+    return Index(found, parts, rare, sieve)
 
 
 def candidates(h: np.ndarray, at: np.ndarray, p: Partition) -> set[int]:
@@ -117,16 +116,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.75, blo
     """
     spark = docs.sparkSession
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    # ids go through Python as strings: a column of longs with a null in it would become floats there
+    rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), docs["text"].cast("string").alias("text"))
     own = items.select("item_id", items["text"].cast("string").alias("text"))
     n = own.count()
     parts = [own] if n <= block else [own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-n // block))) == k) for k in range(-(-n // block))]
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, n_shared long, n_item long, containment double"
-    out = spark.createDataFrame([], schema)
+    schema = "doc_id string, item long, n_shared long, n_item long, containment double"
+    out = spark.createDataFrame([], f"doc_id {doc_kind}, item_id {item_kind}, n_shared long, n_item long, containment double")
     for part in parts:
         chosen = part.orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(build_index([r["item_id"] for r in chosen], [r["text"] for r in chosen], containment))
-        out = out.unionAll(rows.mapInPandas(_searcher(sent, containment), schema))
+        sent = spark.sparkContext.broadcast(build_index([r["text"] for r in chosen], containment))
+        names = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(chosen)], f"item long, item_id {item_kind}")
+        found = rows.mapInPandas(_searcher(sent, containment), schema).join(F.broadcast(names), "item")
+        out = out.unionAll(found.select(F.col("doc_id").cast(doc_kind).alias("doc_id"), "item_id", "n_shared", "n_item", "containment"))
     return out
 
 
@@ -138,8 +140,8 @@ def _searcher(sent, containment: float):
             for doc_id, h in zip(b["doc_id"], shingles.ordered(list(b["text"])), strict=True):
                 for k, shared in search(h, index, containment) if len(h) else ():
                     n = len(index.sets[k])
-                    hits.append((None if pd.isna(doc_id) else int(doc_id) if isinstance(doc_id, float) else doc_id, index.ids[k], shared, n, shared / n))
-            yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_shared", "n_item", "containment"]).astype({"doc_id": "Int64"} if b["doc_id"].dtype.kind in "if" else {})
+                    hits.append((doc_id, k, shared, n, shared / n))
+            yield pd.DataFrame(hits, columns=["doc_id", "item", "n_shared", "n_item", "containment"])
 
     return run
 

@@ -210,5 +210,7 @@ def extract(pages: DataFrame, sigma: float = 1.0, share: float = 0.9) -> DataFra
                 yield pd.DataFrame({"page_id": part["page_id"].array, "url": part["url"].array, "text": [main_text(x, sigma, share) for x in part["html"]]})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    return rows.mapInPandas(run, f"page_id {kind}, url string, text string")
+    # ids go through Python as strings: a column of longs with a null in it would become floats there
+    rows = pages.select(pages["page_id"].cast("string").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
+    found = rows.mapInPandas(run, "page_id string, url string, text string")
+    return found.withColumn("page_id", found["page_id"].cast(kind))
