@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.columns import callee_namespace, owner_of, path_matches_hint, simple_name
+from callweave.plans.cut import cut
 
 EXACT, RECEIVER, PACKAGE, NAMESPACE, SAME_FILE, NAME_ONLY = 5, 4, 3, 2, 1, 0
 #: What decides a call.
@@ -124,9 +125,12 @@ STAGES = {
 
 
 def resolve(calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The calls, each with targets: array<struct<id, kind>>, empty if unresolved, and stage."""
-    syms = symbols(nodes)
-    keyed = call_keys(calls, syms)
+    """The calls, each with targets: array<struct<id, kind>>, empty if unresolved, and stage.
+
+    Symbols and calls are read by every stage, so they are written once.
+    """
+    syms = cut(symbols(nodes))
+    keyed = cut(call_keys(calls, syms))
     keys = keyed.select(*KEY).distinct()
     decided = keys
     for name, stage in STAGES.items():

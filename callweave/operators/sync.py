@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.columns import simple_name
 from callweave.operators.resolve import edges_of, resolve, unresolved_of
+from callweave.plans.cut import cut
 
 
 def pruned(indexed: DataFrame, on_disk: DataFrame) -> DataFrame:
@@ -35,21 +36,23 @@ def apply_changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) ->
     gone = pruned(before["files"], after["files"]).select("file_path")
     new_files = modified(before["files"], after["files"])
     changed = gone.union(new_files.select("file_path")).distinct()
+    changed = cut(changed)
     old_nodes = before["nodes"].join(changed, "file_path", "left_semi")
     new_nodes = after["nodes"].join(new_files.select("file_path"), "file_path", "left_semi")
     touched = old_nodes.select("id", "name").union(new_nodes.select("id", "name"))
+    touched = cut(touched)
     names = touched.select(F.col("name").alias("simple")).distinct()
     files = replaced(before["files"], changed, new_files)
-    nodes = replaced(before["nodes"], changed, new_nodes)
+    nodes = cut(replaced(before["nodes"], changed, new_nodes))
     old_ids = old_nodes.select(F.col("id").alias("caller_id"))
     new_ids = new_nodes.select(F.col("id").alias("caller_id"))
-    calls = replaced(before["raw_calls"], old_ids, after["raw_calls"].join(new_ids, "caller_id", "left_semi"), "caller_id")
+    calls = cut(replaced(before["raw_calls"], old_ids, after["raw_calls"].join(new_ids, "caller_id", "left_semi"), "caller_id"))
     by_name = calls.withColumn("simple", F.coalesce("callee_simple", simple_name(F.col("callee_name")))).join(names, "simple", "left_semi").select("caller_id")
     refs = before["unresolved_refs"].withColumn("simple", simple_name(F.col("specifier"))).join(names, "simple", "left_semi").select(F.col("source_id").alias("caller_id"))
-    affected = touched.select(F.col("id").alias("caller_id")).union(by_name).union(refs).distinct()
+    affected = cut(touched.select(F.col("id").alias("caller_id")).union(by_name).union(refs).distinct())
     sources = affected.select(F.col("caller_id").alias("source_id"))
-    again = calls.join(affected, "caller_id", "left_semi").dropDuplicates(["caller_id", "callee_name", "line", "column"])
-    found = resolve(again, nodes)
+    again = calls.join(affected, "caller_id", "left_semi").distinct()
+    found = cut(resolve(again, nodes))
     ids = nodes.select("id")
     edges = before["edges"].join(sources, "source_id", "left_anti").unionByName(edges_of(found))
     edges = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
