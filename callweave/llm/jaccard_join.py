@@ -27,11 +27,13 @@ from callweave.llm.components import components
 #: Shingles whose frequency the first order knows; all others come before them. The order decides about speed alone.
 FREQUENT = 1 << 17
 #: Shingles counted at a time, times within these, and documents in all from which one is frequent.
-COUNTED, LOCALLY, LEAST = 4_000_000, 3, 12
+COUNTED, LOCALLY, LEAST = 2_000_000, 3, 12
 #: Documents of a token that are all compared at once; more are compared with the first, and the rest later.
 SMALL = 8
 #: Longs of a parity sketch, and of the larger one that sets of more shingles have bits have besides.
 SKETCH = 16
+#: Pairs of texts that a worker is given at once.
+BATCH = 256
 #: Orders in all.
 ORDERS = 3
 #: Documents whose ids are broadcast at most to pick the texts that verification reads.
@@ -104,9 +106,9 @@ def in_prefix(s: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
 def parity(s: np.ndarray) -> np.ndarray:
     """A bit for each residue of the hashes: whether an odd number of the set's shingles has it.
 
-    Two sets differ in at least as many shingles as their sketches in bits. There are at least as many bits as shingles.
+    Two sets differ in at least as many shingles as their sketches in bits. There are at least twice as many bits as shingles.
     """
-    bits = max(64 * SKETCH, 1 << max(0, len(s) - 1).bit_length())
+    bits = max(64 * SKETCH, 1 << max(0, 2 * len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
@@ -147,22 +149,30 @@ SUMMARY = "doc_id long, n int, same long, prefix array<long>, small array<long>,
 SUMMARY_NAMES = ["doc_id", "n", "same", "prefix", "small", "large"]
 
 
-def sketches_allow(a: str, b: str, percent: int) -> Column:
-    """Whether two sets may be similar as far as their sizes and sketches tell; columns n, small, large with suffixes."""
-    total = F.col(f"n_{a}") + F.col(f"n_{b}")
+def small_allow(a: str, b: str, percent: int) -> Column:
+    """Whether two sets may be similar as far as their sizes and small sketches tell; columns n, small with suffixes."""
     bits = sum((F.bit_count(F.get(f"small_{a}", F.lit(k)).bitwiseXOR(F.get(f"small_{b}", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
-    more = F.zip_with(f"large_{a}", f"large_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    fine = F.aggregate(more, F.lit(0), lambda acc, x: acc + x)
     sizes = 100 * F.least(f"n_{a}", f"n_{b}") >= percent * F.greatest(f"n_{a}", f"n_{b}")
-    within = lambda d: (100 + percent) * d <= (100 - percent) * total
-    return sizes & within(bits) & ((F.size(f"large_{a}") != F.size(f"large_{b}")) | (F.size(f"large_{a}") == 0) | within(fine))
+    return sizes & ((100 + percent) * bits <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}")))
+
+
+def large_allow(a: str, b: str, percent: int) -> Column:
+    """The same of the large sketches; true where a set has none."""
+    # of a larger sketch the halves are laid over each other
+    laid = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    both = F.zip_with(laid(f"large_{a}", f"large_{b}"), laid(f"large_{b}", f"large_{a}"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.aggregate(both, F.lit(0), lambda acc, x: acc + x)
+    fits = (100 + percent) * bits <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+    return (F.size(f"large_{a}") == 0) | (F.size(f"large_{b}") == 0) | fits
 
 
 def plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sketches allow it."""
-    own = rows.where("same is null").select("doc_id", F.col("n").cast("long").alias("n"), "small", "large")
-    a, b = (own.select(*[F.col(c).alias(s if c == "doc_id" else f"{c}_{s}") for c in own.columns]) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").where(sketches_allow("a", "b", percent)).select("a", "b")
+    """Those of ``pairs`` (a, b) whose sketches allow it; the large ones are looked at where the small ones do."""
+    own = rows.where("same is null").withColumn("n", F.col("n").cast("long"))
+    for column, allow in (("small", small_allow), ("large", large_allow)):
+        a, b = (own.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col(column).alias(f"{column}_{s}")) for s in "ab")
+        pairs = pairs.join(a, "a").join(b, "b").where(allow("a", "b", percent)).select("a", "b")
+    return pairs
 
 
 # -- candidates
@@ -251,15 +261,16 @@ def _verify(percent: int):
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar. Only texts that a pair names are moved."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = scratch.table(ids, "candidates")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left, right = (_texts(pairs.select(F.col(c).alias("doc_id")).distinct(), docs).select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    ids = scratch.table(ids, "candidates")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -280,7 +291,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = scratch.table(plausible(met.where("token is null").select("a", "b").distinct(), rows, percent), "pairs")
     base_ok = base.where("doc_id is not null")
     same = rows.where("same is not null").select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
-    links = scratch.table(verified(pairs, base_ok, percent).unionAll(same), "links")
+    with scratch.short_batches(spark, BATCH):
+        links = scratch.table(verified(pairs, base_ok, percent).unionAll(same), "links")
     groups = components(links)
     # documents of large tokens that are in different components so far
     crowd = met.where("token is not null").select("token", F.col("a").alias("doc"), "n", "before")
@@ -291,11 +303,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not crowd.isEmpty():
         a, b = (crowd.select(*[F.col(c).alias(c if c == "token" else f"{c}_{s}") for c in crowd.columns]) for s in "ab")
         apart = (F.col("component_a") != F.col("component_b")) & (F.col("doc_a") < F.col("doc_b"))
-        fits = ((F.col("before_a") != F.col("before_b")) | (F.col("before_a") == 0)) & sketches_allow("a", "b", percent)
+        fits = ((F.col("before_a") != F.col("before_b")) | (F.col("before_a") == 0)) & small_allow("a", "b", percent) & large_allow("a", "b", percent)
         more = a.join(b, (a["token"] == b["token"]) & apart & fits).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
         more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
-            found = scratch.table(verified(more, base_ok, percent), "more-links")
+            with scratch.short_batches(spark, BATCH):
+                found = scratch.table(verified(more, base_ok, percent), "more-links")
             if not found.isEmpty():
                 groups = components(links.unionAll(found))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")

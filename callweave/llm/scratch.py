@@ -7,8 +7,10 @@ executors, because every machine sees the folder.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,18 @@ def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, Python workers are given ``rows`` rows at a time; for tables with several long texts in a row."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far. Only for callers whose results are already written elsewhere."""
     while _WRITTEN:
