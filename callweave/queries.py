@@ -347,10 +347,19 @@ def combined_paths(s, d):
 
 @query()  # DuckDB 2.0's dictionary cache fails on the same join; the resolver's tests cover the predicate
 def import_hints(s, d):
-    hints = P.raw_calls(s, d).where(F.col("import_hint").contains("ECONOMY") | F.startswith("import_hint", F.lit("tests"))).select(F.col("import_hint").alias("hint")).distinct()
-    hints = hints.unionAll(s.range(1).select(F.lit("").alias("hint")))
-    rows = hints.join(F.broadcast(P.files(s, d).select(F.col("file_path").alias("path"))), F.lit(True), "cross")
-    return rows.select("hint", "path", C.path_matches_hint(F.col("path"), F.col("hint")).alias("hit"))
+    hints = P.raw_calls(s, d).where("import_hint is not null").select(F.col("import_hint").alias("hint"))
+    hints = hints.unionAll(s.range(1).select(F.lit("").alias("hint"))).distinct()
+    return hints_in_paths(hints, P.files(s, d).select(F.col("file_path").alias("path")))
+
+
+def hints_in_paths(hints: DataFrame, paths: DataFrame, letters: int = 8) -> DataFrame:
+    """hint, path, hit of every match; they meet where the path has the hint's first letters, separators being alike."""
+    alike = lambda c: F.translate(c, ".\\", "//")
+    starts = F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1)))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.lit(letters)), lambda n: F.substring(alike(F.col("path")), i, n))))
+    keyed = paths.select("path", F.explode(F.array_distinct(parts)).alias("key"))
+    pairs = hints.select("hint", F.left(alike(F.col("hint")), F.lit(letters)).alias("key")).join(keyed, "key")
+    return pairs.select("hint", "path", C.path_matches_hint(F.col("path"), F.col("hint")).alias("hit")).where("hit")
 
 
 # -- search

@@ -36,5 +36,20 @@ def test_every_query_but_one_has_sql():
     assert set(queries.queries()) - set(queries.oracle_sql()) == {"import_hints"}
 
 
+def test_import_hints_are_brute_force(spark):
+    """Every distinct hint of the table against every path."""
+    got = sorted((r["hint"], r["path"]) for r in queries.import_hints(spark, SF).collect())
+    hints = {r[0] for r in queries.P.raw_calls(spark, SF).select("import_hint").distinct().collect() if r[0] is not None} | {""}
+    paths = [r[0] for r in queries.P.files(spark, SF).select("file_path").collect()]
+    same = lambda a, b: a == b or (b == "." and a in "./\\") or (b in "/\\" and a in "/\\")
+    within = lambda h, p: any(all(map(same, p[k:], h)) for k in range(len(p) - len(h) + 1))
+    assert got == sorted((h, p) for h in hints for p in paths if within(h, p))
+    assert len({h for h, _ in got if h.startswith("src/")}) > 10
+    odd = ["", ".", "a.b", "a/b", "b\\c", "x.long.name.of.a.module", "long/name", "(a", "é.b"]
+    files = ["", "a/b", "a.b", "a\\b\\c", "x/long/name/of/a/module.rs", "x/long/name/of/b.rs", "(a)", "é/b", "ab"]
+    rows = queries.hints_in_paths(spark.createDataFrame([(x,) for x in odd], "hint string"), spark.createDataFrame([(x,) for x in files], "path string"))
+    assert sorted((r["hint"], r["path"]) for r in rows.collect()) == sorted((h, p) for h in odd for p in files if within(h, p))
+
+
 def test_flagship_has_rows(spark):
     assert queries.flagship(spark, SF).count() > 0
