@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -40,6 +41,8 @@ MARKS = frozenset(
 OUTER_MARKS = frozenset("header banner".split())
 #: Elements that hold an article.
 HOLDERS = frozenset(["article", "main"])
+#: Elements that can be an article's region where none of those is; others are blocks of it or parts of blocks.
+CONTAINERS = frozenset("body center details div html section table tbody td tr".split())
 WORD = re.compile(r"[a-z0-9]+")
 WHITE = re.compile(r"\s+")
 
@@ -70,6 +73,7 @@ class Lines(HTMLParser):
         self.count = self.tags = 0
         self.parts: list[str] = []
         self.holders: set[int] = set()
+        self.containers: set[int] = set()
 
     def flush(self) -> None:
         text = WHITE.sub(" ", "".join(self.parts)).strip()
@@ -92,6 +96,8 @@ class Lines(HTMLParser):
         self.open.append(Node(tag, self.count, self.is_dropped(tag, attrs), holder))
         if holder:
             self.holders.add(self.count)
+        if tag in CONTAINERS:
+            self.containers.add(self.count)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -167,21 +173,25 @@ def content_lines(lines: list[Line], sigma: float) -> list[int]:
     return [i for i, x in enumerate(soft) if x >= threshold and not lines[i].dropped]
 
 
-def region(lines: list[Line], chosen: list[int], holders: set[int], share: float) -> int | None:
-    """The element that holds the clusters: of articles the one with most of their text, else the deepest with ``share`` of it."""
+def region(lines: list[Line], chosen: list[int], holders: set[int], containers: set[int]) -> int | None:
+    """The element that holds the clusters: of articles the one with most of their text, else the deepest container of all of it.
+
+    A container of a single line is a paragraph by another name.
+    """
     weight: dict[int, int] = {}
     for i in chosen:
         for n in lines[i].path:
             weight[n] = weight.get(n, 0) + len(lines[i].text)
-    total = sum(len(lines[i].text) for i in chosen)
     held = {n: w for n, w in weight.items() if n in holders}
     if held:
         most = max(held.values())
         return max(n for n, w in held.items() if w == most)
-    return max((n for n, w in weight.items() if w >= share * total), default=None)
+    around = set(lines[chosen[0]].path).intersection(containers, *(lines[i].path for i in chosen))
+    own = Counter(n for x in lines if not x.dropped for n in around.intersection(x.path))
+    return max((n for n in around if own[n] > 1), default=None)
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks, joined by a line feed; empty if there is none. Null counts as empty."""
     parser = Lines()
     parser.feed(html or "")
@@ -191,11 +201,11 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     chosen = content_lines(lines, sigma)
     if not chosen:
         return ""
-    within = region(lines, chosen, parser.holders, share)
+    within = region(lines, chosen, parser.holders, parser.containers)
     return "\n".join(x.text for x in lines if not x.dropped and (within is None or within in x.path))
 
 
-def extract(pages: DataFrame, sigma: float = 1.0, share: float = 0.9) -> DataFrame:
+def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text.
 
     A null or empty html gives the empty text, as does one without any text outside of menus and the like. A page is
@@ -207,7 +217,7 @@ def extract(pages: DataFrame, sigma: float = 1.0, share: float = 0.9) -> DataFra
         for b in batches:
             for at in range(0, len(b), 512):
                 part = b.iloc[at : at + 512]
-                yield pd.DataFrame({"page_id": part["page_id"].array, "url": part["url"].array, "text": [main_text(x, sigma, share) for x in part["html"]]})
+                yield pd.DataFrame({"page_id": part["page_id"].array, "url": part["url"].array, "text": [main_text(x, sigma) for x in part["html"]]})
 
     kind = pages.schema["page_id"].dataType.simpleString()
     # ids go through Python as strings: a column of longs with a null in it would become floats there

@@ -40,6 +40,14 @@ def test_unclosed_tags_and_breaks():
     assert html_extract.main_text("<p>a" * 2000) == "\n".join("a" * 2000)
 
 
+def test_one_dominant_block_without_an_article_tag():
+    long, short = "many words " * 180 + "end", "a few words " * 8 + "end"
+    for first, second in ((f"<p>{long}</p>", f"<p>{short}</p>"), (f"<div>{long}</div>", f"<div>{short}</div>"), (f"<p><span>{long}</span></p>", f"<ul><li><b>{short}</b></ul>")):
+        inner = f"<h1>Title</h1>{first}{second}"
+        for page in (f"<body>{inner}</body>", f"<body><nav>Menu</nav><div><section>{inner}</section></div><footer>foot</footer></body>", inner):
+            assert html_extract.main_text(page) == f"Title\n{long}\n{short}", page
+
+
 def test_pages_against_a_plain_reading(spark):
     """Articles of the test pages have no nested blocks, so a few patterns read them too."""
     got = {r["page_id"]: r for r in queries.op4_html(spark, SF).collect()}
