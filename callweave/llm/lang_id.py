@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Hashed features, and characters of a word that have n-grams: of longer words half from either end.
+#: Hashed features, and letters of a word; a longer run of letters is several words.
 BUCKETS = 1 << 17
 WIDTH = 32
+WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
 #: Distinct words whose scores a task keeps.
 CACHE_WORDS = 300_000
 UNDETERMINED = "und"
@@ -37,17 +37,16 @@ class CrfModel:
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case, those of more than WIDTH in consecutive pieces of WIDTH."""
     return WORD.findall(text.lower())
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """(words, features) of rows in the weights: n-grams with edges, affixes of 2 to 4, lexicon entry."""
-    half = WIDTH // 2
-    fit = [w if len(w) <= WIDTH else w[:half] + w[-half:] for w in words]
-    size = np.fromiter(map(len, fit), np.int64, len(fit))
-    chars = np.zeros((len(fit), WIDTH + 3), np.uint64)
-    chars[:, 1 : WIDTH + 1] = np.array(fit, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(fit), WIDTH)
-    rows = np.arange(len(fit))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    chars = np.zeros((len(words), WIDTH + 3), np.uint64)
+    chars[:, 1 : WIDTH + 1] = np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
+    rows = np.arange(len(words))
     chars[:, 0] = 2
     chars[rows, size + 1] = 3
     none = BUCKETS + len(lexicon)

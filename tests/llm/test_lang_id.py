@@ -60,3 +60,12 @@ def test_code_switched_text_and_odd_rows(spark):
     assert lang_id.label(empty_docs(spark), m).collect() == []
     assert lang_id.train(lang_id.training_texts(empty_docs(spark))) is None
     assert {r["lang_pred"] for r in lang_id.label(df, None).collect()} == {"und"}
+
+
+def test_the_middle_of_a_long_run_counts():
+    en, de = "thecatsatonthematandthenwenthome", "derhundunddiekatzesindnichtdabei"
+    texts = [(" ".join([x] * 6), k) for x, k in ((en, "en"), (de, "de"))] * 40
+    lab = lang_id.Labeller(lang_id.train(texts, rounds=15))
+    (p,) = lab([en + de * 6 + en])
+    assert len(en) == len(de) == lang_id.WIDTH and lab.model.labels[int(p.argmax())] == "de"
+    assert lang_id.words_of("A" * 70 + "1b") == ["a" * 32, "a" * 32, "a" * 6, "b"]
