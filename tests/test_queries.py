@@ -51,5 +51,16 @@ def test_import_hints_are_brute_force(spark):
     assert sorted((r["hint"], r["path"]) for r in rows.collect()) == sorted((h, p) for h in odd for p in files if within(h, p))
 
 
+def test_top_name_is_counted_whole(spark, monkeypatch):
+    """However few rows a search gives."""
+    whole = queries.search.search
+    monkeypatch.setattr(queries.search, "search", lambda nodes, text, limit=30, no_tests=False: whole(nodes, text, min(limit, 2), no_tests))
+    nodes = queries.P.nodes(spark, SF)
+    copies = nodes.withColumn("name", queries.F.lit("red widget")).withColumn("is_test", queries.F.lit(False))
+    monkeypatch.setattr(queries.P, "nodes", lambda s, d: copies)
+    (row,) = queries.search_top_name(spark, SF).collect()
+    assert (row["name"], row["n"]) == ("red widget", copies.count()) and row["n"] > 2
+
+
 def test_flagship_has_rows(spark):
     assert queries.flagship(spark, SF).count() > 0
