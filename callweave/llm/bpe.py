@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from callweave.llm import scratch
+
 #: Distinct words whose encodings a task keeps.
 CACHE_WORDS = 300_000
 #: Texts of characters under it: nothing composes or moves, and lower case is the same in any Unicode version.
 PLAIN = 0x300
 #: Entries of each table of results that a task keeps.
-MEMO = 1_000_000
+MEMO = 400_000
 #: Rows that a task holds decoded at once.
 ROWS = 256
 
@@ -91,7 +93,6 @@ class WordBpe:
         self.dead = {t for t, (a, b, _) in self.parts.items() if not self.compatible_until(a, b, self.merge[a, b])}
         self.build_automaton()
         self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
 
     def build_automaton(self) -> None:
         """States are prefixes of tokens, over bytes (a word's last byte plus 256); each knows the tokens that end there.
@@ -207,7 +208,6 @@ class WordBpe:
                     k -= size[t]
                 out.reverse()
                 self.ids[child] = struct.pack(f"<{len(out)}i", *out)
-                self.decoded[child] = " ".join([self.tokens[i] for i in out])
         if len(pairs) > MEMO:
             pairs.clear()
         if len(met) > MEMO:
@@ -242,24 +242,23 @@ class WordBpe:
             return self.split_plain.findall(text.lower())
         return self.split.findall(self.normalizer.normalize_str(text))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """Ids of each text as little-endian int32, and the text that decoding them gives: the tokens, joined by spaces."""
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian int32."""
         lists = [self.pieces(t) for t in texts]
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
-            self.decoded.clear()
         fresh: set[str] = set()
         for words in lists:
             fresh.update(set(words).difference(self.ids))
         for w in [w for w in fresh if w[0] == "\0" and w[1:] in self.special]:
             fresh.remove(w)
-            self.ids[w], self.decoded[w] = struct.pack("<i", self.special[w[1:]]), w[1:]
+            self.ids[w] = struct.pack("<i", self.special[w[1:]])
         self.encode_words(fresh)
         for words in lists:
-            yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))
+            yield b"".join(map(self.ids.__getitem__, words))
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 _LOADED: dict[int, WordBpe] = {}
@@ -273,7 +272,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     empty result. The driver reads the file once; what is sent around has the size of the vocabulary.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        file = docs.sparkSession.sparkContext.broadcast((f.read(), unicode_ranges()))
+        file = scratch.broadcast(docs.sparkSession, (f.read(), unicode_ranges()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, ranges = file.value
@@ -283,10 +282,11 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                found = list(bpe.encode([x or "" for x in part.column(1).to_pylist()]))
-                ends = np.cumsum([0] + [len(x) // 4 for x, _ in found], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x for x, _ in found), np.int32)))
-                yield pa.record_batch([part.column(0), ids, pa.array([x for _, x in found], pa.string())], ["doc_id", "ids", "decoded"])
+                found = [np.frombuffer(x, np.int32) for x in bpe.encode([x or "" for x in part.column(1).to_pylist()])]
+                ends = np.cumsum([0] + [len(x) for x in found], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                decoded = pa.array([bpe.decode(x.tolist()) for x in found], pa.string())
+                yield pa.record_batch([part.column(0), ids, decoded], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))

@@ -9,21 +9,26 @@ from __future__ import annotations
 
 import random
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm import scratch
+
 #: Hashed features, and letters of a word; a longer run of letters is several words.
 BUCKETS = 1 << 17
 WIDTH = 32
-WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
-#: Distinct words whose scores a task keeps.
-CACHE_WORDS = 300_000
+#: Distinct words whose scores a task keeps, and texts that it holds as words at once.
+CACHE_WORDS, ROWS = 200_000, 512
 UNDETERMINED = "und"
 
 
@@ -36,9 +41,27 @@ class CrfModel:
     lexicon: dict[str, int]
 
 
+@cache
+def _patterns(last: int) -> tuple[re.Pattern, re.Pattern]:
+    """A letter, and a word, of characters up to ``last``: letters and the marks that belong to them, by category."""
+
+    def ranges(kinds: str) -> str:
+        chars = (c for c in range(last + 1) if unicodedata.category(chr(c))[0] in kinds)
+        runs = [[c for _, c in run] for _, run in groupby(enumerate(chars), lambda x: x[1] - x[0])]
+        return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+    return re.compile(f"[{ranges('L')}]"), re.compile(f"[{ranges('LM')}]{{1,{WIDTH}}}")
+
+
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case, those of more than WIDTH in consecutive pieces of WIDTH."""
-    return WORD.findall(text.lower())
+    """Runs of letters in lower case, those of more than WIDTH in consecutive pieces of WIDTH; none in a text of marks alone."""
+    text = text.lower()
+    # the longer tables of all planes are slow for what is no letter
+    letter, word = _patterns(sys.maxunicode if _ASTRAL.search(text) else 0xFFFF)
+    return word.findall(text) if letter.search(text) else []
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
@@ -261,12 +284,12 @@ def label(docs: DataFrame, model: CrfModel | None) -> DataFrame:
     the first in order is taken. Only the text is looked at, all of it. Repeated rows give repeated results; other
     columns are ignored; an empty table gives an empty result. What is sent around is the model, whose size is fixed.
     """
-    return label_rows(docs.select("doc_id", "text"), model).select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return label_rows(docs.select("doc_id", "text"), model).select("doc.doc_id", "lang_pred", "score")
 
 
 def label_rows(docs: DataFrame, model: CrfModel | None) -> DataFrame:
-    """All columns of ``docs``, and __lang and __score as ``label`` has them."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """doc (a struct of all columns of ``docs``, whatever their names), and lang_pred and score as ``label`` has them."""
+    sent = scratch.broadcast(docs.sparkSession, model)
 
     @F.pandas_udf("lang string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -274,12 +297,13 @@ def label_rows(docs: DataFrame, model: CrfModel | None) -> DataFrame:
         labeller = Labeller(m) if m else None
         for texts in batches:
             out = []
-            for at in range(0, len(texts), 2048):
-                part = list(texts.iloc[at : at + 2048])
+            for at in range(0, len(texts), ROWS):
+                part = list(texts.iloc[at : at + ROWS])
                 for x in labeller(part) if labeller else [None] * len(part):
                     k = None if x is None else int(x.argmax())
                     out.append((UNDETERMINED, 0.0) if k is None else (m.labels[k], min(1.0, float(x[k]))))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
-    rows = docs.withColumn("__judged", judge(docs["text"].cast("string")))
-    return rows.select(*docs.columns, F.col("__judged.lang").alias("__lang"), F.col("__judged.score").alias("__score"))
+    # said to be nondeterministic, as else a filter on its result is pushed under it and has it run twice
+    judged = docs.select(F.struct("*").alias("doc"), judge.asNondeterministic()(docs["text"].cast("string")).alias("judged"))
+    return judged.select("doc", F.col("judged.lang").alias("lang_pred"), F.col("judged.score").alias("score"))

@@ -1,8 +1,8 @@
-"""Intermediate tables in the shared folder named by ``spark.checkpoint.dir``.
+"""Intermediate tables in the shared folder named by ``spark.checkpoint.dir``, and broadcasts that can be let go.
 
-An operator that would otherwise compute something twice, or iterate, writes it
-once as Parquet and reads it back. That cuts lineage and survives the loss of
-executors, because every machine sees the folder.
+An operator that would otherwise compute something twice, or iterate, writes it once as Parquet and reads it back. That
+cuts lineage and survives the loss of executors, because every machine sees the folder. What an operator no longer
+needs it drops; the rest goes with the application.
 """
 
 from __future__ import annotations
@@ -11,29 +11,86 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: What each owner has made: paths and broadcasts.
+_MADE: dict[str, list[str | Broadcast]] = {}
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where none is configured (tests)."""
+    """The shared folder. Where none is configured a local session, as in tests, gets a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="callweave-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
 def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` written to the shared folder and read back; ``keep``: not to be deleted by ``release``."""
+    """``df`` written to the shared folder and read back; ``keep``: not to be deleted with its owner's other tables."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    files, there = _at(spark, path)
+    files.deleteOnExit(there)
     df.write.parquet(path)
-    if not keep:
-        _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (owner := _OWNER.get()) and not keep:
+        _MADE.setdefault(owner, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that nothing will read again."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            files, there = _at(t.sparkSession, path)
+            files.delete(there, True)
+
+
+def broadcast(spark: SparkSession, value: object) -> Broadcast:
+    """``value`` sent to all executors, until its owner begins anew."""
+    out = spark.sparkContext.broadcast(value)
+    if owner := _OWNER.get():
+        _MADE.setdefault(owner, []).append(out)
+    return out
+
+
+@contextlib.contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Tables and broadcasts made meanwhile are the owner's; those that it made before go.
+
+    Only for callers whose former results are already written elsewhere.
+    """
+    release(spark, owner)
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete what the owner has made."""
+    for made in _MADE.pop(owner, []):
+        if isinstance(made, Broadcast):
+            made.destroy()
+        else:
+            files, there = _at(spark, made)
+            files.delete(there, True)
 
 
 @contextlib.contextmanager
@@ -46,10 +103,3 @@ def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far. Only for callers whose results are already written elsewhere."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

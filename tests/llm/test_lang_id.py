@@ -69,3 +69,24 @@ def test_the_middle_of_a_long_run_counts():
     (p,) = lab([en + de * 6 + en])
     assert len(en) == len(de) == lang_id.WIDTH and lab.model.labels[int(p.argmax())] == "de"
     assert lang_id.words_of("A" * 70 + "1b") == ["a" * 32, "a" * 32, "a" * 6, "b"]
+
+
+def test_letters_are_those_of_unicode():
+    """Numbers that are no digits are no letters; marks belong to the letters before them, and alone make no word."""
+    assert lang_id.words_of("½ ² Ⅷ ① 12 _") == lang_id.words_of("\u0301 \u0301") == []
+    assert lang_id.words_of("हिन्दी में e\u0301te\u0301 x²y 𐐀𐐁 ½") == ["हिन्दी", "में", "e\u0301te\u0301", "x", "y", "𐐨𐐩"]
+
+
+def test_the_model_runs_once_under_a_filter(spark):
+    m = lang_id.train([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 4, rounds=3)
+    rows = lang_id.label_rows(odd_docs(spark), m)
+    kept = rows.where("lang_pred <> 'und' and score > 0.1").select("doc.*", "lang_pred")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "the cat", 1, 2, 3, 4)], ["doc_id", "text", "lang_pred", "judged", "doc", "a.b"])
+    m = lang_id.train([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 4, rounds=3)
+    (r,) = lang_id.label_rows(df, m).select("doc.*").collect()
+    assert r.asDict() == {"doc_id": 1, "text": "the cat", "lang_pred": 1, "judged": 2, "doc": 3, "a.b": 4}
