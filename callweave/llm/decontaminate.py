@@ -3,7 +3,9 @@
 Items are partitioned by the size of their shingle sets. For each partition, a document is a row of windows, each of
 two blocks as long as the partition's largest item, so the sets compared are of like size and their Jaccard similarity
 has a lower bound that follows from the containment sought. The number of MinHash functions follows from that bound.
-An agreeing minimum makes a candidate; its containment in the whole document is then counted.
+An agreeing minimum makes a candidate; its containment in the whole document is then counted. Items whose shingles are
+scattered over the document agree in no window; they are found by counting, for each document that has any shingle of an
+item, how many it has of each.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm import shingles
+from callweave.llm import scratch, shingles
 
 #: Items whose signatures are sent around at once; more are searched for in further passes.
 BLOCK = 20_000
@@ -37,8 +39,20 @@ class Partition:
 class Index:
     sets: list[np.ndarray]
     partitions: list[Partition]
-    rare: np.ndarray  # sorted shingles that are a minimum of some item
-    sieve: np.ndarray  # their leading bits
+    shingles: np.ndarray  # of all items, distinct and sorted
+    minimum: np.ndarray  # whether such a shingle is a minimum of some item
+    first: np.ndarray  # place in ``holders`` where the items that hold such a shingle begin, and the end
+    holders: np.ndarray
+    least: np.ndarray  # shingles of each item that make it contained, at least one
+    sieve: np.ndarray  # the shingles' leading bits
+    shift: np.uint64
+
+
+def _sieve(tokens: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    bits = min(26, max(20, (8 * len(tokens)).bit_length()))
+    out, shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+    out[(tokens >> shift).astype(np.int64)] = True
+    return out, shift
 
 
 def functions_for(size: int, containment: float, miss: float) -> int:
@@ -61,10 +75,13 @@ def build_index(texts: list[str | None], containment: float, miss: float = MISS)
         factors = np.random.default_rng(size).integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
         minima = np.stack([[s[(s * f).argmin()] for s in (found[k] for k in numbers)] for f in factors])
         parts.append(Partition(size, np.array(numbers), factors, minima))
-    rare = np.unique(np.concatenate([p.minima.ravel() for p in parts])) if parts else np.empty(0, np.uint64)
-    sieve = np.zeros(1 << 20, bool)
-    sieve[(rare >> np.uint64(44)).astype(np.int64)] = True
-    return Index(found, parts, rare, sieve)
+    everything = np.concatenate([np.empty(0, np.uint64), *found])
+    holder = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    order = np.argsort(everything, kind="stable")
+    tokens, first = np.unique(everything[order], return_index=True)
+    minima = np.unique(np.concatenate([p.minima.ravel() for p in parts])) if parts else np.empty(0, np.uint64)
+    least = np.array([max(1, math.ceil(containment * len(x))) for x in found], np.int64)
+    return Index(found, parts, tokens, np.isin(tokens, minima), np.append(first, len(everything)), holder[order], least, *_sieve(tokens))
 
 
 def candidates(h: np.ndarray, at: np.ndarray, p: Partition) -> set[int]:
@@ -85,19 +102,32 @@ def candidates(h: np.ndarray, at: np.ndarray, p: Partition) -> set[int]:
     return out
 
 
+def scattered(tokens: np.ndarray, index: Index) -> np.ndarray:
+    """Items of which a document holds enough shingles anywhere; ``tokens``: numbers of the distinct shingles it holds."""
+    size = index.first[tokens + 1] - index.first[tokens]
+    at = np.repeat(index.first[tokens] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return np.flatnonzero(np.bincount(index.holders[at], minlength=len(index.least)) >= index.least)
+
+
 def search(h: np.ndarray, index: Index, containment: float) -> list[tuple[int, int]]:
     """(item, shared shingles) of the items contained in a document with shingles ``h``."""
-    at = np.flatnonzero(index.sieve[(h >> np.uint64(44)).astype(np.int64)])
-    if len(at):
-        at = at[np.isin(h[at], index.rare)]
+    if not len(index.shingles):
+        return []
+    at = np.flatnonzero(index.sieve[(h >> index.shift).astype(np.int64)])
+    number = np.minimum(np.searchsorted(index.shingles, h[at]), len(index.shingles) - 1)
+    there = index.shingles[number] == h[at]
+    at, number = at[there], number[there]
     if not len(at):
         return []
-    own = np.unique(h)
-    found = set().union(*(candidates(h, at, p) for p in index.partitions))
+    least = at[index.minimum[number]]
+    found = set().union(*(candidates(h, least, p) for p in index.partitions)) if len(least) else set()
+    own = np.unique(number)
+    found.update(scattered(own, index).tolist())
+    mine = index.shingles[own]
     out = []
     for k in sorted(found):
         q = index.sets[k]
-        shared = int(np.isin(q, own, assume_unique=True).sum())
+        shared = int(np.isin(q, mine, assume_unique=True).sum())
         if shared >= containment * len(q):
             out.append((k, shared))
     return out
@@ -108,9 +138,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.75, blo
 
     An item is contained if at least ``containment`` of its distinct shingles are in the document. An item of fewer than
     five words is contained in a document that is the same sequence of words; null or empty items and documents match
-    nothing. An item whose shingles are spread over more than two of its lengths may be missed; one that stands together
-    is missed with a chance of MISS. Repeated rows on either side give repeated pairs; other columns are ignored; an empty
-    table on either side gives an empty result.
+    nothing. Shingles may be scattered over the document, however long it is. Repeated rows on either side give repeated
+    pairs; other columns are ignored; an empty table on either side gives an empty result. A long text is hashed in pieces;
+    a task holds one document's shingles at a time.
 
     Documents aren't shuffled. Items go around in blocks of ``block``, a pass over the documents for each.
     """
@@ -125,7 +155,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.75, blo
     out = spark.createDataFrame([], f"doc_id {doc_kind}, item_id {item_kind}, n_shared long, n_item long, containment double")
     for part in parts:
         chosen = part.orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(build_index([r["text"] for r in chosen], containment))
+        sent = scratch.broadcast(spark, build_index([r["text"] for r in chosen], containment))
         names = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(chosen)], f"item long, item_id {item_kind}")
         found = rows.mapInPandas(_searcher(sent, containment), schema).join(F.broadcast(names), "item")
         out = out.unionAll(found.select(F.col("doc_id").cast(doc_kind).alias("doc_id"), "item_id", "n_shared", "n_item", "containment"))

@@ -6,32 +6,19 @@ shingles of five words; a text of fewer words has its whole sequence as one; one
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 WORDS = 5
-#: Bytes of text hashed at once; a longer text is hashed by itself.
+#: Bytes of text hashed at once; a longer text is hashed in pieces that end between words.
 CHUNK = 1 << 20
+#: Bytes from which a word is hashed by itself.
+LONG = 1 << 9
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(20_240_501).integers(0, 2**64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15 - 2  # odd, and 3 modulo 8
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, CHUNK + 4096)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            row = np.full(size, b, np.uint64)
-            row[0] = 1
-            _POWERS[k] = np.cumprod(row, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,22 +28,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the number of words in each text."""
-    joined = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(joined, np.uint8)
-    space = _SPACE[raw]
+def _word_hashes(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of lower-cased bytes whose white space is spaces, the last byte being one.
+
+    Words are read eight bytes at a time, all words at once; each step takes in the hash of what stands before.
+    """
+    space = np.frombuffer(plain, np.uint8) == 32
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
-    power, inverse = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[_FOLD[raw]] * power, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    upto = np.searchsorted(starts, stops)
-    return hashes, np.diff(upto, prepend=0)
+    size = ends - starts
+    eight = np.ndarray((len(plain),), "<u8", plain + bytes(8), strides=(1,))
+    out = mix(size.astype(np.uint64))
+    left = np.arange(len(size))
+    for k in range(0, LONG, 8):
+        if not len(left):
+            break
+        out[left] = mix(out[left] * np.uint64(0x9E3779B97F4A7C15) + (eight[starts[left] + k] & _MASKS[np.minimum(size[left] - k, 8)]))
+        left = left[size[left] > k + 8]
+    for k in left:
+        out[k] = int.from_bytes(hashlib.blake2b(plain[starts[k] : ends[k]], digest_size=8).digest())
+    return out, starts
+
+
+def _pieces(plain: bytes) -> Iterator[bytes]:
+    """A long text in pieces that end with a space."""
+    at = 0
+    while at < len(plain):
+        end = len(plain) if at + CHUNK >= len(plain) else plain.rfind(b" ", at, at + CHUNK) + 1 or plain.find(b" ", at + CHUNK) + 1
+        yield plain[at:end]
+        at = end
 
 
 def ordered(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -75,17 +77,24 @@ def ordered(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 def _ordered(group: list[bytes]) -> Iterator[np.ndarray]:
-    words, counts = _word_hashes(group)
+    plain = b" ".join(group).translate(_PLAIN) + b" "
+    stops = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+    if len(plain) > 2 * CHUNK:  # a single text
+        words = np.concatenate([_word_hashes(x)[0] for x in _pieces(plain)])
+        counts = np.array([len(words)])
+    else:
+        words, starts = _word_hashes(plain)
+        counts = np.diff(np.searchsorted(starts, stops), prepend=0)
     factor = [np.uint64(0xD6E8FEB86659FD93 + 2 * k * 0x1F3D5B79) for k in range(WORDS)]
     n = max(0, len(words) - WORDS + 1)
     whole = np.zeros(n, np.uint64)
     for k in range(WORDS):
         whole += words[k : k + n] * factor[k]
         if k < WORDS - 1:
-            whole = whole ^ (whole >> np.uint64(29))
+            whole ^= whole >> np.uint64(29)
     whole = mix(whole)
     at = 0
-    for c in counts:
+    for c in counts.tolist():
         if c >= WORDS:
             yield whole[at : at + c - WORDS + 1]
         elif c:

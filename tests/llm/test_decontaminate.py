@@ -66,6 +66,26 @@ def test_planted_passages_in_long_documents(spark):
     assert decontaminate.clean(a, b).count() == len(docs) - len({w[0] for w in want})
 
 
+def test_scattered_items(spark):
+    """Items whose pieces stand far apart, in any order: no window holds enough of them."""
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items, docs = [], []
+    for k in range(20):
+        item = text(rng.choice([30, 60, 150]))
+        starts = list(range(0, len(item) - 4, 3))
+        rng.shuffle(starts)
+        # pieces of seven words hold all shingles; some of the documents lack a third of the pieces
+        docs.append(" ".join(w for at in (starts if k % 2 else starts[: len(starts) * 2 // 3]) for w in item[at : at + 7] + text(rng.randrange(200, 600))))
+        items.append(" ".join(item))
+    a = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute([{"doc_id": i, "text": d} for i, d in enumerate(docs)], [{"item_id": i, "text": d} for i, d in enumerate(items)])
+    got = decontaminate.find_leaks(a, b).collect()
+    assert sorted(((r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in got), key=repr) == want
+    assert {w[0] for w in want} == set(range(1, 20, 2))
+
+
 def test_odd_rows(spark):
     df = odd_docs(spark)
     items = spark.createDataFrame([(1, "word " * 9), (1, None), (None, "no id"), (None, "no id")], "item_id long, text string")
