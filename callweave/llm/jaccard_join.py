@@ -2,13 +2,13 @@
 
 Two sets with Jaccard similarity t or more share a token among the first n - ceil(t * n) + 1 of each, under any global
 order of the tokens. Candidates are found under the first order, in which frequent shingles come last, so that a passage
-which many documents share brings none of them together. Candidates must pass the same filter under further orders
-before the sets themselves are intersected.
+which many documents share brings none of them together. Each document keeps its prefixes under the further orders, and
+a candidate must share a token under every one of them, and be allowed by sketches that bound how much the sets differ,
+before texts are moved and the sets themselves are intersected.
 
 Groups are as large as they like: a token that many documents share first brings each of them together with one of
 them; once the verified links have been followed, only those of the token's documents that are not yet connected are
-compared with one another. So no pair of different texts is left out, and no group is expanded into its pairs. Before
-texts are moved, sketches of the sets bound how much they differ, and pairs that differ too much go.
+compared with one another. So no pair of different texts is left out, and no group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ SKETCH = 16
 BATCH = 256
 #: Orders in all.
 ORDERS = 3
-#: Documents whose ids are broadcast at most to pick the texts that verification reads.
-BROADCAST_IDS = 2_000_000
+#: Pairs of ids (16 bytes) that are broadcast at most, to meet the rows that they name where these were read.
+BROADCAST_PAIRS = 2_000_000
 
 
 def needed(n: int, percent: int) -> int:
@@ -103,6 +103,15 @@ def in_prefix(s: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
     return s[np.argsort(key)]
 
 
+def further_prefix(s: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """The prefix under order ``k``, a random one: the leading half of each place in it, so that equal tokens stay equal."""
+    places = shingles.mix(s ^ np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64))
+    size = prefix_size(len(s), percent)
+    if size < len(s):
+        places = np.partition(places, size - 1)[:size]
+    return (places >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def parity(s: np.ndarray) -> np.ndarray:
     """A bit for each residue of the hashes: whether an odd number of the set's shingles has it.
 
@@ -113,14 +122,14 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+def _lists(rows: list[np.ndarray | None], kind: type = np.int64) -> pa.Array:
     ends = np.cumsum([0] + [0 if r is None else len(r) for r in rows], dtype=np.int32)
     found = [r for r in rows if r is not None]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, kind)))
 
 
 def _summarise(frequent, percent: int):
-    """doc_id, n, same (an earlier row's doc_id with the same set), prefix and sketches, empty where there is such a row."""
+    """doc_id, n, same (an earlier row's doc_id with the same set), prefixes and sketches, empty where there is such a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, classes = frequent.value
@@ -129,6 +138,7 @@ def _summarise(frequent, percent: int):
             for at in range(0, b.num_rows, 1024):
                 ids = b.column(0).slice(at, 1024).to_pylist()
                 sizes, same, prefixes, small, large = [], [], [], [], []
+                further: list[list] = [[] for _ in range(1, ORDERS)]
                 for doc_id, s in zip(ids, shingles.sets(b.column(1).slice(at, 1024).to_pylist()), strict=True):
                     sizes.append(len(s))
                     mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and doc_id is not None else None
@@ -136,17 +146,20 @@ def _summarise(frequent, percent: int):
                     same.append(earlier if earlier != doc_id else None)
                     own = mark and earlier == doc_id
                     prefixes.append(in_prefix(s, first_order(s, tokens, classes), prefix_size(len(s), percent)).view(np.int64) if own else None)
+                    for k, held in enumerate(further, 1):
+                        held.append(further_prefix(s, k, percent) if own else None)
                     sketch = parity(s) if own else None
                     small.append(None if sketch is None else np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH)))
                     large.append(None if sketch is None or len(sketch) == SKETCH else sketch)
                 columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(same, pa.int64()), _lists(prefixes), _lists(small), _lists(large)]
-                yield pa.record_batch(columns, SUMMARY_NAMES)
+                yield pa.record_batch(columns + [_lists(held, np.int32) for held in further], SUMMARY_NAMES)
 
     return run
 
 
-SUMMARY = "doc_id long, n int, same long, prefix array<long>, small array<long>, large array<long>"
-SUMMARY_NAMES = ["doc_id", "n", "same", "prefix", "small", "large"]
+FURTHER = [f"order{k}" for k in range(1, ORDERS)]
+SUMMARY_NAMES = ["doc_id", "n", "same", "prefix", "small", "large", *FURTHER]
+SUMMARY = "doc_id long, n int, same long, prefix array<long>, small array<long>, large array<long>" + "".join(f", {c} array<int>" for c in FURTHER)
 
 
 def small_allow(a: str, b: str, percent: int) -> Column:
@@ -166,13 +179,34 @@ def large_allow(a: str, b: str, percent: int) -> Column:
     return (F.size(f"large_{a}") == 0) | (F.size(f"large_{b}") == 0) | fits
 
 
+def orders_allow(a: str, b: str) -> Column:
+    """Whether two sets share a token of their prefixes under each further order."""
+    both = [F.arrays_overlap(f"{c}_{a}", f"{c}_{b}") for c in FURTHER]
+    return both[0] if len(both) == 1 else both[0] & both[1]
+
+
+def _beside(pairs: DataFrame, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``pairs`` (a, b) with ``columns`` of ``rows`` (doc_id) for both sides, suffixed.
+
+    Pairs go around if they are few, so that rows wait for the second side to be moved; a hot document is always an a.
+    """
+    few = pairs.count() <= BROADCAST_PAIRS
+    sent = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    a, b = (rows.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{name}_{s}") for c, name in columns.items()]) for s in "ab")
+    if few:
+        a = a.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
+    return b.join(sent(pairs), "b").join(a, "a")
+
+
 def plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sketches allow it; the large ones are looked at where the small ones do."""
+    """Those of ``pairs`` (a, b) whose sketches and further prefixes allow it; these are looked at where the small sketches do."""
     own = rows.where("same is null").withColumn("n", F.col("n").cast("long"))
-    for column, allow in (("small", small_allow), ("large", large_allow)):
-        a, b = (own.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col(column).alias(f"{column}_{s}")) for s in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").where(allow("a", "b", percent)).select("a", "b")
-    return pairs
+    near = _beside(pairs, own, {"n": "n", "small": "small"}).where(small_allow("a", "b", percent)).select("a", "b")
+    near = scratch.table(near, "near-pairs")
+    more = _beside(near, own, {"n": "n", "large": "large"} | {c: c for c in FURTHER})
+    out = scratch.table(more.where(orders_allow("a", "b") & large_allow("a", "b", percent)).select("a", "b"), "pairs")
+    scratch.drop(near)
+    return out
 
 
 # -- candidates
@@ -231,12 +265,7 @@ def _pairs_of_tokens(percent: int):
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """The filters of the further orders, then the intersection itself. ``x`` and ``y`` are sorted sets."""
-    for k in range(1, ORDERS):
-        seed = np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64)
-        px, py = (in_prefix(s, shingles.mix(s ^ seed), prefix_size(len(s), percent)) for s in (x, y))
-        if not np.isin(px, py, assume_unique=True).any():
-            return False
+    """The intersection itself. ``x`` and ``y`` are sorted sets."""
     shared = len(x) + len(y) - len(np.union1d(x, y))
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
@@ -261,14 +290,9 @@ def _verify(percent: int):
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar. Only texts that a pair names are moved."""
-    left, right = (_texts(pairs.select(F.col(c).alias("doc_id")).distinct(), docs).select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(percent), "a long, b long")
-
-
-def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    ids = scratch.table(ids, "candidates")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    both = _beside(pairs, docs, {"text": "text"}).select("a", "b", "text_a", "text_b")
+    with scratch.short_batches(docs.sparkSession, BATCH):
+        return scratch.table(both.mapInArrow(_verify(percent), "a long, b long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -279,37 +303,43 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     as one shingle. Rows that share a doc_id are one node, so they share a component. A row without doc_id links with
     nothing and has a null component. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(base))
+    frequent = scratch.broadcast(docs.sparkSession, frequent_tokens(base))
     rows = scratch.table(base.mapInArrow(_summarise(frequent, percent), SUMMARY), "sets")
     at = rows.where("size(prefix) > 0").select("doc_id", F.col("n").cast("long").alias("n"), "prefix", F.posexplode("prefix").alias("pos", "token"))
-    before = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.xxhash64(F.get("prefix", F.col("pos") - 1)).bitwiseAND(F.lit(0xFFFFFFFF)) + 1)
+    before = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.get("prefix", F.col("pos") - 1))
     tokens = at.select("token", "doc_id", "n", before.alias("before"))
     spread = tokens.repartition(F.col("token")).sortWithinPartitions("token", "doc_id")
     met = scratch.table(spread.mapInArrow(_pairs_of_tokens(percent), "token long, a long, b long, n long, before long"), "met")
-    pairs = scratch.table(plausible(met.where("token is null").select("a", "b").distinct(), rows, percent), "pairs")
-    base_ok = base.where("doc_id is not null")
+    first = scratch.table(met.where("token is null").select("a", "b").distinct(), "first-pairs")
+    pairs = plausible(first, rows, percent)
+    scratch.drop(first)
+    named = base.where("doc_id is not null")
     same = rows.where("same is not null").select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
-    with scratch.short_batches(spark, BATCH):
-        links = scratch.table(verified(pairs, base_ok, percent).unionAll(same), "links")
+    found = verified(pairs, named, percent)
+    links = scratch.table(found.unionAll(same), "links")
+    scratch.drop(found)
     groups = components(links)
     # documents of large tokens that are in different components so far
     crowd = met.where("token is not null").select("token", F.col("a").alias("doc"), "n", "before")
     crowd = crowd.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = crowd.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    own = rows.where("same is null").select(F.col("doc_id").alias("doc"), "small", "large")
+    own = rows.where("same is null").select(F.col("doc_id").alias("doc"), "small")
     crowd = scratch.table(crowd.join(mixed, "token", "left_semi").join(own, "doc"), "crowd")
     if not crowd.isEmpty():
         a, b = (crowd.select(*[F.col(c).alias(c if c == "token" else f"{c}_{s}") for c in crowd.columns]) for s in "ab")
         apart = (F.col("component_a") != F.col("component_b")) & (F.col("doc_a") < F.col("doc_b"))
-        fits = ((F.col("before_a") != F.col("before_b")) | (F.col("before_a") == 0)) & small_allow("a", "b", percent) & large_allow("a", "b", percent)
+        fits = ((F.col("before_a") != F.col("before_b")) | (F.col("before_a") == 0)) & small_allow("a", "b", percent)
         more = a.join(b, (a["token"] == b["token"]) & apart & fits).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
         more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
-            with scratch.short_batches(spark, BATCH):
-                found = scratch.table(verified(more, base_ok, percent), "more-links")
+            likely = plausible(more, rows, percent)
+            found = verified(likely, named, percent)
             if not found.isEmpty():
+                scratch.drop(groups)
                 groups = components(links.unionAll(found))
+            scratch.drop(likely, found)
+        scratch.drop(more)
+    scratch.drop(met, pairs, links, crowd)
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
