@@ -29,7 +29,9 @@ def components(links: DataFrame) -> DataFrame:
         left = up.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         right = up.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         moved = edges.join(left, "a").join(right, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        edges = scratch.table(moved.where("a <> b").distinct(), "links")
+        moved = scratch.table(moved.where("a <> b").distinct(), "links")
+        scratch.drop(edges)
+        edges = moved
     if not pointers:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     root = pointers[-1]
@@ -38,4 +40,6 @@ def components(links: DataFrame) -> DataFrame:
         root = up.join(after, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent"))
     root = scratch.table(root, "roots")
     names = root.groupBy("parent").agg(F.min("node").alias("component"))
-    return scratch.table(root.join(names, "parent").select("node", "component"), "components")
+    out = scratch.table(root.join(names, "parent").select("node", "component"), "components")
+    scratch.drop(root, edges, *pointers)
+    return out

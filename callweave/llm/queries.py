@@ -34,9 +34,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = line_dedup.dedup_lines(docs)
-    return rows.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), _sha(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+    rows = line_dedup.removed_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc.doc_id", F.col("lines").cast("long").alias("n_lines"), F.col("removed").cast("long").alias("n_removed"), _sha(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
