@@ -2,17 +2,17 @@
 
 The standard library's parser is fed the page and reports events; each block of text becomes a line with the number of
 tags that stand in and before it. Lines that structure marks as menus, adverts, forms and the like count as empty. The
-ratio of text to tags along the page is smoothed; lines over the threshold form clusters, and the clusters choose the
-region, the element that holds the article. All of that region's own text is returned.
+ratio of text to tags along the page is smoothed; lines over the threshold form clusters. The clusters choose the region,
+which is the article with most of their text, or without one the containers that hold their lines, and they decide about
+lines whose marks may be an article's own. The rest of the region's text is returned whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,60 +27,72 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never the article's.
 DROPPED = frozenset(
-    "aside button canvas datalist dialog footer form head iframe input label menu nav noscript object option script select style svg template "
-    "textarea title".split()
+    "aside button canvas datalist dialog footer form head iframe input menu nav noscript option script select style svg template textarea title".split()
 )
 #: Roles, and words of classes and ids, that mark such elements.
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer gdpr "
-    "masthead menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion "
-    "recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget".split()
+    "menu nav navbar navigation newsletter notice outbrain pagination promo promoted promotion replies share sharing sidebar signup social "
+    "sponsor sponsored subscribe taboola".split()
 )
+#: Words that may mark such elements, or parts of an article; the clusters decide.
+MAYBE = frozenset("masthead modal notification pager popup recommended related respond search skip toolbar widget".split())
 #: Those that mark an element only outside of the article: within, a header holds its heading.
 OUTER_MARKS = frozenset("header banner".split())
 #: Elements that hold an article.
 HOLDERS = frozenset(["article", "main"])
-#: Elements that can be an article's region where none of those is; others are blocks of it or parts of blocks.
+#: Elements that can hold an article's lines where none of those is; others are blocks of it or parts of blocks.
 CONTAINERS = frozenset("body center details div html section table tbody td tr".split())
 WORD = re.compile(r"[a-z0-9]+")
 WHITE = re.compile(r"\s+")
 
 
+#: What an element is, and what its descendants are with it.
+DROP, DOUBT, IN_HOLDER = 1, 2, 4
+
+
 @dataclass
 class Line:
     text: str
     tags: int
-    path: tuple[int, ...]
-    dropped: bool
-
-
-@dataclass
-class Node:
-    tag: str
-    number: int
-    dropped: bool
-    holder: bool
+    element: int  # the innermost one around it, 0 for none
+    linked: int  # characters of it in links
 
 
-@dataclass
 class Lines(HTMLParser):
-    lines: list[Line] = field(default_factory=list)
+    """Lines of a page, and its elements by number: their parents and flags. Each event costs the same, however deep."""
 
-    def __post_init__(self) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[Node] = []
-        self.count = self.tags = 0
+        self.lines: list[Line] = []
+        self.tags = self.linked = 0
         self.parts: list[str] = []
+        self.parent, self.flags = [0], [0]
         self.holders: set[int] = set()
         self.containers: set[int] = set()
+        #: Open elements as (tag, number, blocks that were open then), and those of each tag that no end tag has met.
+        self.open: list[tuple[str, int, int]] = []
+        self.unmet: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of blocks among the open elements
+        self.links = 0
 
     def flush(self) -> None:
         text = WHITE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            self.lines.append(Line(text, self.tags, tuple(n.number for n in self.open), any(n.dropped for n in self.open)))
-            self.tags = 0
+            self.lines.append(Line(text, self.tags, self.open[-1][1] if self.open else 0, self.linked))
+            self.tags = self.linked = 0
+
+    def cut(self, size: int) -> None:
+        """Close open elements down to ``size``."""
+        while len(self.open) > size:
+            tag, number, _ = self.open.pop()
+            if self.unmet[tag] and self.unmet[tag][-1] == len(self.open):
+                self.unmet[tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
+            self.links -= tag == "a"
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -91,65 +103,79 @@ class Lines(HTMLParser):
             self.close_implied(tag)
         if tag in VOID:
             return
-        self.count += 1
+        up = self.open[-1][1] if self.open else 0
+        number = len(self.parent)
         holder = tag in HOLDERS or dict(attrs).get("role") in HOLDERS
-        self.open.append(Node(tag, self.count, self.is_dropped(tag, attrs), holder))
+        self.parent.append(up)
+        self.flags.append(self.flags[up] | self.kind(tag, attrs, bool(self.flags[up] & IN_HOLDER)) | IN_HOLDER * holder)
         if holder:
-            self.holders.add(self.count)
+            self.holders.add(number)
         if tag in CONTAINERS:
-            self.containers.add(self.count)
+            self.containers.add(number)
+        self.unmet.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, number, len(self.blocks)))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open) - 1)
+        self.links += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k].tag == tag), None)
+        if not self.unmet.get(tag):
+            return
+        at = self.unmet[tag][-1]
         # an inline element doesn't end blocks that were begun within it
-        if at is not None and (tag in BLOCKS or all(n.tag not in BLOCKS for n in self.open[at:])):
-            del self.open[at:]
-        elif at is not None:
-            del self.open[at]
+        if tag in BLOCKS or self.open[at][2] == len(self.blocks):
+            self.cut(at)
+        else:
+            self.unmet[tag].pop()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in ("svg", "canvas", "iframe", "object") and self.open and self.open[-1].tag == tag:
-            self.open.pop()
+        if tag in ("svg", "canvas", "iframe", "object") and self.open and self.open[-1][0] == tag:
+            self.cut(len(self.open) - 1)
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.links > 0:
+            self.linked += len(data)
 
     def close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; items and cells end their like."""
         ends = {"p"} | {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}.get(tag, set())
-        stop = {"ul", "ol", "dl", "table"}
         if tag == "body":
-            ends, stop = ends | {"head"}, set()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag in ends:
-                del self.open[k:]
+            if self.unmet.get("head"):
+                self.cut(self.unmet["head"][-1])
+            return
+        for at in reversed(self.blocks):
+            own = self.open[at][0]
+            if own in ends:
+                self.cut(at)
                 return
-            if self.open[k].tag in stop or (self.open[k].tag in BLOCKS and self.open[k].tag not in ("p", "li", "dd", "dt", "tr", "td", "th")):
+            if own not in ("p", "li", "dd", "dt", "tr", "td", "th"):
                 return
 
-    def is_dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def kind(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+        """DROP, DOUBT or 0; ``inside``: within an element that may hold the article."""
         if tag in DROPPED:
-            return True
+            return DROP
         if tag in ("html", "body"):
-            return False
-        inside = any(n.holder for n in self.open)
+            return 0
         if tag == "header" and not inside:
-            return True
+            return DROP
         a = dict(attrs)
         style = (a.get("style") or "").replace(" ", "").lower()
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-            return True
-        role = (a.get("role") or "").lower()
-        if role in ROLES:
-            return True
+            return DROP
+        if (a.get("role") or "").lower() in ROLES:
+            return DROP
         words = set(WORD.findall(f"{a.get('class') or ''} {a.get('id') or ''}".lower()))
         if tag in HOLDERS and not inside:
-            return bool(words & {"comment", "comments", "related", "promo", "ad", "sponsored"})
-        return bool(words & MARKS) or (not inside and bool(words & OUTER_MARKS))
+            return DROP * bool(words & {"comment", "comments", "related", "promo", "ad", "sponsored"})
+        if words & MARKS or not inside and words & OUTER_MARKS:
+            return DROP
+        return DOUBT * bool(words & MAYBE)
 
 
 def smoothed(ratios: list[float], sigma: float) -> list[float]:
@@ -162,55 +188,82 @@ def smoothed(ratios: list[float], sigma: float) -> list[float]:
     return out
 
 
-def content_lines(lines: list[Line], sigma: float) -> list[int]:
-    """Numbers of the lines that are not dropped and whose smoothed ratio reaches the standard deviation."""
-    ratios = [0.0 if x.dropped else len(x.text) / max(1, x.tags) for x in lines]
+def content_lines(lines: list[Line], flags: list[int], sigma: float) -> set[int]:
+    """Numbers of the lines that are not dropped and whose smoothed ratio reaches the standard deviation: the clusters."""
+    gone = [bool(flags[x.element] & DROP) for x in lines]
+    ratios = [0.0 if no else len(x.text) / max(1, x.tags) for x, no in zip(lines, gone, strict=True)]
     if not any(ratios):
-        return []
+        return set()
     soft = smoothed(ratios, sigma)
     mean = sum(soft) / len(soft)
-    threshold = min(math.sqrt(sum((x - mean) ** 2 for x in soft) / len(soft)), max(x for x, y in zip(soft, lines, strict=True) if not y.dropped))
-    return [i for i, x in enumerate(soft) if x >= threshold and not lines[i].dropped]
+    threshold = min(math.sqrt(sum((x - mean) ** 2 for x in soft) / len(soft)), max(x for x, no in zip(soft, gone, strict=True) if not no))
+    return {i for i, x in enumerate(soft) if x >= threshold and not gone[i]}
 
 
-def region(lines: list[Line], chosen: list[int], holders: set[int], containers: set[int]) -> int | None:
-    """The element that holds the clusters: of articles the one with most of their text, else the deepest container of all of it.
+def regions(page: Lines, kept: list[int], chosen: set[int]) -> list[bool]:
+    """For each element whether it, or one around it, is a region; ``kept``: numbers of the lines that aren't dropped.
 
-    A container of a single line is a paragraph by another name.
+    Of articles the one with most of the clusters' text is the region. Without any, regions are the innermost containers
+    of cluster lines; a container of a single line is a paragraph by another name, and the next one around it counts.
     """
-    weight: dict[int, int] = {}
-    for i in chosen:
-        for n in lines[i].path:
-            weight[n] = weight.get(n, 0) + len(lines[i].text)
-    held = {n: w for n, w in weight.items() if n in holders}
-    if held:
-        most = max(held.values())
-        return max(n for n, w in held.items() if w == most)
-    around = set(lines[chosen[0]].path).intersection(containers, *(lines[i].path for i in chosen))
-    own = Counter(n for x in lines if not x.dropped for n in around.intersection(x.path))
-    return max((n for n in around if own[n] > 1), default=None)
+    weight, own = [0] * len(page.parent), [0] * len(page.parent)
+    for i in kept:
+        own[page.lines[i].element] += 1
+        weight[page.lines[i].element] += len(page.lines[i].text) * (i in chosen)
+    for n in range(len(page.parent) - 1, 0, -1):
+        own[page.parent[n]] += own[n]
+        weight[page.parent[n]] += weight[n]
+    within = [False] * len(page.parent)
+    if held := [n for n in page.holders if weight[n]]:
+        within[max(held, key=lambda n: (weight[n], n))] = True
+        for n in range(1, len(page.parent)):
+            within[n] = within[n] or within[page.parent[n]]
+        return within
+    # the container that counts for each element
+    around = [0] * len(page.parent)
+    for n in range(1, len(page.parent)):
+        around[n] = n if n in page.containers and own[n] > 1 else around[page.parent[n]]
+    hold = {around[page.lines[i].element] for i in chosen}
+    return [around[n] in hold for n in range(len(page.parent))]
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks, joined by a line feed; empty if there is none. Null counts as empty."""
-    parser = Lines()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    lines = parser.lines
-    chosen = content_lines(lines, sigma)
+    page = Lines()
+    page.feed(html or "")
+    page.close()
+    page.flush()
+    lines = page.lines
+    chosen = content_lines(lines, page.flags, sigma)
     if not chosen:
         return ""
-    within = region(lines, chosen, parser.holders, parser.containers)
-    return "\n".join(x.text for x in lines if not x.dropped and (within is None or within in x.path))
+    kept = [i for i, x in enumerate(lines) if not page.flags[x.element] & DROP]
+    article = any(page.flags[lines[i].element] & IN_HOLDER for i in chosen)
+    if not article:  # a line of links by the side of the text is a menu's, whatever smoothing lends it
+        chosen = {i for i in chosen if 2 * lines[i].linked < len(lines[i].text)} or chosen
+    within = regions(page, kept, chosen)
+    first, last = min(chosen), max(chosen)
+
+    def stays(i: int) -> bool:
+        x = lines[i]
+        if i in chosen:
+            return within[x.element]
+        if page.flags[x.element] & DOUBT:
+            return False
+        if article:
+            return within[x.element]
+        return first < i < last or within[x.element] and 2 * x.linked < len(x.text)
+
+    return "\n".join(lines[i].text for i in kept if stays(i))
 
 
 def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text.
 
     A null or empty html gives the empty text, as does one without any text outside of menus and the like. A page is
-    read whole by one task, and no page meets another, so memory is bounded by the longest page. Repeated rows give
-    repeated results; other columns are ignored; an empty table gives an empty result.
+    read whole by one task, and no page meets another, so memory is bounded by the longest page, and time is in proportion
+    to its length however deep its markup. Repeated rows give repeated results; other columns are ignored; an empty table
+    gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pyarrow.parquet as pq
 
@@ -48,6 +49,58 @@ def test_one_dominant_block_without_an_article_tag():
             assert html_extract.main_text(page) == f"Title\n{long}\n{short}", page
 
 
+LONG = "A paragraph of an article has many words between two tags, as this one has, and goes on for a while."
+UNMARKED = """<body><div><ul>{menu}</ul></div><div><div>{a}</div><div>{a}</div><div>Short.</div><div>{a}</div></div>
+<div><p><a href=/>Terms</a></p><p><a href=/>Privacy</a></p><p><a href=/>Imprint</a></p><p>2020</p></div></body>"""
+
+
+def test_clusters_decide_without_any_mark(monkeypatch):
+    """No article, no list word: the method alone tells text from menus. Without any of its steps the result is another."""
+    page = UNMARKED.format(menu="".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(12)), a=LONG)
+    want = "\n".join([LONG, LONG, "Short.", LONG])
+    assert html_extract.main_text(page) == want
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines, flags, sigma: {i for i, x in enumerate(lines) if not flags[x.element] & html_extract.DROP})
+    assert html_extract.main_text(page) != want
+
+
+def test_each_step_counts(monkeypatch):
+    def chosen(page):
+        lines = html_extract.Lines()
+        lines.feed(page)
+        lines.close()
+        lines.flush()
+        return [lines.lines[i].text for i in sorted(html_extract.content_lines(lines.lines, lines.flags, 1.0))]
+
+    menu = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(12))
+    page = UNMARKED.format(menu=menu, a=LONG)
+    assert chosen(page) == [LONG, LONG, "Short.", LONG, "Terms"]
+    with monkeypatch.context() as m:  # without smoothing the short line is lost
+        m.setattr(html_extract, "smoothed", lambda ratios, sigma: ratios)
+        assert chosen(page) == [LONG, LONG, LONG]
+    with monkeypatch.context() as m:  # without the threshold nothing is
+        m.setattr(html_extract.math, "sqrt", lambda x: -1.0)
+        assert len(chosen(page)) == 20
+    # the ratio is one of text to tags: a line of many tags and as much text is no content
+    tagged = "".join(f"<b>{w}</b> " for w in LONG.split())
+    assert tagged.count("<b>") > 15 and chosen(f"<div>{LONG}</div>" * 4 + f"<p>{tagged}</p>" * 6)[-1] == LONG
+
+
+def test_words_of_classes_inside_an_article():
+    page = """<article><h2 class="widget-title">Heading</h2><p>{a}</p><section id="search"><p>{a}</p></section><label>Kept</label><p class="related">{a}</p>
+    <ul class="related">{menu}</ul><div class="ad">{a}</div></article>"""
+    got = html_extract.main_text(page.format(a=LONG, menu="".join(f"<li><a href=/{k}>See {k}</a></li>" for k in range(15))))
+    lines = got.split("\n")
+    assert lines[0] == "Heading" and lines.count(LONG) == 3 and "Kept" in lines
+    assert not any(f"See {k}" in lines for k in range(2, 15))
+
+
+def test_deep_and_long_markup_takes_linear_time():
+    for unit in ("<div>", "<b><p>", "<b>x<p>y</b>", "<li><td>", "<a>", "</b></div>", "<i><div></i>"):
+        began = time.time()
+        html_extract.main_text(f"<body>{'<b>' * 5000}{unit * 40_000}text</body>")
+        assert time.time() - began < 5, unit
+
+
 def test_pages_against_a_plain_reading(spark):
     """Articles of the test pages have no nested blocks, so a few patterns read them too."""
     got = {r["page_id"]: r for r in queries.op4_html(spark, SF).collect()}
