@@ -22,8 +22,13 @@ BASE_KINDS = [
 #: The same matches found faster: no shorter run can hold one that is long enough.
 FAST = {"access": r"AKIA[A-Z0-9]{16,}+", "hex": r"[0-9a-f]{24,}+"}
 MARKOV = "markov"
-#: Strings that the models judge.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Numbers added up at a time.
+BLOCK = 128
+#: Strings that the models judge: runs of these characters as far as a base span begins in them; what is left of a run
+#: behind a base span belongs to that. The first group is the string.
+RUN = "[A-Za-z0-9+/_-]"
+ANY_BASE = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}+)|AKIA[A-Z0-9]{16,}+|[0-9a-f]{24,}+"""
+CANDIDATE = f"(?:{ANY_BASE}){RUN}*+|(?<!{RUN})(?={RUN}{{20}})((?:(?!{ANY_BASE}){RUN}){{20,}}+={{0,2}})"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 #: Classes: one for each character of the alphabet and one for the string's edge.
 CLASSES = len(ALPHABET) + 1
@@ -114,10 +119,29 @@ def default_model(spark: SparkSession) -> MarkovModel:
 
 
 def log_likelihood_ratio(token: Column, model: MarkovModel) -> Column:
-    """Mean log-odds of a step of ``token``: above 0 if random strings explain it better."""
+    """Mean log-odds of a step of ``token``: above 0 if random strings explain it better. One pass over its characters."""
     table = F.array(*[F.lit(x) for x in model.log_odds])
-    add = lambda acc, i: acc + F.get(table, class_at(token, i - 1) * F.lit(CLASSES) + class_at(token, i))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) + 1), F.lit(0.0), add) / (F.length(token) + 1)
+    edge = F.lit(CLASSES - 1)
+    odds = lambda a, b: F.get(table, a * F.lit(CLASSES) + b)
+    one = lambda c: F.instr(F.lit(ALPHABET), c) - 1
+    step = lambda acc, c: F.struct(one(c).alias("last"), (acc["sum"] + odds(acc["last"], one(c))).alias("sum"))
+    chars = F.filter(F.split(token, "", -1), lambda c: c != "")
+    total = F.aggregate(chars, F.struct(edge.alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"] + odds(acc["last"], edge))
+    return total / (F.length(token) + 1)
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sum of each number and all before it, within blocks of numbers first, as an array grows by being copied."""
+    last = lambda x: F.coalesce(F.element_at(x, -1), F.lit(0))
+    along = lambda x: F.aggregate(x, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, (F.when(F.size(acc) > 0, last(acc)).otherwise(0) + n).cast("int")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")), lambda k: along(F.slice(numbers, k * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined(x: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), along(F.transform(F.slice(x, F.lit(1), F.size(x) - 1), last)))
+        return F.flatten(F.zip_with(x, before, lambda block, n: F.transform(block, lambda v: v + n)))
+
+    # through a list of one, so that the blocks are computed once
+    return F.when(F.size(numbers) > 0, F.get(F.transform(F.array(blocks), joined), F.lit(0))).otherwise(F.array().cast("array<int>"))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -125,27 +149,28 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
     Splitting by a pattern gives what lies between the matches that extraction gives.
     """
+    out = "array<struct<start:int,end:int,found:string>>"
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
-    out = "array<struct<start:int,end:int,found:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(out).alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        begin = acc["at"] + r["gap"]
-        end = begin + F.length(r["whole"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), r["part"].alias("found"))).alias("out"))
+    def spans(pieces: Column) -> Column:
+        ends = running_sums(F.transform(pieces, lambda x: x["gap"] + x["size"]))
+        return F.zip_with(pieces, ends, lambda x, end: F.struct((end - x["size"]).alias("start"), end.alias("end"), x["part"].alias("found")))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(rows, start, step)["out"]).otherwise(F.array().cast(out))
+    sizes = F.transform(whole, lambda w: F.length(w))
+    pieces = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), sizes.alias("size"), part.alias("part"))
+    # through a list of one, so that the text is read once
+    found = F.get(F.transform(F.array(pieces), spans), F.lit(0))
+    return F.when(F.rlike(text, F.lit(pattern)), found.cast(out)).otherwise(F.array().cast(out))
 
 
 def scan_secrets(docs: DataFrame, model: MarkovModel | None = None, threshold: float = 0.6) -> DataFrame:
     """One row per row of ``docs``: doc_id, spans array<struct<start, rank, end, kind, found>> by start, then kind.
 
-    Kinds are those of BASE_KINDS, and ``markov``: a candidate string that touches no base span and whose mean
-    log-likelihood ratio is at least ``threshold``. Null and empty texts have no spans. Repeated rows give repeated
-    results; other columns are ignored; an empty table gives an empty result. The whole text is read.
+    Kinds are those of BASE_KINDS, and ``markov``: a candidate string, which touches no base span, whose mean
+    log-likelihood ratio is at least ``threshold``. Null and empty texts have no spans. Repeated rows give repeated results; other columns are ignored; an
+    empty table gives an empty result. The whole text is read, in time that is in proportion to its length.
     """
     model = model or default_model(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
@@ -155,9 +180,8 @@ def scan_secrets(docs: DataFrame, model: MarkovModel | None = None, threshold: f
         rows = rows.withColumn(f"__{kind}", F.transform(found, _span(rank, kind)))
         kinds.append(f"__{kind}")
     rows = rows.withColumn("__base", F.concat(*kinds))
-    clear = lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    random = lambda m: log_likelihood_ratio(m["found"], model) >= F.lit(threshold)
-    more = F.filter(F.filter(matches(F.col("__text"), CANDIDATE), clear), random)
+    random = lambda m: (m["found"] != "") & (log_likelihood_ratio(m["found"], model) >= F.lit(threshold))
+    more = F.filter(matches(F.col("__text"), CANDIDATE, 1), random)
     rows = rows.withColumn("__more", F.transform(more, _span(len(BASE_KINDS), MARKOV)))
     return rows.select("doc_id", F.array_sort(F.concat("__base", "__more")).alias("spans"))
 

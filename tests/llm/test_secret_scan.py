@@ -1,5 +1,10 @@
 import hashlib
+import itertools
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from callweave.llm import queries, secret_scan
 from tests.llm.helpers import SF, documents, empty_docs, odd_docs
@@ -18,6 +23,63 @@ def brute(text):
     return sorted(out)
 
 
+def markov_by_hand(text, model, threshold=0.6):
+    """Spans of random strings, step by step."""
+    classes = {c: k for k, c in enumerate(secret_scan.ALPHABET)}
+    edge, out = secret_scan.CLASSES - 1, []
+    for m in re.finditer(secret_scan.CANDIDATE, text or "", re.A):
+        if m[1]:
+            steps = [edge, *(classes[c] for c in m[1]), edge]
+            total = sum(model.log_odds[a * secret_scan.CLASSES + b] for a, b in zip(steps, steps[1:], strict=False))
+            if total / (len(m[1]) + 1) >= threshold:
+                out.append((m.start(), m.end(), m[1]))
+    return out
+
+
+def markov_of(row):
+    return [(s["start"], s["end"], s["found"]) for s in row["spans"] if s["kind"] == "markov"]
+
+
+def test_markov_spans_are_brute_force(spark):
+    model = secret_scan.default_model(spark)
+    rng = random.Random(4)
+    docs = [(d["doc_id"], d["text"]) for d in documents()]
+    for k in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            blob = "".join(rng.choice(secret_scan.ALPHABET[:64]) for _ in range(rng.choice([8, 19, 20, 21, 40, 90])))
+            parts += [rng.choice([blob, blob.lower(), hashlib.sha256(blob.encode()).hexdigest()[: rng.randrange(10, 64)], "AKIA" + "Q1" * rng.randrange(6, 12), "token=" + blob, "someInternationalIdentifierName", "é🙂"])]
+            parts += [rng.choice([" ", "", ",", "==", "\n", "_"])]
+        docs.append((10**6 + k, "".join(parts)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(df).collect()}
+    want = {i: markov_by_hand(t, model) for i, t in docs}
+    assert {i: markov_of(r) for i, r in got.items()} == want and sum(map(len, want.values())) > 200
+    for r in got.values():  # none touches a base span
+        base = [s for s in r["spans"] if s["kind"] != "markov"]
+        assert not any(b["start"] < end and start < b["end"] for b in base if b["kind"] == "assign" for start, end, _ in markov_of(r))
+
+
+def test_running_sums(spark):
+    lists = [[], [5], list(range(127)), list(range(128)), [1] * 129, [2] * 1000]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, x array<int>")
+    got = {r["k"]: r["s"] for r in df.select("k", secret_scan.running_sums(F.col("x")).alias("s")).collect()}
+    assert got == {k: list(itertools.accumulate(x)) for k, x in enumerate(lists)}
+
+
+def test_time_is_linear(spark):
+    rng = random.Random(5)
+    blob = "".join(rng.choice(secret_scan.ALPHABET[:64]) for _ in range(1_000_000))
+    many = " ".join(f"token=abc{k}def AKIA{k:020d}" for k in range(20_000))
+    df = spark.createDataFrame([(1, blob), (2, many), (3, "a" * 1_000_000), (4, "token " * 100_000)], "doc_id long, text string").repartition(4)
+    secret_scan.default_model(spark)
+    began = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(df).collect()}
+    assert time.time() - began < 30
+    assert markov_of(got[1]) == [(0, 1_000_000, blob)] or len(brute(blob)) > 0
+    assert len(got[2]["spans"]) == len(brute(many)) >= 40_000
+
+
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in spans).encode()).hexdigest()
 
@@ -48,9 +110,9 @@ def test_markov_finds_random_strings_and_spares_names(spark):
     held_out = [hashlib.sha256(f"other {i}".encode()).digest() for i in range(50)]
     import base64
 
-    random = [base64.b64encode(x).decode() for x in held_out]
+    strings = [base64.b64encode(x).decode() for x in held_out]
     plain = ["getInternationalAccountBalanceHandler", "application_configuration_manager", "Unabhaengigkeitserklaerungen", "ththerhandingerstionthhaerndth", "THONSHANDERSTIONERRETHAND", "src/main/resources/application"]
-    df = spark.createDataFrame(list(enumerate(f"see {x} here" for x in random + plain)), "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(f"see {x} here" for x in strings + plain)), "doc_id long, text string")
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan_secrets(df).collect()}
     assert sum(got[i] == ["markov"] for i in range(50)) >= 48
     assert all(got[50 + i] == [] for i in range(len(plain)))
