@@ -91,7 +91,7 @@ def gram_hash(a: Column, b: Column, c: Column, short: set[str]) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: list[LicenseTemplate]) -> tuple[DataFrame, set[str]]:
-    """(hash, template, at, label, phrase, of, words) of every gram of every template, and the words with short grams.
+    """(hash, template, at, label, phrase, of, words, gram) of every gram of every template, and the words with short grams.
 
     A gram that would reach beyond its template is left out.
     """
@@ -105,7 +105,8 @@ def template_grams(spark: SparkSession, templates: list[LicenseTemplate]) -> tup
         rows += [(k, i, words[i], words[i + 1], words[i + 2] if i + 2 < len(words) else None, t.label, t.phrase, len(at), len(words)) for i in at]
     schema = "template int, at int, a string, b string, c string, label string, phrase boolean, of int, words int"
     table = spark.createDataFrame(rows, schema)
-    return table.select(gram_hash(F.col("a"), F.col("b"), F.col("c"), short).alias("hash"), "template", "at", "label", "phrase", "of", "words"), short
+    gram = F.when(F.col("a").isin(*sorted(short)), F.array("a", "b")).otherwise(F.array("a", "b", "c")) if short else F.array("a", "b", "c")
+    return table.select(gram_hash(F.col("a"), F.col("b"), F.col("c"), short).alias("hash"), "template", "at", "label", "phrase", "of", "words", gram.alias("gram")), short
 
 
 def scan_licenses(docs: DataFrame, templates: list[LicenseTemplate] | None = None, coverage: float = 0.75, drift: int = 3) -> DataFrame:
@@ -114,7 +115,8 @@ def scan_licenses(docs: DataFrame, templates: list[LicenseTemplate] | None = Non
     places: array<struct<start, label>>, where a phrase's words stand consecutively. found: array<struct<label, score,
     start, end>>, spans in words whose grams cover at least ``coverage`` of a template's, on diagonals (position in the
     text less position in the template) that follow one another at ``drift`` words at most; such spans are no longer
-    than the template's words plus ``drift`` for each of its grams that is missing.
+    than the template's words plus ``drift`` for each of its grams that is missing. Grams meet by hash and count where
+    their words are the same.
 
     A null or empty text has no words. Rows with equal doc_id and text share one result; each has its row. Other columns
     are ignored; an empty table gives an empty result.
@@ -123,12 +125,14 @@ def scan_licenses(docs: DataFrame, templates: list[LicenseTemplate] | None = Non
     grams, short = template_grams(spark, templates or default_templates())
     # each text ends with this mark, whose position is the number of words, so that texts without a hit stay
     mark = F.xxhash64(F.lit("end of text"), F.lit("callweave"))
-    ends = spark.range(1).select(mark.alias("hash"), *[F.lit(v).cast(grams.schema[n].dataType).alias(n) for n, v in (("template", -1), ("at", 0), ("label", None), ("phrase", None), ("of", 1), ("words", 0))])
+    ends = spark.range(1).select(mark.alias("hash"), *[F.lit(v).cast(grams.schema[n].dataType).alias(n) for n, v in (("template", -1), ("at", 0), ("label", None), ("phrase", None), ("of", 1), ("words", 0), ("gram", None))])
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     rows = rows.select("doc_id", F.xxhash64("__text").alias("__h"), words_of(F.col("__text")).alias("__w"))
     rolling = F.transform("__w", lambda w, i: gram_hash(w, F.get(F.col("__w"), i + 1), F.get(F.col("__w"), i + 2), short))
-    rolled = rows.select("doc_id", "__h", F.posexplode(F.concat(rolling, F.array(mark))).alias("__pos", "hash"))
+    rolled = rows.select("doc_id", "__h", "__w", F.posexplode(F.concat(rolling, F.array(mark))).alias("__pos", "hash"))
     hits = rolled.join(F.broadcast(grams.unionAll(ends)), "hash")
+    # a hash only proposes a place: the words decide
+    hits = hits.where(F.col("gram").isNull() | (F.slice("__w", F.col("__pos") + 1, F.size("gram")) == F.col("gram")))
     key = ["doc_id", "__h"]
     # a vote per (text, template, diagonal)
     votes = hits.groupBy(*key, "template", (F.col("__pos") - F.col("at")).alias("__diag")).agg(
