@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
+import json
+import logging
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -10,10 +13,15 @@ from pyspark.sql import functions as F
 
 from callweave import schema
 from callweave.operators import lookup, report, resolve, search, sync
+from callweave.plans.cut import cut
 from callweave.sources import scan
-from callweave.sources.parsers import parse
+from callweave.sources.parsers import calls_of, nodes_of, parsed
 from callweave.sources.store import IndexMissing, Store
 
+log = logging.getLogger(__name__)
+#: The file beside the tables that tells tools and people what the index is of.
+POINTER = "ABOUT.md"
+
 
 class Engine:
     """An index of one workspace. Results are DataFrames; ``workspace`` must be visible to all executors."""
@@ -25,31 +33,56 @@ class Engine:
     # -- building
 
     def build(self, include_library: bool = False) -> None:
-        """A fresh index."""
-        found = scan.scan(self.spark, self.workspace, include_library)
-        self._keep(self._resolved(found))
+        """A fresh index. Each file is read and parsed once."""
+        found = cut(parsed(scan.scan(self.spark, self.workspace, include_library)))
+        self._warn(found)
+        nodes = cut(nodes_of(found))
+        calls = sync.known_ends(calls_of(found), nodes, "caller_id")
+        calls = cut(calls.select(*schema.names(schema.RAW_CALLS)))
+        resolved = cut(resolve.resolve(calls, nodes))
+        self._keep({
+            "files": found.where("content_hash is not null"), "nodes": nodes, "raw_calls": calls,
+            "edges": sync.known_ends(resolve.edges_of(resolved), nodes, "source_id", "target_id"),
+            "unresolved_refs": sync.known_ends(resolve.unresolved_of(resolved), nodes, "source_id"), "postings": search.index_rows(nodes),
+        })
 
     def sync(self, include_library: bool = False) -> None:
-        """Bring the index up to date: only changed files are parsed, only calls that they touch resolved anew."""
+        """Bring the index up to date: only changed files are parsed, only calls that they touch resolved anew.
+
+        A file that can't be read as UTF-8 any more keeps what the index has of it.
+        """
         if self.store.manifest is None:
             raise IndexMissing(f"no index in {self.workspace}; build one first")
         if self.store.manifest["schema_version"] != schema.SCHEMA_VERSION:
             return self.build(include_library)
         before = {t: self.store.table(t) for t in schema.TABLES if t != "project_metadata"}
-        disk = scan.scan(self.spark, self.workspace, include_library)
-        changed = disk.join(sync.modified(before["files"], disk).select("file_path"), "file_path", "left_semi")
-        nodes, calls = parse(changed)
-        self._keep(sync.apply_changes(before, {"files": disk.select(*schema.names(schema.FILES)), "nodes": nodes, "raw_calls": calls}))
+        listed = cut(scan.scan(self.spark, self.workspace, include_library).select(*schema.names(schema.FILES)))
+        self._warn(listed)
+        changed = sync.modified(before["files"], listed).select("file_path")
+        found = cut(parsed(scan.scan(self.spark, self.workspace, include_library, changed)))
+        # what was parsed is what counts, should a file have changed in between
+        disk = cut(listed.join(found.select("file_path"), "file_path", "left_anti").unionByName(found.select(*listed.columns)))
+        after = sync.apply_changes(before, {"files": disk, "nodes": nodes_of(found), "raw_calls": calls_of(found)})
+        old, new = before["nodes"], after["nodes"]
+        gone = old.join(new, [old[c].eqNullSafe(new[c]) for c in ("id", *search.COLUMNS)], "left_anti")
+        fresh = new.join(old, [new[c].eqNullSafe(old[c]) for c in ("id", *search.COLUMNS)], "left_anti")
+        self._keep(after | {"postings": search.updated(before["postings"], gone, fresh)})
         return None
 
-    def _resolved(self, files: DataFrame) -> dict[str, DataFrame]:
-        nodes, calls = parse(files)
-        found = resolve.resolve(calls, nodes)
-        return {"files": files, "nodes": nodes, "raw_calls": calls, "edges": resolve.edges_of(found), "unresolved_refs": resolve.unresolved_of(found)}
+    def compact(self) -> None:
+        """Rewrite the tables in as few files as they need."""
+        self.store.compact()
+
+    def _warn(self, files: DataFrame) -> None:
+        for r in files.where("content_hash is null").select("file_path").limit(20).collect():
+            log.warning("not readable as UTF-8, left as it was: %s", r["file_path"])
 
     def _keep(self, tables: dict[str, DataFrame]) -> None:
         facts = scan.git_facts(self.workspace) | {"indexed_at": datetime.now(UTC).isoformat(timespec="seconds")}
         self.store.write(tables, facts)
+        log.info("indexed: %s", ", ".join(f"{n} {t}" for t, n in ((t, self.table(t).count()) for t in ("files", "nodes", "edges", "raw_calls", "unresolved_refs"))))
+        said = "".join(f"- {name}: {facts[key] or 'N/A'}\n" for name, key in (("commit", "git_commit_sha"), ("branch", "git_branch"), ("working tree", "git_status"), ("indexed at", "indexed_at")))
+        (self.store.folder / POINTER).write_text(f"# Code graph of this workspace\n\nWritten by each build and sync.\n\n{said}\nAsk it with callweave.engine.Engine; status() says whether it is fresh.\n")
 
     # -- asking
 
@@ -68,7 +101,7 @@ class Engine:
         return lookup.files_with_counts(self.table("files"), self.table("nodes"))
 
     def search(self, query: str, limit: int = 30, no_tests: bool = False) -> DataFrame:
-        return search.search(self.table("nodes"), query, limit, no_tests)
+        return search.search(self.table("nodes"), query, limit, no_tests, self.table("postings"))
 
     def _targets(self, symbol: str, within: str | None, no_tests: bool) -> DataFrame:
         return lookup.scoped(lookup.without_tests(lookup.find_symbol(self.table("nodes"), symbol), no_tests), within)
@@ -106,9 +139,28 @@ class Engine:
 
     def explore(self, query: str, no_tests: bool = False) -> dict[str, DataFrame]:
         """Symbols that a query finds, by file and rank, with code, callers and callees."""
-        found = lookup.without_tests(search.ladder(self.table("nodes"), query), no_tests)
+        found = lookup.without_tests(search.ladder(self.table("nodes"), query, self.table("postings")), no_tests)
         return self._details(found.orderBy("file_path", "rank", "id"), no_tests)
 
-    def describe(self) -> dict[str, str]:
-        """What can be asked."""
-        return {name: (getattr(Engine, name).__doc__ or name).strip().split("\n")[0] for name in ("build", "sync", "status", "files", "search", "callers", "callees", "node", "explore")}
+    def pull_report(self, pull: str, changed: str, k: int = 12) -> DataFrame:
+        """A report on a pull request from two JSON files: the request itself, and its changed files."""
+        read = lambda path, ddl: report.read_json(self.spark.read.text(path, wholetext=True), ddl)
+        counts = report.totals(self.table("files"), self.table("nodes"), self.table("edges"))
+        return report.pull_report(read(pull, report.PULL), read(changed, report.CHANGED), counts, self.table("nodes"), scan.is_shallow(self.workspace), k)
+
+    def as_json(self, found: DataFrame | dict[str, DataFrame]) -> str:
+        """What any of the others found, as indented JSON. For results that a reader can take in."""
+        rows = lambda df: [json.loads(r["json"]) for r in report.as_json(df).collect()]
+        return json.dumps(rows(found) if isinstance(found, DataFrame) else {name: rows(df) for name, df in found.items()}, indent=2, ensure_ascii=False)
+
+    def as_text(self) -> str:
+        """The files as a table of fixed widths."""
+        return "\n".join(r["line"] for r in report.files_as_text(self.files()).collect())
+
+    def describe(self) -> dict[str, dict[str, object]]:
+        """What can be asked: for each question what it is, and its arguments with their defaults."""
+        out = {}
+        for name in ("build", "sync", "compact", "status", "files", "search", "callers", "callees", "node", "explore", "pull_report", "as_json", "as_text"):
+            about = inspect.signature(getattr(self, name)).parameters
+            out[name] = {"about": (getattr(Engine, name).__doc__ or name).strip().split("\n")[0], "arguments": {k: None if p.default is p.empty else p.default for k, p in about.items()}}
+        return out

@@ -1,9 +1,10 @@
 """Call resolution: which symbols the call sites of a project name.
 
 Stages are tried in turn, from the most certain; a stage decides if it leaves one candidate. What decides a call is a
-few strings, so calls are first reduced to the distinct combinations of them. The stages that compare keys for equality
-look them up in an index of the keys that exactly one symbol has, so a name that thousands of symbols share is a few
-rows there. Only substring stages see the candidates of a name, once for each distinct pair of strings.
+few strings, so calls are first reduced to the distinct combinations of them, each with a key. A stage gives keys and
+targets, and one aggregation takes the most certain stage of each key. The stages compare for equality, mostly with an
+index of the strings that exactly one symbol has, so a name that thousands of symbols share is a few rows there; substrings
+are compared where a segment of the path, or as many last characters, are equal already.
 """
 
 from __future__ import annotations
@@ -38,24 +39,26 @@ def only(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def call_keys(calls: DataFrame, syms: DataFrame) -> DataFrame:
-    """The calls with the strings that decide them."""
+    """The calls with the strings that decide them, and key1 and key2, hashes of these."""
     callers = syms.select(F.col("id").alias("caller_id"), F.col("namespace").alias("caller_namespace"), F.col("file_path").alias("caller_file"))
     out = calls.withColumns({"simple": simple_name(F.col("callee_name")), "ns": callee_namespace(F.col("callee_name"))})
-    return out.join(callers, "caller_id", "left")
+    out = out.join(callers, "caller_id", "left")
+    strings = [F.coalesce(c, F.lit("\0")) for c in KEY]  # a null would be passed over
+    return out.withColumns({"key1": F.xxhash64(*strings), "key2": F.xxhash64(F.lit("second"), *strings)})
 
 
-def _find(keys: DataFrame, index: DataFrame, on: dict[str, Column], kind: Column | int, name: str) -> DataFrame:
-    """KEY and the candidate that ``index`` has for it."""
-    looked = keys.select(*KEY, *[c.alias(k) for k, c in on.items()]).dropna(subset=list(on))
+def _find(keys: DataFrame, index: DataFrame, on: dict[str, Column], kind: Column | int) -> DataFrame:
+    """The keys, and the candidate that ``index`` has for each."""
+    looked = keys.select("key1", "key2", *[c.alias(k) for k, c in on.items()]).dropna(subset=list(on))
     found = looked.join(index, list(on))
-    return found.select(*KEY, F.struct(F.col("id"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind")).alias(name))
+    return found.select("key1", "key2", F.array(F.struct(F.col("id"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"))).alias("targets"))
 
 
 def stage_exact(keys: DataFrame, syms: DataFrame) -> DataFrame:
     """The import hint's dotted segments are those of the candidate's owner."""
-    cut = lambda c, sep: F.array_join(F.split(c, sep), "\1")
-    index = only(syms.select("id", "name", cut(F.col("exact_owner"), "::").alias("segments")), "name", "segments")
-    return _find(keys, index, {"name": F.col("simple"), "segments": cut(F.col("import_hint"), r"\.")}, EXACT, "exact")
+    parts = lambda c, sep: F.array_join(F.split(c, sep), "\1")
+    index = only(syms.select("id", "name", parts(F.col("exact_owner"), "::").alias("segments")), "name", "segments")
+    return _find(keys, index, {"name": F.col("simple"), "segments": parts(F.col("import_hint"), r"\.")}, EXACT)
 
 
 def stage_receiver(keys: DataFrame, syms: DataFrame) -> DataFrame:
@@ -66,56 +69,64 @@ def stage_receiver(keys: DataFrame, syms: DataFrame) -> DataFrame:
     wanted = keys.where("receiver_type is not null").select("simple", "receiver_type", "import_hint").distinct()
     found = wanted.join(by_tail.withColumnRenamed("name", "simple"), ["simple", "receiver_type"])
     kind = F.when(F.col("import_hint").isNotNull() & path_matches_hint(F.col("file_path"), F.col("import_hint")), EXACT).otherwise(RECEIVER)
-    group = ["simple", "receiver_type", "import_hint"]
-    best = found.withColumn("kind", kind).groupBy(*group, "kind").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    best = best.groupBy(*group).agg(F.max(F.struct("kind", "n", "id")).alias("best")).where("best.n = 1")
-    looked = keys.where("receiver_type is not null").alias("k")
-    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
-    joined = looked.join(best.alias("b"), reduce(lambda x, y: x & y, same))
-    return joined.select(*[F.col(f"k.{c}") for c in KEY], F.struct(F.col("b.best.id").alias("id"), F.col("b.best.kind").alias("kind")).alias("receiver"))
+    hint = F.coalesce("import_hint", F.lit("\0"))
+    best = found.groupBy("simple", "receiver_type", hint.alias("hint"), kind.alias("kind")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    best = best.groupBy("simple", "receiver_type", "hint").agg(F.max(F.struct("kind", "n", "id")).alias("best")).where("best.n = 1")
+    index = best.select("simple", "receiver_type", "hint", "best.id", F.col("best.kind").alias("found"))
+    return _find(keys, index, {"simple": F.col("simple"), "receiver_type": F.col("receiver_type"), "hint": hint}, F.col("found"))
 
 
 def stage_import(keys: DataFrame, syms: DataFrame) -> DataFrame:
-    """The candidate's file is in a path that the import hint names."""
-    pairs = keys.where("import_hint is not null").select(F.col("simple").alias("name"), "import_hint").distinct()
-    found = pairs.join(syms.select("id", "name", "file_path"), "name").where(path_matches_hint(F.col("file_path"), F.col("import_hint")))
-    return _named(keys, only(found, "name", "import_hint"), ["import_hint"], "imported")
-
+    """The candidate's file is in a path that the import hint names.
 
-def _named(keys: DataFrame, index: DataFrame, on: list[str], name: str) -> DataFrame:
-    found = keys.join(index.withColumnRenamed("name", "simple"), ["simple", *on])
-    return found.select(*KEY, F.struct(F.col("id"), F.lit(PACKAGE).alias("kind")).alias(name))
+    What stands between two separators of a hint is a whole segment of such a path, so candidates meet hints of three
+    segments or more by the longest of these, and others by name.
+    """
+    pairs = keys.where("import_hint is not null").select(F.col("simple").alias("name"), "import_hint").distinct()
+    parts = F.split("import_hint", r"[./\\]", -1)
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    pairs = pairs.withColumn("segment", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
+    own = syms.select("id", "name", "file_path")
+    by_segment = own.withColumn("segment", F.explode(F.array_distinct(F.split("file_path", r"[./\\]", -1))))
+    found = pairs.where("segment is not null").join(by_segment, ["name", "segment"]).unionByName(pairs.where("segment is null").join(own, "name"))
+    found = found.where(path_matches_hint(F.col("file_path"), F.col("import_hint")))
+    return _find(keys, only(found, "name", "import_hint"), {"name": F.col("simple"), "import_hint": F.col("import_hint")}, PACKAGE)
 
 
 def stage_package(keys: DataFrame, syms: DataFrame) -> DataFrame:
     """The first segment of the candidate's qualified name is the call's package."""
-    index = only(syms.select("id", "name", F.substring_index("qname", "::", 1).alias("package_or_namespace")), "name", "package_or_namespace")
-    return _named(keys, index, ["package_or_namespace"], "package")
+    index = only(syms.select("id", "name", F.substring_index("qname", "::", 1).alias("package")), "name", "package")
+    return _find(keys, index, {"name": F.col("simple"), "package": F.col("package_or_namespace")}, PACKAGE)
 
 
 def stage_scope(keys: DataFrame, syms: DataFrame) -> DataFrame:
-    """The candidate's qualified name ends with the call's last two segments, whatever stands before them."""
-    pairs = keys.where("ns is not null").select(F.col("simple").alias("name"), "ns").distinct()
-    found = pairs.join(syms.select("id", "name", "qname"), "name").where(F.endswith("qname", F.concat("ns", F.lit("::"), "name")))
-    return _named(keys, only(found, "name", "ns"), ["ns"], "scope")
+    """The candidate's qualified name ends with the call's last two segments, whatever stands before them.
+
+    A name's candidates meet the few lengths of its calls' segments, and then the segments themselves.
+    """
+    lengths = keys.where("ns is not null").select(F.col("simple").alias("name"), F.length("ns").alias("n")).distinct()
+    ends = syms.select("id", "name", "qname").join(lengths, "name").where(F.endswith("qname", F.concat(F.lit("::"), "name")))
+    before = F.length("qname") - F.length("name") - 2
+    index = only(ends.where(before >= F.col("n")).select("id", "name", F.substring(F.col("qname"), before - F.col("n") + 1, F.col("n")).alias("ns")), "name", "ns")
+    return _find(keys, index, {"name": F.col("simple"), "ns": F.col("ns")}, PACKAGE)
 
 
 def stage_namespace(keys: DataFrame, syms: DataFrame) -> DataFrame:
     """Caller and candidate are in the same namespace."""
     index = only(syms.select("id", "name", "namespace"), "name", "namespace")
-    return _find(keys, index, {"name": F.col("simple"), "namespace": F.col("caller_namespace")}, NAMESPACE, "namespace_hit")
+    return _find(keys, index, {"name": F.col("simple"), "namespace": F.col("caller_namespace")}, NAMESPACE)
 
 
 def stage_same_file(keys: DataFrame, syms: DataFrame) -> DataFrame:
     """Every candidate in the caller's file."""
-    index = syms.groupBy("name", "file_path").agg(F.collect_list(F.struct("id", F.lit(SAME_FILE).alias("kind"))).alias("ids"))
-    looked = keys.select(*KEY, F.col("simple").alias("name"), F.col("caller_file").alias("file_path")).dropna(subset=["file_path"])
-    return looked.join(index, ["name", "file_path"]).select(*KEY, F.col("ids").alias("same_file"))
+    index = syms.groupBy("name", "file_path").agg(F.collect_list(F.struct("id", F.lit(SAME_FILE).alias("kind"))).alias("targets"))
+    looked = keys.select("key1", "key2", F.col("simple").alias("name"), F.col("caller_file").alias("file_path")).dropna(subset=["file_path"])
+    return looked.join(index, ["name", "file_path"]).select("key1", "key2", "targets")
 
 
 def stage_name(keys: DataFrame, syms: DataFrame) -> DataFrame:
     """The project's only candidate."""
-    return _find(keys, only(syms.select("id", "name"), "name"), {"name": F.col("simple")}, NAME_ONLY, "named")
+    return _find(keys, only(syms.select("id", "name"), "name"), {"name": F.col("simple")}, NAME_ONLY)
 
 
 STAGES = {
@@ -127,23 +138,23 @@ STAGES = {
 def resolve(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """The calls, each with targets: array<struct<id, kind>>, empty if unresolved, and stage.
 
-    Symbols and calls are read by every stage, so they are written once.
+    Symbols, calls and keys are read by every stage, so they are written once.
     """
+    kind = "array<struct<id:string,kind:int>>"
     syms = cut(symbols(nodes))
     keyed = cut(call_keys(calls, syms))
-    keys = keyed.select(*KEY).distinct()
-    decided = keys
-    for name, stage in STAGES.items():
-        found = stage(keys, syms)
-        right = found.select(*[F.col(c).alias(f"{c}__") for c in KEY], name)
-        decided = decided.join(right, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in KEY]), "left").drop(*[f"{c}__" for c in KEY])
-    kind = "array<struct<id:string,kind:int>>"
-    one = lambda c: F.when(F.col(f"{c}.id").isNotNull(), F.array(c).cast(kind))
-    targets = [F.col(c).cast(kind) if c == "same_file" else one(c) for c in STAGES]
-    stage = reduce(lambda rest, c: F.when(F.col(c).isNotNull(), c).otherwise(rest), reversed(list(STAGES)), F.lit("unresolved"))
-    decided = decided.select(*[F.col(c).alias(f"{c}__") for c in KEY], F.coalesce(*targets, F.array().cast(kind)).alias("targets"), stage.alias("stage"))
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in KEY])
-    return keyed.join(decided, same).drop(*[f"{c}__" for c in KEY])
+    keys = cut(keyed.select("key1", "key2", *KEY).dropDuplicates(["key1", "key2"]))
+    found = [stage(keys, syms).select("key1", "key2", F.struct(F.lit(k).alias("stage"), F.col("targets").cast(kind).alias("targets")).alias("found")) for k, stage in enumerate(STAGES.values())]
+    first = reduce(DataFrame.unionAll, found).groupBy("key1", "key2").agg(F.min_by("found", "found.stage").alias("found"))
+    out = keyed.join(first, ["key1", "key2"], "left")
+    name = F.coalesce(F.get(F.array(*map(F.lit, STAGES)), F.col("found.stage")), F.lit("unresolved"))
+    return out.withColumns({"targets": F.coalesce("found.targets", F.array().cast(kind)), "stage": name}).drop("found", "key1", "key2")
+
+
+def resolve_in_file(calls: DataFrame, nodes: DataFrame, file_path: str) -> DataFrame:
+    """The same within a single file: its calls, and its symbols alone as candidates."""
+    own = nodes.where(F.col("file_path") == file_path)
+    return resolve(calls.join(own.select(F.col("id").alias("caller_id")), "caller_id", "left_semi"), own)
 
 
 def edges_of(resolved: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,10 @@ from callweave.operators.lookup import find_like, find_nodes, first_found, witho
 COLUMNS = ["name", "qualified_name", "signature", "doc_comment"]
 #: BM25's constants.
 K1, B = 1.2, 0.75
-#: Letters with marks and what they are without them.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Latin letters with marks, and what they are without them.
+_MARKED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))}
+ACCENTED = "".join(c for c, base in _MARKED.items() if base != c and base.isascii() and c == c.lower())
+PLAIN = "".join(_MARKED[c] for c in ACCENTED)
 
 
 def tokens(text: Column) -> Column:
@@ -23,16 +25,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def index_rows(nodes: DataFrame) -> DataFrame:
+    """term, id, col, pos of every token, and the number of the symbol's tokens: what a stored index holds."""
+    fields = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.coalesce(c, F.lit(""))).alias("terms")) for c in COLUMNS])
+    whole = nodes.select("id", fields.alias("fields"))
+    whole = whole.select("id", "fields", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["terms"])).alias("tokens"))
+    each = whole.select("id", "tokens", F.explode("fields").alias("f"))
+    return each.select("id", "tokens", F.col("f.col").alias("col"), F.posexplode("f.terms").alias("pos", "term")).select("term", "id", "col", "pos", "tokens")
+
+
 def postings(nodes: DataFrame) -> DataFrame:
     """id, col, term, pos of every token."""
-    fields = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.coalesce(c, F.lit(""))).alias("terms")) for c in COLUMNS])
-    each = nodes.select("id", F.explode(fields).alias("f"))
-    return each.select("id", F.col("f.col").alias("col"), F.posexplode("f.terms").alias("pos", "term"))
+    return index_rows(nodes).select("id", "col", "term", "pos")
 
 
-def lengths(nodes: DataFrame) -> DataFrame:
-    """id and the number of tokens over all columns."""
-    return nodes.select("id", sum((F.size(tokens(F.coalesce(c, F.lit("")))) for c in COLUMNS), F.lit(0)).alias("tokens"))
+def updated(rows: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """A stored index without the symbols ``gone`` (id), and with those of ``new``: only their texts are read again."""
+    return rows.join(gone.select("id"), "id", "left_anti").unionByName(index_rows(new))
 
 
 class QuerySyntaxError(ValueError):
@@ -47,14 +56,15 @@ class Phrase:
     first: bool = False
 
 
-_TOKEN = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([\w]+)|([()*+^:{}]))')
+_TOKEN = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([\w]+)|([()*+^:{},]))')
 
 
 def parse(query: str) -> tuple:
     """A tree of ("and" | "or" | "not", left, right), ("near", phrases, distance) and phrases.
 
     Terms side by side must all match; AND, OR and NOT are operators, NOT binding most; "a b" and a + b are phrases, x*
-    a prefix, ^x one that begins a column, c : x one within a column and {c d} : x within several.
+    a prefix, ^x one that begins a column, c : x one within a column and {c d} : x within several; NEAR(a b, n) are phrases
+    with n tokens between them at most, 10 if not said.
     """
     parts: list[tuple[str, str]] = []
     at = 0
@@ -121,9 +131,15 @@ def parse(query: str) -> tuple:
             found = []
             while peek()[0] in ("w", "s"):
                 found.append(phrase(columns))
+            distance = 10
+            if take(("p", ",")):
+                if not peek()[1].isdecimal() or peek()[0] != "w":
+                    raise QuerySyntaxError(query)
+                distance = int(peek()[1])
+                i += 1
             if not take(("p", ")")) or not found:
                 raise QuerySyntaxError(query)
-            return ("near", tuple(found), 10)
+            return ("near", tuple(found), distance)
         return phrase(columns)
 
     def beside(columns):
@@ -148,19 +164,6 @@ def parse(query: str) -> tuple:
     return tree
 
 
-def _occurrences(post: DataFrame, p: Phrase) -> DataFrame:
-    """id, col, pos of each place where the phrase stands."""
-    if not p.words:
-        return post.select("id", "col", "pos").limit(0)
-    rows = post if p.columns is None else post.where(F.col("col").isin(*p.columns))
-    out = None
-    for k, w in enumerate(p.words):
-        fits = F.startswith("term", F.lit(w)) if p.prefix and k == len(p.words) - 1 else F.col("term") == w
-        own = rows.where(fits).select("id", "col", (F.col("pos") - k).alias("pos"))
-        out = own if out is None else out.join(own, ["id", "col", "pos"], "left_semi")
-    return out.where("pos = 0") if p.first else out
-
-
 def _phrases(tree) -> list[Phrase]:
     if isinstance(tree, Phrase):
         return [tree]
@@ -169,54 +172,93 @@ def _phrases(tree) -> list[Phrase]:
     return _phrases(tree[1]) + _phrases(tree[2])
 
 
-def _matching(post: DataFrame, tree) -> DataFrame:
-    """The ids that match."""
-    if isinstance(tree, Phrase):
-        return _occurrences(post, tree).select("id").distinct()
-    if tree[0] == "near":
-        first, *rest = tree[1]
-        out = _occurrences(post, first).select("id", "col", F.col("pos").alias("lo"), (F.col("pos") + len(first.words) - 1).alias("hi"))
-        for p in rest:
-            own = _occurrences(post, p).select("id", "col", "pos")
-            joined = out.join(own, ["id", "col"])
-            end = F.col("pos") + len(p.words) - 1
-            out = joined.where((F.col("pos") - F.col("hi") - 1 <= tree[2]) & (F.col("lo") - end - 1 <= tree[2])).select("id", "col", F.least("lo", "pos").alias("lo"), F.greatest("hi", end).alias("hi"))
-        return out.select("id").distinct()
-    left, right = _matching(post, tree[1]), _matching(post, tree[2])
-    if tree[0] == "or":
-        return left.union(right).distinct()
-    return left.join(right, "id", "left_semi" if tree[0] == "and" else "left_anti")
-
-
-def match(nodes: DataFrame, query: str) -> DataFrame:
-    """id and rank of the symbols that match, the better the less.
+def _occurrences(post: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """id, tokens, col, phrase (its number), pos of each place where a phrase stands: one pass over the terms asked."""
+    places = []
+    for number, p in enumerate(phrases):
+        for k, w in enumerate(p.words):
+            fits = F.startswith("term", F.lit(w)) if p.prefix and k == len(p.words) - 1 else F.col("term") == w
+            if p.columns is not None:
+                fits = fits & F.col("col").isin(*p.columns)
+            if p.first:
+                fits = fits & (F.col("pos") == k)
+            places.append((fits, number, k))
+    if not places:
+        return post.select("id", "tokens", "col", F.lit(0).alias("phrase"), "pos").limit(0)
+    asked = places[0][0]
+    for fits, _, _ in places[1:]:
+        asked = asked | fits
+    each = F.filter(F.array(*[F.when(fits, F.struct(F.lit(number).alias("phrase"), F.lit(k).alias("k"))) for fits, number, k in places]), lambda x: x.isNotNull())
+    rows = post.where(asked).select("id", "tokens", "col", "pos", F.explode(each).alias("at"))
+    if all(len(p.words) <= 1 for p in phrases):
+        return rows.select("id", "tokens", "col", "at.phrase", "pos")
+    size = F.get(F.array(*[F.lit(len(p.words)) for p in phrases]), F.col("phrase"))
+    whole = rows.groupBy("id", "tokens", "col", F.col("at.phrase").alias("phrase"), (F.col("pos") - F.col("at.k")).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    return whole.where(F.col("n") == size).drop("n")
+
+
+def _near(found: DataFrame, phrases: list[Phrase], numbers: list[int], distance: int) -> DataFrame:
+    """id of the symbols in one of whose columns the phrases stand near one another."""
+    own = lambda n: found.where(F.col("phrase") == n).select("id", "col", F.col("pos").alias("lo"), (F.col("pos") + len(phrases[n].words) - 1).alias("hi"))
+    out = own(numbers[0])
+    for n in numbers[1:]:
+        both = out.join(own(n).select("id", "col", F.col("lo").alias("a"), F.col("hi").alias("b")), ["id", "col"])
+        both = both.where((F.col("a") - F.col("hi") - 1 <= distance) & (F.col("lo") - F.col("b") - 1 <= distance))
+        out = both.select("id", "col", F.least("lo", "a").alias("lo"), F.greatest("hi", "b").alias("hi"))
+    return out.select("id").distinct()
+
+
+def match(nodes: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
+    """id and rank of the symbols that match, the better the less. ``index``: stored rows of ``index_rows``.
 
     Each phrase's frequency counts once with the document frequency of the phrase; the statistics are of all symbols.
     Raises QuerySyntaxError where the query isn't in the grammar.
     """
     tree = parse(query)
-    post, size = postings(nodes), lengths(nodes)
-    stats = size.agg(F.count(F.lit(1)).alias("docs"), F.avg("tokens").alias("mean"))
-    hits = _matching(post, tree)
-    scores = None
-    for p in _phrases(tree):
-        tf = _occurrences(post, p).groupBy("id").agg(F.count(F.lit(1)).alias("tf"))
-        df = tf.agg(F.count(F.lit(1)).alias("df"))
-        part = tf.join(hits, "id", "left_semi").join(size, "id").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(stats))
-        idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("tokens") / F.col("mean")))
-        part = part.select("id", (-idf * weight).alias("rank"))
-        scores = part if scores is None else scores.unionByName(part)
-    summed = scores.groupBy("id").agg(F.sum("rank").alias("rank"))
-    return hits.join(summed, "id", "left").select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
-
-
-def ladder(nodes: DataFrame, query: str) -> DataFrame:
+    phrases = _phrases(tree)
+    post = index_rows(nodes) if index is None else index
+    found = _occurrences(post, phrases)
+    times = [F.count_if(F.col("phrase") == k).alias(f"tf{k}") for k in range(len(phrases))]
+    rows = found.groupBy("id").agg(F.max("tokens").alias("tokens"), *times)
+    near: list[DataFrame] = []
+    at = 0
+
+    def matches(t) -> Column:
+        nonlocal at
+        if isinstance(t, Phrase):
+            at += 1
+            return F.col(f"tf{at - 1}") > 0
+        if t[0] == "near":
+            numbers = list(range(at, at + len(t[1])))
+            at += len(t[1])
+            near.append(_near(found, phrases, numbers, t[2]).withColumn(f"near{len(near)}", F.lit(True)))
+            return F.coalesce(F.col(f"near{len(near) - 1}"), F.lit(False))
+        left, right = matches(t[1]), matches(t[2])
+        return left & right if t[0] == "and" else left | right if t[0] == "or" else left & ~right
+
+    keep = matches(tree)
+    counts = rows.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))])
+    # symbols without a token count too
+    symbols = nodes.agg(F.count(F.lit(1)).alias("docs"))
+    length = post.where("pos = 0").groupBy("id").agg(F.max("tokens").alias("tokens")).agg(F.sum("tokens").alias("all"))
+    for df in near:
+        rows = rows.join(df, "id", "left")
+    rows = rows.where(keep).crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(symbols)).crossJoin(F.broadcast(length))
+    mean = F.col("all") / F.col("docs")
+    rank = F.lit(0.0)
+    for k in range(len(phrases)):
+        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
+        idf = F.greatest(F.log((F.col("docs") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        rank = rank - F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("tokens") / mean))).otherwise(0.0)
+    return rows.select("id", rank.alias("rank"))
+
+
+def ladder(nodes: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
     """Symbols with rank: those that match, or else those of that name, or else those that contain the query."""
     named = find_nodes(nodes, name=query).withColumn("rank", F.lit(0.0))
     like = find_like(nodes, query).withColumn("rank", F.lit(0.0))
     try:
-        matched = nodes.join(match(nodes, query), "id").select(*nodes.columns, "rank")
+        matched = nodes.join(match(nodes, query, index), "id").select(*nodes.columns, "rank")
     except QuerySyntaxError:
         return first_found(named, like)
     return first_found(matched, named, like)
@@ -229,10 +271,10 @@ def relevance(query: str) -> list[Column]:
     return [tier, F.octet_length("name"), F.col("name"), F.col("rank"), F.col("id")]
 
 
-def search(nodes: DataFrame, query: str, limit: int = 30, no_tests: bool = False) -> DataFrame:
-    return without_tests(ladder(nodes, query), no_tests).orderBy(*relevance(query)).limit(limit)
+def search(nodes: DataFrame, query: str, limit: int = 30, no_tests: bool = False, index: DataFrame | None = None) -> DataFrame:
+    return without_tests(ladder(nodes, query, index), no_tests).orderBy(*relevance(query)).limit(limit)
 
 
-def more_than(nodes: DataFrame, query: str, limit: int = 30, no_tests: bool = False) -> DataFrame:
+def more_than(nodes: DataFrame, query: str, limit: int = 30, no_tests: bool = False, index: DataFrame | None = None) -> DataFrame:
     """How many symbols ``search`` leaves out."""
-    return without_tests(ladder(nodes, query), no_tests).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("more"))
+    return without_tests(ladder(nodes, query, index), no_tests).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("more"))

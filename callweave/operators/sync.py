@@ -16,10 +16,25 @@ def pruned(indexed: DataFrame, on_disk: DataFrame) -> DataFrame:
 
 
 def modified(indexed: DataFrame, on_disk: DataFrame) -> DataFrame:
-    """Files on disk that are new or differ in hash, time or size."""
+    """Files on disk that are new or differ in hash, time or size; of those without a hash, which can't be read, none."""
     old = indexed.select("file_path", F.struct("content_hash", "last_modified", "size_bytes").alias("old"))
     same = F.struct("content_hash", "last_modified", "size_bytes").eqNullSafe(F.col("old"))
-    return on_disk.join(old, "file_path", "left").where(~same).drop("old")
+    return on_disk.join(old, "file_path", "left").where(~same & F.col("content_hash").isNotNull()).drop("old")
+
+
+def known_ends(edges: DataFrame, nodes: DataFrame, *ends: str) -> DataFrame:
+    """Rows all of whose ``ends`` are symbols."""
+    for end in ends:
+        edges = edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    return edges
+
+
+def calls_once(calls: DataFrame) -> DataFrame:
+    """One of the raw calls of a caller at a place with a callee's name: the first by its other columns."""
+    place = ["caller_id", "callee_name", "line", "column"]
+    other = [c for c in calls.columns if c not in place]
+    first = calls.groupBy(*place).agg(F.min(F.struct(*other)).alias("first"))
+    return first.select(*[F.col(f"first.{c}") if c in other else F.col(c) for c in calls.columns])
 
 
 def replaced(rows: DataFrame, gone: DataFrame, new: DataFrame, key: str = "file_path") -> DataFrame:
@@ -53,9 +68,6 @@ def apply_changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) ->
     sources = affected.select(F.col("caller_id").alias("source_id"))
     again = calls.join(affected, "caller_id", "left_semi").distinct()
     found = cut(resolve(again, nodes))
-    ids = nodes.select("id")
-    edges = before["edges"].join(sources, "source_id", "left_anti").unionByName(edges_of(found))
-    edges = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    refs = before["unresolved_refs"].join(sources, "source_id", "left_anti").unionByName(unresolved_of(found))
-    refs = refs.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    edges = known_ends(before["edges"].join(sources, "source_id", "left_anti").unionByName(edges_of(found)), nodes, "source_id", "target_id")
+    refs = known_ends(before["unresolved_refs"].join(sources, "source_id", "left_anti").unionByName(unresolved_of(found)), nodes, "source_id")
     return {"files": files, "nodes": nodes, "raw_calls": calls, "edges": edges.select(*before["edges"].columns), "unresolved_refs": refs.select(*before["unresolved_refs"].columns)}

@@ -241,9 +241,65 @@ def language_totals(s, d):
     return report.language_totals(P.files(s, d))
 
 
-@query("SELECT file_path, CASE WHEN length(file_path) > 50 THEN '...' || right(file_path, 47) ELSE file_path END AS shown, count(*) AS symbols FROM nodes GROUP BY 1 ORDER BY symbols DESC, file_path LIMIT 5")
+@query("""SELECT file_path, CASE WHEN length(file_path) > 50 THEN '...' || right(file_path, 47) ELSE file_path END AS shown, coalesce(language, 'unknown') AS language, count(id) AS symbols
+          FROM files LEFT JOIN nodes USING (file_path) GROUP BY file_path, language ORDER BY symbols DESC, file_path LIMIT 5""")
 def largest_files(s, d):
-    return report.largest_files(P.nodes(s, d))
+    return report.largest_files(P.files(s, d), P.nodes(s, d))
+
+
+@query("""SELECT file_path, CASE WHEN length(file_path) < 40 THEN rpad(file_path, 40, ' ') ELSE file_path END || ' ' || rpad(coalesce(language, 'unknown'), 10, ' ') || ' ' || rpad(size_bytes::VARCHAR, 10, ' ')
+          || ' ' || rpad(is_test::VARCHAR, 8, ' ') || ' ' || rpad(count(id)::VARCHAR, 12, ' ') AS line FROM (SELECT file_path, language, size_bytes, files.is_test FROM files) LEFT JOIN nodes USING (file_path) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY file_path, language, size_bytes, f.is_test").replace("FROM files) LEFT", "FROM files) f LEFT").replace("rpad(is_test::", "rpad(f.is_test::"))
+def files_as_text(s, d):
+    return report.files_as_text(lookup.files_with_counts(P.files(s, d), P.nodes(s, d)))
+
+
+@query("SELECT name, kind, qualified_name, file_path, start_line, end_line, signature, is_test FROM nodes WHERE name IN (SELECT DISTINCT name FROM nodes WHERE is_test)")
+def symbols_named(s, d):
+    nodes = P.nodes(s, d)
+    return report.symbols_named(nodes, nodes.where("is_test").select("name"))
+
+
+#: Bodies of pull requests made of the nations' names, and what is said in their blocks for release notes.
+BODY = {0: "'none: ' || n_name", 1: "'x' || chr(10) || '```release-note' || chr(10) || n_name || '  is' || chr(10) || chr(9) || 'new. ' || chr(10) || '```' || chr(10) || 'y'", 2: "'```release-note' || chr(10) || '```'", 3: "NULL"}
+
+
+@query(f"""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 1 THEN n_name || ' is new.' WHEN 2 THEN 'empty' ELSE 'unknown' END AS note FROM nation""")
+def release_notes(s, d):
+    body = F.expr("CASE n_nationkey % 4 " + " ".join(f"WHEN {k} THEN {x}" for k, x in BODY.items()) + " END")
+    rows = s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", body.alias("body"))
+    return rows.join(report.release_note(rows.select("body").distinct()), "body", "left").select("n_nationkey", F.coalesce("note", F.lit("unknown")).alias("note"))
+
+
+#: Added lines of patches by the remainder of a supplier's key, and the test that each declares.
+PATCHES = [
+    ("a_test.go", "+func Test%d(t *testing.T) {\n-func TestGone(t *testing.T) {\n+func helper() {", "Test%d"),
+    ("t.py", "+    async def test_%d(self):\n+    def helper(): pass", "test_%d"),
+    ("T.java", "+  @Test\n+  @Slow(1)\n+\n+  // why\n+  public void works%d() { foo(); }", "works%d"),
+    ("U.java", "+  @Test\n   int context;\n+  public void not%d() {\n+  private void testPlain%d() {", "testPlain%d"),
+    ("n.rs", "+fn test_%d() {}", None),
+]
+
+
+@query("SELECT * FROM (SELECT DISTINCT CASE s_suppkey % 5 " + " ".join(f"WHEN {k} THEN s_suppkey || '{name}'" for k, (name, _, _) in enumerate(PATCHES)) + " END AS filename, CASE s_suppkey % 5 "
+       + " ".join(f"WHEN {k} THEN replace('{test}', '%d', s_suppkey::VARCHAR)" for k, (_, _, test) in enumerate(PATCHES) if test) + " END AS test FROM supplier) WHERE test IS NOT NULL")
+def added_tests(s, d):
+    k = F.col("s_suppkey").cast("string")
+    of = lambda part: F.get(F.array(*[F.lit(p[part]) for p in PATCHES]), (F.col("s_suppkey") % 5).cast("int"))
+    rows = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(k, of(0)).alias("filename"), F.replace(of(1), F.lit("%d"), k).alias("patch"))
+    return report.added_tests(rows)
+
+
+#: The index's facts and the tree's, in any combination.
+FACTS = "(SELECT * FROM (VALUES (CAST(NULL AS INTEGER)), (6), (5)) a(found_schema), (VALUES (CAST(NULL AS VARCHAR)), ('x'), ('N/A')) b(indexed_sha), (VALUES (CAST(NULL AS VARCHAR)), ('x'), ('y')) c(head_sha), (VALUES ('clean'), ('dirty')) e(indexed_status), (VALUES (CAST(NULL AS VARCHAR)), ('clean'), ('dirty')) f(live_status))"
+
+
+@query(f"""SELECT *, CASE WHEN NOT schema_match OR nodes = 0 THEN 'init' WHEN freshness = 'stale' THEN 'sync' ELSE 'none' END AS action, schema_match AND nodes > 0 AND freshness <> 'stale' AS ok
+           FROM (SELECT *, coalesce(found_schema = 6, false) AS schema_match, CASE WHEN head_sha IS NULL OR live_status IS NULL OR indexed_sha IS NULL OR indexed_sha IN ('', 'N/A') THEN 'unknown'
+                 WHEN indexed_sha = head_sha AND indexed_status = 'clean' AND live_status = 'clean' THEN 'fresh' ELSE 'stale' END AS freshness
+                 FROM {FACTS}, (SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges))""")
+def status_verdicts(s, d):
+    n, e = _graph(s, d)
+    return report.status(report.totals(P.files(s, d), n, e), s.sql(f"SELECT * FROM {FACTS}".replace("VARCHAR", "STRING")), 6)
 
 
 @query("SELECT kind, count(*) AS symbols FROM nodes GROUP BY 1")
@@ -345,7 +401,9 @@ def combined_paths(s, d):
     return rows.select("a", "b", C.combine_paths(F.col("a"), F.col("b")).alias("path"))
 
 
-@query()  # DuckDB 2.0's dictionary cache fails on the same join; the resolver's tests cover the predicate
+@query("""WITH hints AS (SELECT DISTINCT import_hint AS hint FROM raw_calls WHERE import_hint IS NOT NULL UNION SELECT ''),
+       pairs AS MATERIALIZED (SELECT hint, path, strpos(translate(path, '/\\', '..'), translate(hint, '/\\', '..')) AS place FROM hints, (SELECT DISTINCT file_path AS path FROM files))
+       SELECT hint, path, true AS hit FROM pairs WHERE place > 0 AND (NOT contains(hint, '/') OR contains(path, hint) OR hint = '')""")
 def import_hints(s, d):
     hints = P.raw_calls(s, d).where("import_hint is not null").select(F.col("import_hint").alias("hint"))
     hints = hints.unionAll(s.range(1).select(F.lit("").alias("hint"))).distinct()
@@ -396,6 +454,11 @@ query(_bm25_sql("term = 'bolt'", "term = 'blue'", having="bool_or(term = 'bolt')
 query(_bm25_sql("col = 'doc_comment' AND term = 'small'", having="bool_or(col = 'doc_comment' AND term = 'small')"), "search_column")(_ranked("doc_comment : small"))
 
 
+@query(f"WITH post AS {POST} SELECT DISTINCT a.id FROM post a JOIN post b ON a.id = b.id AND a.col = b.col AND abs(b.pos - a.pos) <= 2 WHERE a.term = 'bolt' AND b.term = 'brand'")
+def search_near_by(s, d):
+    return search.match(P.nodes(s, d), "NEAR(bolt brand, 1)").select("id")
+
+
 @query(f"WITH post AS {POST} SELECT DISTINCT a.id FROM post a JOIN post b ON a.id = b.id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.term = 'blue' AND b.term = 'bolt'")
 def search_phrase(s, d):
     return search.match(P.nodes(s, d), '"blue bolt"').select("id")

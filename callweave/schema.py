@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SCHEMA_VERSION = 5
+SCHEMA_VERSION = 6
 
 NODES = (
     "id string, name string, kind string, qualified_name string, file_path string, start_line long, end_line long, "
@@ -16,7 +16,8 @@ RAW_CALLS = (
 )
 UNRESOLVED = "source_id string, specifier string, kind string, line long, column long"
 METADATA = "key string, value string"
-TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "raw_calls": RAW_CALLS, "unresolved_refs": UNRESOLVED, "project_metadata": METADATA}
+POSTINGS = "term string, id string, col string, pos int, tokens int"
+TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "raw_calls": RAW_CALLS, "unresolved_refs": UNRESOLVED, "postings": POSTINGS, "project_metadata": METADATA}
 
 
 def names(ddl: str) -> list[str]:

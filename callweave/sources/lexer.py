@@ -5,6 +5,44 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from typing import Generic, TypeVar
+
+T = TypeVar("T")
+
+
+class Spans(Generic[T]):
+    """Spans that lie within or beside one another, each with a value."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.rows: list[tuple[int, int, T]] = []
+        self.around: list[int] = []  # number of the span around each, -1 for none
+
+    def add(self, start: int, end: int, value: T) -> None:
+        if self.starts and start < self.starts[-1]:  # rare: what comes first in a file is found first
+            rows = sorted([*self.rows, (start, end, value)], key=lambda r: r[0])
+            self.__init__()
+            for r in rows:
+                self.add(*r)
+            return
+        self.around.append(self._number(start))
+        self.starts.append(start)
+        self.rows.append((start, end, value))
+
+    def _number(self, at: int) -> int:
+        k = bisect_right(self.starts, at) - 1
+        while k >= 0 and self.rows[k][1] < at:
+            k = self.around[k]
+        return k
+
+    def row(self, at: int) -> tuple[int, int, T] | None:
+        """(start, end, value) of the innermost span around ``at``."""
+        k = self._number(at)
+        return self.rows[k] if k >= 0 else None
+
+    def find(self, at: int) -> T | None:
+        found = self.row(at)
+        return found[2] if found else None
 
 
 @dataclass
@@ -57,11 +95,13 @@ class Source:
         self.code = "".join([*out, self.text[last:]])
         self.comment_ends = {a + len(self.text[a:b].rstrip()): a for a, b in self.comments}
         self.line_starts = [0, *[m.end() for m in re.finditer("\n", self.text)]]
-        self.match: dict[int, int] = {}
+        self.plain = self.text.isascii()
+        self.last_place = (0, 0, 0)
         self.brackets()
 
     def brackets(self) -> None:
-        """The closing bracket of each opening one; what stays open ends with the file."""
+        """``match``: the closing bracket of each opening one; what stays open ends with the file. ``opening``: the reverse."""
+        self.match: dict[int, int] = {}
         pairs = {")": "(", "]": "[", "}": "{"}
         stack: list[int] = []
         for m in re.finditer(r"[()\[\]{}]", self.code):
@@ -77,11 +117,34 @@ class Source:
                 self.match[stack.pop()] = m.start()
         for at in stack:
             self.match[at] = len(self.code) - 1
+        self.opening: dict[int, int] = {}
+        for a, b in self.match.items():
+            self.opening.setdefault(b, a)
+        self.braces: Spans[None] = Spans()
+        for a in sorted(a for a in self.match if self.code[a] == "{"):
+            self.braces.add(a, self.match[a], None)
 
     def place(self, at: int) -> tuple[int, int]:
         """Line from 1 and column in bytes from 0."""
         line = bisect_right(self.line_starts, at)
-        return line, len(self.text[self.line_starts[line - 1] : at].encode())
+        start = self.line_starts[line - 1]
+        if self.plain:
+            return line, at - start
+        # on from the place asked before, if that is on the same line: lines can be very long
+        known, column = self.last_place[1:] if self.last_place[0] == line and self.last_place[1] <= at else (start, 0)
+        column += len(self.text[known:at].encode())
+        self.last_place = (line, at, column)
+        return line, column
+
+    def before(self, at: int, n: int = 16) -> str:
+        """The last ``n`` characters of code before ``at``, white space behind them left out."""
+        end = self.end_before(at)
+        return self.code[max(0, end - n) : end]
+
+    def end_before(self, at: int) -> int:
+        while at and self.code[at - 1].isspace():
+            at -= 1
+        return at
 
     def doc(self, start: int) -> str | None:
         """The comments that stand right before ``start``, with their marks, attributes and annotations aside."""
@@ -113,14 +176,6 @@ class Source:
         self.symbols.append(Symbol(ident, name, kind, qualified, self.path, start, end, prefix + head, self.doc(start)))
         return ident
 
-    def owner_at(self, at: int, spans: list[tuple[int, int, str]]) -> str | None:
-        """The innermost of ``spans`` (start, end, value) around ``at``."""
-        best = None
-        for a, b, value in spans:
-            if a <= at <= b and (best is None or a >= best[0]):
-                best = (a, value)
-        return best[1] if best else None
-
     def rows(self) -> tuple[list[tuple], list[tuple]]:
         nodes = []
         for s in self.symbols:

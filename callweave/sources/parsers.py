@@ -7,6 +7,7 @@ trees, so spans can differ from a grammar's by a few characters. Calls outside o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import product
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave import schema
-from callweave.sources.lexer import Call, Source, join, squeezed
+from callweave.sources.lexer import Call, Source, Spans, join, squeezed
 
 C_STRINGS = r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])+'"
 RUST_STRINGS = r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|r(?P<h>#*)\".*?\"(?P=h)|\"(?:\\.|[^\"\\])*\"?|'(?:\\.[^']*|[^'\\\n])'"
@@ -28,21 +29,22 @@ NOT_CALLED = frozenset("if else while for switch return catch sizeof alignof typ
 NOT_CALLED_HERE = NOT_CALLED | frozenset("match fn func loop in as move unsafe defer go select".split())
 
 
-def _body(s: Source, at: int, stop: str = ";") -> int | None:
-    """The next opening brace at the level of ``at``, unless ``stop`` comes first."""
-    while at < len(s.code):
-        c = s.code[at]
-        if c == "{":
-            return at
-        if c in stop:
+def _body(s: Source, at: int, stop: str = ";", end: int | None = None) -> int | None:
+    """The next opening brace at the level of ``at``, unless ``stop`` comes first, or ``end``."""
+    marks = re.compile(f"[{{(\\[{stop}]")
+    while m := marks.search(s.code, at, len(s.code) if end is None else end):
+        if m[0] == "{":
+            return m.start()
+        if m[0] in stop:
             return None
-        at = s.match.get(at, at) + 1 if c in "([" else at + 1
+        at = s.match.get(m.start(), m.start()) + 1
     return None
 
 
 def rust(path: str, text: str) -> Source:
     s = Source(path, text, RUST_STRINGS)
-    impls, functions = [], []
+    impls: Spans[str] = Spans()
+    functions: Spans[str] = Spans()
     for m in re.finditer(r"\bimpl\b", s.code):
         body = _body(s, m.end())
         if body is None:
@@ -56,26 +58,26 @@ def rust(path: str, text: str) -> Source:
                     head = head[k + 1 :].strip()
                     break
         owner = re.split(r"\bfor\b", head)[-1].strip()
-        impls.append((body, s.match[body], owner))
+        impls.add(body, s.match[body], owner)
     for m in re.finditer(r"(?:\bpub(?:\([^)]*\))?\s+)?\b(?:unsafe\s+)?(struct|enum|trait)\s+(\w+)", s.code):
         body = _body(s, m.end())
-        semi = s.code.find(";", m.end())
+        semi = s.code.find(";", m.end()) if body is None else 0
         end = s.match[body] + 1 if body is not None else semi + 1 if semi >= 0 else len(s.code)
         s.add(m[2], m[1], m[2], m.start(), body if body is not None else end, end)
     for m in re.finditer(r"(?:\bpub(?:\([^)]*\))?\s+)?(?:\b(?:const|async|unsafe|default)\s+|\bextern\s*(?:\"[^\"]*\"\s*)?)*\bfn\s+(\w+)", s.code):
         body = _body(s, m.end())
         if body is None:
             continue
-        owner = s.owner_at(m.start(), impls)
+        owner = impls.find(m.start())
         # a function within a function isn't a method of the outer one's type
         ident = s.add(m[1], "method" if owner else "function", join(owner, m[1]), m.start(), body, s.match[body] + 1)
-        functions.append((body, s.match[body], ident))
+        functions.add(body, s.match[body], ident)
     for m in re.finditer(r"((?:\w+(?:::<[^<>()]*(?:<[^<>]*>[^<>()]*)*>)?\s*::\s*)*\w+(?:\s*::\s*<[^<>()]*(?:<[^<>]*>[^<>()]*)*>)?)\s*\(", s.code):
         name = squeezed(m[1])
-        before = s.code[: m.start()].rstrip()
-        if name in NOT_CALLED_HERE or re.search(r"\bfn\Z|\b(?:struct|enum)\Z", before[-8:]):
+        before = s.before(m.start())
+        if name in NOT_CALLED_HERE or re.search(r"\bfn\Z|\b(?:struct|enum)\Z", before):
             continue
-        caller = s.owner_at(m.start(), functions)
+        caller = functions.find(m.start())
         if caller:
             field = before.endswith(".") and not before.endswith("..")
             s.calls.append(Call(caller, re.sub(r"::<.*", "", name) if field else name, m.start()))
@@ -96,22 +98,21 @@ def go(path: str, text: str) -> Source:
         if body is not None:
             s.add(m[2], m[3], m[2], m.start(2), body, s.match[body] + 1, prefix="type ")
             s.symbols[-1].doc_comment = s.doc(m.start() + len(m[0]) - len(m[0].lstrip()))
-    functions = []
+    functions: Spans[str] = Spans()
     for m in re.finditer(r"^func\s*(\([^)]*\))?\s*(\w+)", s.code, re.M):
-        body = _body(s, m.end(), "")
+        after = s.code.find("\nfunc", m.end())
+        body = _body(s, m.end(), "", after if after >= 0 else None)
         if m[1] and (t := re.search(r"(\w+)\s*(?:\[[^\]]*\])?\s*\)\Z", m[1])):
             qualified, kind = f"{t[1]}::{m[2]}", "method"
         else:
             qualified, kind = m[2], "function"
         line_end = s.code.find("\n", m.end()) % (len(s.code) + 1)
-        if body is not None and "\nfunc" in s.code[m.end() : body]:
-            body = None
         end = s.match[body] + 1 if body is not None else line_end
         ident = s.add(m[2], kind, qualified, m.start(), body, end)
         if body is not None:
-            functions.append((body, s.match[body], ident))
+            functions.add(body, s.match[body], ident)
     for m in re.finditer(r"(?<![\w.])((?:\w+(?:\([^()]*\))?\s*\.\s*)*)(\w+)(?:\[[^\]\n]*\])?\(", s.code):
-        if m[2] in NOT_CALLED_HERE or not (caller := s.owner_at(m.start(), functions)):
+        if m[2] in NOT_CALLED_HERE or not (caller := functions.find(m.start())):
             continue
         receiver = squeezed(m[1]).rstrip(".") or None
         s.calls.append(Call(caller, m[2], m.start(), "method" if receiver else "function", receiver, None, pkg, imports.get(receiver or "")))
@@ -126,18 +127,18 @@ def _annotations(s: Source, start: int) -> list[tuple[str, str]]:
     """(name, arguments) of the annotations right before ``start``, in order."""
     out, at = [], start
     while True:
-        head = s.code[:at].rstrip()
-        if head.endswith(")"):
-            opening = next((a for a, b in s.match.items() if b == len(head) - 1), None)
-            m = re.search(r"@([\w.]+)\s*\Z", s.code[:opening]) if opening is not None else None
-            args = s.text[opening + 1 : len(head) - 1] if m else ""
-        else:
-            m = re.search(r"@([\w.]+)\Z", head)
-            args = ""
+        end = s.end_before(at)
+        args, named = "", end
+        if s.code[end - 1 : end] == ")":
+            if (named := s.opening.get(end - 1)) is None:
+                return out[::-1]
+            args = s.text[named + 1 : end - 1]
+            named = s.end_before(named)
+        m = re.search(r"@([\w.]+)\Z", s.code[max(0, named - 200) : named])
         if not m:
             return out[::-1]
         out.append((m[1].rsplit(".", 1)[-1], args))
-        at = m.start()
+        at = named - len(m[0])
 
 
 def _paths(args: str) -> list[str]:
@@ -163,52 +164,57 @@ def _combined(a: str, b: str) -> str:
 JAVA_MODIFIERS = r"(?:(?:public|protected|private|static|final|abstract|sealed|strictfp|default|synchronized|native|transient|volatile)\s+)*"
 
 
+JAVA_TAIL = re.compile(r"\s*(?:\[\]\s*)*(?:throws\s+[\w.,\s]+)?\s*([{;])")
+
+
 def java(path: str, text: str) -> Source:
     s = Source(path, text, JAVA_STRINGS)
     package = re.search(r"^\s*package\s+([\w.]+)\s*;", s.code, re.M)
     pkg = package[1] if package else None
     imports = re.findall(r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;", s.code, re.M)
     hint = lambda name: next((i for i in imports if name and (i == name or i.endswith(f".{name}"))), None)
-    classes: list[tuple[int, int, tuple[str, str]]] = []
+    classes: Spans[tuple[str, str]] = Spans()
     controllers: dict[str, list[str]] = {}
-    types: list[tuple[int, int, str]] = []
+    types: Spans[str] = Spans()
     for m in re.finditer(rf"({JAVA_MODIFIERS})\b(class|interface|enum|record|@interface)\s+(\w+)", s.code):
         body = _body(s, m.end())
-        if body is None or s.code[: m.start()].rstrip().endswith("."):
+        if body is None or s.before(m.start()).endswith("."):
             continue
-        outer = s.owner_at(m.start(), classes)
-        types.append((body, s.match[body], m[3]))
+        outer = classes.find(m.start())
+        types.add(body, s.match[body], m[3])
         if m[2] not in ("class", "interface"):
             continue
         qualified = join(outer[0] if outer else pkg, m[3])
         notes = _annotations(s, m.start())
         start = s.text.rfind("@" + notes[0][0], 0, m.start()) if notes else m.start()
         s.add(m[3], m[2], qualified, start, body, s.match[body] + 1)
-        classes.append((body, s.match[body], (qualified, m[3])))
+        classes.add(body, s.match[body], (qualified, m[3]))
         if any(n in ("Controller", "RestController") for n, _ in notes):
             controllers[qualified] = [p for n, a in notes if n == "RequestMapping" for p in _paths(a)] or [""]
     declared = r"\b((?:[A-Z][\w.]*|int|long|double|float|boolean|char|byte|short|var)(?:<[^;{}()=]*?>)?(?:\[\])*)\s+(\w+)\s*(?=[=;,):])"
     fields: dict[str, dict[str, str]] = {}
     for m in re.finditer(declared, s.code):
-        if (own := s.owner_at(m.start(), classes)) is not None:
+        if (own := classes.find(m.start())) is not None:
             fields.setdefault(own[0], {})[m[2]] = re.sub(r"<.*", "", m[1])
-    methods: list[tuple[int, int, tuple[str, str, dict[str, str]]]] = []
+    methods: Spans[tuple[str, str, dict[str, str]]] = Spans()
+    declarations: set[int] = set()
     for m in re.finditer(rf"({JAVA_MODIFIERS})(?:<[^;{{}}()]*>\s*)?(?:([\w.]+(?:<[^;{{}}()=]*>)?(?:\[\])*)\s+)?(\w+)\s*\(", s.code):
-        own = s.owner_at(m.start(), classes)
+        own = classes.find(m.start())
         close = s.match.get(m.end() - 1)
         if own is None or close is None or m[3] in NOT_CALLED or m[2] in ("new", "return", "throw", "else", "case"):
             continue
-        inner = max((a for a, b, _ in types if a <= m.start() <= b), default=-1)
-        if any(a < m.start() < b and a > inner for a, b in s.match.items() if s.code[a] == "{") or s.code[: m.start()].rstrip()[-1:] in (".", "=", "(", ","):
+        inner, brace = types.row(m.start()), s.braces.row(m.start())
+        if brace and brace[0] > (inner[0] if inner else -1) or s.before(m.start())[-1:] in (".", "=", "(", ","):
             continue
         constructor = m[2] is None
         if constructor and m[3] != own[1]:
             continue
-        tail = re.match(r"\s*(?:\[\]\s*)*(?:throws\s+[\w.,\s]+)?\s*([{;])", s.code[close + 1 :])
+        tail = JAVA_TAIL.match(s.code, close + 1)
         if not tail:
             continue
-        body = close + tail.end(1) if tail[1] == "{" else None
-        end = s.match[body] + 1 if body is not None else close + 1 + tail.end()
+        body = tail.start(1) if tail[1] == "{" else None
+        end = s.match[body] + 1 if body is not None else tail.end()
+        declarations.add(m.start(3))
         notes = _annotations(s, m.start())
         start = s.text.rfind("@" + notes[0][0], 0, m.start()) if notes else m.start()
         qualified = join(own[0], m[3])
@@ -217,7 +223,7 @@ def java(path: str, text: str) -> Source:
         if body is not None:
             for d in re.finditer(declared, s.code[m.end() - 1 : end]):
                 scope[d[2]] = re.sub(r"<.*", "", d[1])
-            methods.append((body, s.match[body], (ident, qualified, scope)))
+            methods.add(body, s.match[body], (ident, qualified, scope))
         if own[0] in controllers:
             for name, args in notes:
                 if name in MAPPINGS:
@@ -226,14 +232,14 @@ def java(path: str, text: str) -> Source:
                         rid = s.add(route, "route", route, start, body, end, f"{path}::{qualified}::route::{route}")
                         s.calls.append(Call(rid, qualified, start))
     for m in re.finditer(r"\bnew\s+([\w.]+)(?:<[^;(){}]*>)?\s*\(|((?:(?:\w+|\))(?:\([^()]*\))?\s*\.\s*)*)(?:<[^<>()]*>\s*)?\b(\w+)\s*\(", s.code):
-        found = s.owner_at(m.start(), methods)
-        if not found or s.owner_at(m.start(), types) is None:
+        found = methods.find(m.start())
+        if not found or types.row(m.start()) is None:
             continue
         ident, _, scope = found
         if m[1]:
             s.calls.append(Call(ident, m[1], m.start(), "constructor", None, m[1], pkg, hint(m[1])))
             continue
-        if m[3] in NOT_CALLED or any(x.start <= m.start(3) < x.start + len(x.signature) + 1 and x.name == m[3] and x.kind in ("method", "constructor") and s.code[x.start : m.start(3)].count("{") == 0 for x in s.symbols):
+        if m[3] in NOT_CALLED or m.start(3) in declarations:
             continue
         receiver = squeezed(m[2]).removesuffix(".") or None
         kind = scope.get(receiver.removeprefix("this.")) if receiver else None
@@ -241,49 +247,55 @@ def java(path: str, text: str) -> Source:
     return s
 
 
+C_SCOPE = re.compile(r"\s*(?:final\s*)?(?::[^;{()]*)?\{")
+C_TAIL = re.compile(r"\s*(?:const|noexcept|override|final|volatile|&&?|->\s*[\w:<>*&\s]+|__attribute__\s*\(\([^)]*\)\)|\s)*(?::(?!:)[^;{}]*(?:\{[^{}]*\}[^;{}]*)*)?\{")
+C_ACCESS = re.compile(r"(?:public|private|protected)\s*:\s*")
+
+
 def c_like(path: str, text: str) -> Source:
     s = Source(path, text, C_STRINGS)
     s.code = re.sub(r"^[ \t]*#(?:[^\n\\]|\\.|\\\n)*", lambda m: re.sub(r"[^\n]", " ", m[0]), s.code, flags=re.M)
-    s.match.clear()
     s.brackets()
+    ends = [m.start() for m in re.finditer(r"[;{}]", s.code)]
     cpp = path.rsplit(".", 1)[-1].lower() not in ("c", "h")
-    scopes: list[tuple[int, int, tuple[str, str]]] = []
-    parent = lambda at: s.owner_at(at, scopes)
+    scopes: Spans[tuple[str, str]] = Spans()
+    parent = lambda at: scopes.find(at)
     for m in re.finditer(r"\b(namespace|class|struct)\s+(?:\[\[[^\]]*\]\]\s*)?(\w+(?:::\w+)*)", s.code):
-        if re.search(r"\benum\s*\Z", s.code[: m.start()][-8:]) or (m[1] != "struct" and not cpp) or re.search(r"[<,]\s*\Z", s.code[: m.start()][-3:]):
+        if re.search(r"\benum\Z", s.before(m.start())) or (m[1] != "struct" and not cpp) or s.before(m.start())[-1:] in ("<", ","):
             continue
-        after = re.match(r"\s*(?:final\s*)?(?::[^;{()]*)?\{", s.code[m.end() :])
-        body = m.end() + after.end() - 1 if after else None
+        after = C_SCOPE.match(s.code, m.end())
+        body = after.end() - 1 if after else None
         if m[1] == "namespace" and body is None:
             continue
         own = parent(m.start())
         qualified = join(own[0] if own else None, m[2])
         s.add(m[2].rsplit("::", 1)[-1], m[1], qualified, m.start(), body, s.match[body] + 1 if body is not None else m.end())
         if body is not None:
-            scopes.append((body, s.match[body], (qualified, m[1])))
-    functions = []
+            scopes.add(body, s.match[body], (qualified, m[1]))
+    functions: Spans[tuple[str, str | None, set[str]]] = Spans()
     for m in re.finditer(r"(?<![\w.>])((?:\w+(?:<[^<>;{}()]*>)?\s*::\s*)*~?\w+)\s*\(", s.code):
         close = s.match.get(m.end() - 1)
         name = squeezed(m[1])
         if close is None or name in NOT_CALLED:
             continue
-        tail = re.match(r"\s*(?:const|noexcept|override|final|volatile|&&?|->\s*[\w:<>*&\s]+|__attribute__\s*\(\([^)]*\)\)|\s)*(?::(?!:)[^;{}]*(?:\{[^{}]*\}[^;{}]*)*)?\{", s.code[close + 1 :])
-        if not tail or any(a < m.start() < b for a, b, _ in functions):
+        tail = C_TAIL.match(s.code, close + 1)
+        if not tail or functions.row(m.start()):
             continue
-        body = close + tail.end()
-        start = max(s.code.rfind(c, 0, m.start()) for c in ";{}") + 1
+        body = tail.end() - 1
+        k = bisect_left(ends, m.start()) - 1
+        start = ends[k] + 1 if k >= 0 else 0
         start += len(s.code[start : m.start()]) - len(s.code[start : m.start()].lstrip())
-        access = re.match(r"(?:public|private|protected)\s*:\s*", s.code[start:])
-        start += access.end() if access else 0
+        access = C_ACCESS.match(s.code, start)
+        start = access.end() if access else start
         if "=" in s.code[start : m.start()] and "operator" not in s.code[start : m.start()]:
             continue
         own = parent(m.start())
         method = "::" in name or (own is not None and own[1] in ("class", "struct"))
         ident = s.add(name.rsplit("::", 1)[-1].lstrip("~"), "method" if method else "function", join(own[0] if own else None, name), start, body, s.match[body] + 1)
         pointers = set(re.findall(r"\(\s*\*\s*(\w+)\s*\)\s*\(", s.code[start : s.match[body]]))
-        functions.append((body, s.match[body], (ident, own[0] if own else None, pointers)))
+        functions.add(body, s.match[body], (ident, own[0] if own else None, pointers))
     for m in re.finditer(r"((?:[\w\]\)]+(?:\([^()]*\))?\s*(?:\.|->)\s*)*)((?:\w+(?:<[^<>;{}()]*>)?\s*::\s*)*\w+)(?:<[^<>;{}()]*>)?\s*\(", s.code):
-        found = s.owner_at(m.start(), functions)
+        found = functions.find(m.start())
         name = squeezed(m[2])
         if not found or name in NOT_CALLED:
             continue
@@ -297,24 +309,25 @@ def c_like(path: str, text: str) -> Source:
 
 def zig(path: str, text: str) -> Source:
     s = Source(path, text, ZIG_STRINGS)
-    containers, functions = [], []
+    containers: Spans[str] = Spans()
+    functions: Spans[str] = Spans()
     for m in re.finditer(r"(?:\bpub\s+)?\bconst\s+(\w+)\s*=\s*(?:packed\s+|extern\s+)?(struct|enum|union)\b", s.code):
         body = _body(s, m.end())
         if body is not None:
             s.add(m[1], m[2], m[1], m.start(), body, s.match[body] + 1)
-            containers.append((body, s.match[body], m[1]))
+            containers.add(body, s.match[body], m[1])
     for m in re.finditer(r"(?:\b(?:pub|export|inline|noinline)\s+)*\bfn\s+(\w+)\s*\(", s.code):
         close = s.match.get(m.end() - 1)
         body = _body(s, close + 1) if close is not None else None
         if body is None:
             continue
-        owner = s.owner_at(m.start(), containers)
+        owner = containers.find(m.start())
         ident = s.add(m[1], "method" if owner else "function", join(owner, m[1]), m.start(), body, s.match[body] + 1)
-        functions.append((body, s.match[body], ident))
+        functions.add(body, s.match[body], ident)
     for m in re.finditer(r"(?<![\w@])((?:\w+\s*\.\s*)*)(\w+)\s*\(", s.code):
-        if m[2] in NOT_CALLED_HERE or re.search(r"\bfn\s*\Z", s.code[: m.start()][-6:]):
+        if m[2] in NOT_CALLED_HERE or re.search(r"\bfn\Z", s.before(m.start())):
             continue
-        if caller := s.owner_at(m.start(), functions):
+        if caller := functions.find(m.start()):
             s.calls.append(Call(caller, m[2], m.start()))
     return s
 
@@ -329,19 +342,27 @@ def parse_code(path: str, content: str, language: str) -> tuple[list[tuple], lis
     return PARSERS[language](path, content).rows()
 
 
-def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, raw_calls) of scanned files; of symbols with one id in a file the last stays."""
+def parsed(files: DataFrame) -> DataFrame:
+    """The columns of schema.FILES, and nodes and calls, of scanned files; null for those without content."""
     node_ddl = ", ".join(c for c in schema.NODES.split(", ") if not c.startswith("is_test"))
     struct = lambda ddl: ",".join(f"{a}:{b}" for a, b in (c.split() for c in ddl.split(", ")))
+    names = schema.names(node_ddl), schema.names(schema.RAW_CALLS)
+    own = schema.names(schema.FILES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [parse_code(p, t, x) for p, t, x in zip(b["file_path"], b["content"], b["language"], strict=True)]
-            names = schema.names(node_ddl), schema.names(schema.RAW_CALLS)
-            rows = [[[dict(zip(names[k], r, strict=True)) for r in pair[k]] for pair in out] for k in (0, 1)]
-            yield pd.DataFrame({"test": b["is_test"].array, "nodes": rows[0], "calls": rows[1]})
-
-    parsed = files.select("file_path", "content", "language", "is_test").mapInPandas(run, f"test boolean, nodes array<struct<{struct(node_ddl)}>>, calls array<struct<{struct(schema.RAW_CALLS)}>>")
-    each = parsed.select("test", F.posexplode("nodes").alias("seq", "n")).select("seq", "n.*", F.col("test").alias("is_test"))
-    latest = each.groupBy("id").agg(F.max_by(F.struct(*schema.names(schema.NODES)), "seq").alias("n")).select("n.*")
-    return latest, parsed.select(F.explode("calls").alias("c")).select("c.*")
+            out = [None if t is None else parse_code(p, t, x) for p, t, x in zip(b["file_path"], b["content"], b["language"], strict=True)]
+            rows = [[None if pair is None else [dict(zip(names[k], r, strict=True)) for r in pair[k]] for pair in out] for k in (0, 1)]
+            yield b[own].assign(nodes=rows[0], calls=rows[1])
+
+    return files.select(*own, "content").mapInPandas(run, f"{schema.FILES}, nodes array<struct<{struct(node_ddl)}>>, calls array<struct<{struct(schema.RAW_CALLS)}>>")
+
+
+def nodes_of(found: DataFrame) -> DataFrame:
+    """The symbols of ``parsed`` files; of those with one id in a file the last stays."""
+    each = found.select(F.col("is_test").alias("test"), F.posexplode("nodes").alias("seq", "n")).select("seq", "n.*", F.col("test").alias("is_test"))
+    return each.groupBy("id").agg(F.max_by(F.struct(*schema.names(schema.NODES)), "seq").alias("n")).select("n.*")
+
+
+def calls_of(found: DataFrame) -> DataFrame:
+    return found.select(F.explode("calls").alias("c")).select("c.*")

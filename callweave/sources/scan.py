@@ -54,11 +54,12 @@ def list_files(workspace: str, include_library: bool = False) -> list[tuple[str,
     return out
 
 
-def scan(spark: SparkSession, workspace: str, include_library: bool = False) -> DataFrame:
-    """file_path, language, size_bytes, last_modified, is_test, content, content_hash; files that aren't UTF-8 are left out.
+def scan(spark: SparkSession, workspace: str, include_library: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """file_path, language, size_bytes, last_modified, is_test, content, content_hash.
 
+    Content and hash of files that can't be read as UTF-8 are null: they are there, and nothing else is known of them.
     Paths are dealt out by bytes, so that a few large files don't meet in a task. The folder must be visible to all
-    executors.
+    executors. ``only``: the files (file_path) that are read.
     """
     found = sorted(list_files(workspace, include_library), key=lambda f: -f[2])
     parts = max(1, min(len(found), -(-sum(f[2] for f in found) // TASK_BYTES), 10_000), min(len(found), spark.sparkContext.defaultParallelism))
@@ -76,10 +77,10 @@ def scan(spark: SparkSession, workspace: str, include_library: bool = False) ->
                         texts.append(Path(workspace, p).read_bytes().decode("utf-8"))
                     except (OSError, UnicodeDecodeError):
                         texts.append(None)
-                part = part.assign(content=texts)
-                part = part[part["content"].notna()]
-                yield part.assign(content_hash=[hashlib.md5(t.encode()).hexdigest() for t in part["content"]])
+                yield part.assign(content=texts, content_hash=[None if t is None else hashlib.md5(t.encode()).hexdigest() for t in texts])
 
+    if only is not None:
+        paths = paths.join(only.select("file_path"), "file_path", "left_semi").select(*paths.columns)
     return paths.repartition(parts, "part").mapInPandas(read, schema)
 
 
@@ -91,6 +92,12 @@ def git(workspace: str, *args: str) -> str | None:
     return out.stdout.strip() if out.returncode == 0 else None
 
 
+def is_shallow(workspace: str) -> bool:
+    """Whether the head commit is known without a parent."""
+    found = git(workspace, "rev-list", "--parents", "-n", "1", "HEAD")
+    return found is not None and len(found.split()) == 1
+
+
 def git_facts(workspace: str) -> dict[str, str | None]:
     """Commit, subject and date of the head, branch, and whether the tree is clean."""
     last = git(workspace, "log", "-1", "--format=%H%x00%s%x00%cI")

@@ -17,6 +17,10 @@ class IndexMissing(FileNotFoundError):
     """There is no index in the workspace yet."""
 
 
+#: Rows of a file of a compact table, about.
+FILE_ROWS = 4_000_000
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, Path(folder)
@@ -40,13 +44,32 @@ class Store:
         before = self.manifest
         generation = f"gen-{uuid.uuid4().hex}"
         for name, rows in tables.items():
-            order = {"nodes": ["name", "id"], "edges": ["target_id", "source_id"], "raw_calls": ["callee_simple"]}.get(name)
+            order = {"nodes": ["name", "id"], "edges": ["target_id", "source_id"], "raw_calls": ["callee_simple"], "postings": ["term", "id"]}.get(name)
             rows = rows.select(*schema.names(schema.TABLES[name]))
+            if name == "postings":  # a term's rows in few files, so that a search reads few
+                rows = rows.repartitionByRange("term", "id")
             (rows.sortWithinPartitions(*order) if order else rows).write.parquet(str(self.folder / generation / name))
         meta = self.spark.createDataFrame(list(metadata.items()), schema.METADATA)
         meta.coalesce(1).write.parquet(str(self.folder / generation / "project_metadata"))
+        self._point(generation, before)
+
+    def _point(self, generation: str, before: dict | None) -> None:
         temp = self.folder / f"CURRENT.{generation}"
         temp.write_text(json.dumps({"generation": generation, "schema_version": schema.SCHEMA_VERSION, "before": before and before["generation"]}))
         os.replace(temp, self.folder / "CURRENT")
         if before and before.get("before"):
             shutil.rmtree(self.folder / before["before"], ignore_errors=True)
+
+    def compact(self) -> None:
+        """The same tables in as few files as they need, as a new generation: syncs leave many small ones."""
+        before = self.manifest
+        if before is None:
+            raise IndexMissing(f"no index in {self.folder}; build one first")
+        generation = f"gen-{uuid.uuid4().hex}"
+        for name in schema.TABLES:
+            rows = self.table(name)
+            files = max(1, -(-rows.count() // FILE_ROWS))
+            keys = {"nodes": ["name", "id"], "edges": ["target_id", "source_id"], "raw_calls": ["callee_simple"], "postings": ["term", "id"]}.get(name)
+            rows = rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys) if keys else rows.coalesce(files)
+            rows.write.parquet(str(self.folder / generation / name))
+        self._point(generation, before)

@@ -1,5 +1,6 @@
 """A workspace is built, asked, changed and synced."""
 
+import json
 import os
 import random
 import subprocess
@@ -70,7 +71,12 @@ def test_build_ask_sync(spark, tmp_path):
     assert {r["id"] for r in engine.explore("target")["nodes"].collect()} == {"b.rs::target"}
     with pytest.raises(ValueError):
         engine.node()
-    assert "build" in engine.describe()
+    assert engine.describe()["search"]["arguments"]["limit"] == 30 and engine.describe()["build"]["about"]
+    assert json.loads(engine.as_json(engine.callers("target", no_tests=True)))[0]["doc_comment"] is None
+    assert set(json.loads(engine.as_json(engine.node(symbol="target")))) == {"nodes", "code", "callers", "callees"}
+    lines = engine.as_text().split("\n")
+    assert len(lines) == 7 and lines[0].startswith(".y.rs" + " " * 36 + "rust ") and len({len(x) for x in lines}) == 1
+    assert "indexed at" in (tmp_path / scan.INDEX_DIR / "ABOUT.md").read_text()
 
     # a target moves; a missing function appears; a file goes
     put(tmp_path, {"b.rs": "fn helper_in_tests() {}\n", "c.rs": "fn target() {}\nfn missing() {}\n"})
@@ -79,13 +85,61 @@ def test_build_ask_sync(spark, tmp_path):
     assert ("a.rs::caller", "c.rs::target", 0) in edges(engine) and ("a.rs::caller", "c.rs::missing", 0) in edges(engine)
     assert not any("b.rs::target" in e for e in edges(engine)) and unresolved(engine) == set()
     assert "_x.rs" not in {r["file_path"] for r in engine.files().collect()} and engine.search("magic").collect() == []
-    after, left = edges(engine), unresolved(engine)
+    after, left, terms = edges(engine), unresolved(engine), posted(engine)
+    engine.compact()
+    assert (edges(engine), unresolved(engine), posted(engine)) == (after, left, terms)
     engine.build()
-    assert (edges(engine), unresolved(engine)) == (after, left)
+    assert (edges(engine), unresolved(engine), posted(engine)) == (after, left, terms)
     engine.build(include_library=True)
     assert {"vendor/v.go", "target/z.rs"} <= {r["file_path"] for r in engine.files().collect()}
 
 
+def posted(engine):
+    return sorted(tuple(r) for r in engine.table("postings").collect())
+
+
+def test_a_file_that_becomes_unreadable_keeps_its_rows(spark, tmp_path, caplog):
+    put(tmp_path, {"a.rs": "fn a() { b(); }\n", "b.rs": "fn b() {}\n"})
+    engine = Engine(spark, str(tmp_path))
+    engine.build()
+    before = edges(engine), posted(engine), {r["file_path"] for r in engine.files().collect()}
+    (tmp_path / "b.rs").write_bytes(b"fn c\xff() {}")
+    engine.sync()
+    assert (edges(engine), posted(engine), {r["file_path"] for r in engine.files().collect()}) == before and "b.rs" in caplog.text
+    put(tmp_path, {"b.rs": "fn c() {}\n"})
+    engine.sync()
+    assert edges(engine) == set() and unresolved(engine) == {("a.rs::a", "b")}
+
+
+def test_each_file_is_read_and_parsed_once(spark, tmp_path, monkeypatch):
+    put(tmp_path, {"a.rs": "fn a() { b(); }\n", "b.rs": "fn b() {}\n"})
+    made = []
+    whole = scan.scan
+    monkeypatch.setattr(scan, "scan", lambda *a: made.append(whole(*a)) or made[-1])
+    tables = {}
+    monkeypatch.setattr("callweave.sources.store.Store.write", lambda self, t, facts: tables.update(t) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        Engine(spark, str(tmp_path)).build()
+    assert len(made) == 1
+    for df in tables.values():  # what is written has been read back: no Python is left in any plan
+        assert "MapInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pull_report_from_json_files(spark, tmp_path):
+    put(tmp_path, {"w/a_test.go": "package a\nfunc TestAdd() { helper() }\nfunc helper() {}\n"})
+    pull = {"number": 7, "title": "Add it", "state": "closed", "merged_at": None, "merge_commit_sha": "0123456789abcdef", "head": {"sha": None}, "labels": [{"name": "x"}, {"name": "y"}], "body": "```release-note\nNew.\n```"}
+    changed = [{"filename": "a_test.go", "status": "modified", "additions": 2, "deletions": 1, "changes": 3, "patch": "+func TestAdd(t *testing.T) {\n+func TestGone(t *testing.T) {"}, {"filename": "none.md", "status": "added", "additions": 1, "deletions": 0, "changes": 1, "patch": None}]
+    (tmp_path / "pull.json").write_text(json.dumps(pull, indent=1))
+    (tmp_path / "files.json").write_text(json.dumps(changed, indent=1))
+    engine = Engine(spark, str(tmp_path / "w"))
+    engine.build()
+    rows = [(r["part"], r["line"]) for r in engine.pull_report(str(tmp_path / "pull.json"), str(tmp_path / "files.json"), 1).collect()]
+    assert [x for p, x in rows if p == 0] == ["PR #7: Add it", "State: closed, merged at None", "Merge commit: 0123456789ab", "Head commit: unknown", "Labels: x, y", "Release note: New.", "Shallow head: false", "Index: 1 files, 2 nodes, 1 edges"]
+    assert [x for p, x in rows if p == 1] == ["a_test.go modified (+2/-1, 3 changes)", "none.md added (+1/-0, 1 changes)"]
+    assert [x for p, x in rows if p == 2] == ["func TestAdd() from line 2, and 1 more", "no symbols"]
+    assert [x for p, x in rows if p == 3] == ["func TestAdd() (function test) a_test.go:2", "TestGone is not in the index"]
+
+
 def test_status_follows_the_tree(spark, tmp_path):
     put(tmp_path, {"a.rs": "fn a() {}\n", ".gitignore": scan.INDEX_DIR + "\n"})
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True)
@@ -150,11 +204,12 @@ def test_cascade_is_the_scalar_loop(spark):
 
 
 def test_query_grammar():
-    for bad in ("", "Point::new", "/api", "a.b", "foo-bar", "a AND", "NOT a", "(a", "x : y"):
+    for bad in ("", "Point::new", "/api", "a.b", "foo-bar", "a AND", "NOT a", "(a", "x : y", "a, b", "NEAR(a b, c)"):
         with pytest.raises(search.QuerySyntaxError):
             search.parse(bad)
     assert search.parse("a b")[0] == "and" and search.parse("a OR b AND c")[0] == "or" and search.parse("a b NOT c")[0] == "not"
     assert search.parse("helper_in_tests") == search.Phrase(("helper", "in", "tests"))
+    assert search.parse("NEAR(a b, 3)")[2] == 3 and search.parse("NEAR(a b)")[2] == 10
     assert search.parse("name : ^x*") == search.Phrase(("x",), True, ("name",), True)
 
 
@@ -167,6 +222,6 @@ def test_pull_request_reports(spark):
     nodes = spark.createDataFrame([("t.py::test_x", "test_x", "function", "test_x", "t.py", 1, 1, 0, 0, "", None, True)], schema.NODES)
     assert {(r["test"]) for r in report.missing_tests(tests, nodes).where(F.col("found")).collect()} == {"test_x"}
     body = spark.createDataFrame([("x\n```release-note\nFixed it.\n```\ny",), ("none",)], "body string")
-    assert [r["note"] for r in report.release_note(body).collect()] == ["Fixed it.", None]
+    assert [r["note"] for r in report.release_note(body).collect()] == ["Fixed it.", "unknown"]
     meta = spark.createDataFrame([("git_branch", "main"), ("indexed_at", None)], "key string, value string")
     assert [(r["title"], r["value"]) for r in report.metadata_titles(meta).collect()] == [("Git Branch", "main"), ("Indexed At", "N/A")]

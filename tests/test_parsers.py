@@ -1,5 +1,7 @@
 """Facts that the parsers must find in small sources."""
 
+import time
+
 from callweave.sources.parsers import parse_code
 
 NODE = ["id", "name", "kind", "qualified_name", "file_path", "start_line", "end_line", "start_column", "end_column", "signature", "doc"]
@@ -199,3 +201,29 @@ def test_broken_sources_do_not_crash():
     for language, path in (("rust", "x.rs"), ("go", "x.go"), ("java", "X.java"), ("c", "x.c"), ("cpp", "x.cpp"), ("zig", "x.zig")):
         for text in ("", "{", "}}}", "fn (", "class {", "((((", '"', "/*", "func (a *", "é fn ü() { ß(); }", "import (", "@GetMapping( class X { void f("):
             parse_code(path, text, language)
+
+
+UNITS = {
+    "rust": "/// Doc.\npub struct S{k} {{ n: u32 }}\nimpl S{k} {{\n    fn new(n: u32) -> Self {{ S{k} {{ n }} }}\n    fn add(&self) -> u32 {{ self.n.max(1) + helper({k}) }}\n}}\nfn free{k}() {{ let c = S{k}::new(3); c.add(); }}\n",
+    "go": "// Doc.\ntype S{k} struct {{ n int }}\nfunc (s *S{k}) Add(x int) int {{ return s.n + helper(x) }}\nfunc Free{k}() {{ fmt.Println(Free()) }}\n",
+    "java": "    /** Doc. */\n    @GetMapping(\"/x{k}\")\n    public int get{k}(List<String> a) {{ if (a.isEmpty()) {{ return helper(a, {k}); }} return new Foo(a).bar(); }}\n",
+    "c": "// Doc.\nstruct s{k} {{ int n; }};\nstatic int f{k}(int x) {{ return g(x) + MAX(x, {k}); }}\n",
+    "cpp": "class S{k} {{ public: int get() {{ return helper(n); }} int n; }};\nint S{k}::put(int x) {{ return get() + x; }}\n",
+    "zig": "const S{k} = struct {{\n    pub fn get(self: S{k}) i32 {{ return helper(self.n); }}\n}};\nfn free{k}() void {{ S{k}.get(1); }}\n",
+}
+
+
+def test_a_large_file_is_read_in_linear_time():
+    """About a megabyte of each language, once in lines and once as a single one."""
+    for language, unit in UNITS.items():
+        n = 1_000_000 // len(unit)
+        body = "".join(unit.format(k=k) for k in range(n))
+        text = f"package demo;\n@RestController\nclass Big {{\n{body}}}\n" if language == "java" else body
+        began = time.time()
+        nodes, calls = parse_code(f"big.{language}", text, language)
+        assert time.time() - began < 20, language
+        assert len(nodes) >= 2 * n and len(calls) >= n, (language, len(nodes), len(calls), n)
+        if language in ("java", "c"):
+            began = time.time()
+            nodes, _ = parse_code(f"big.{language}", "é " + " ".join(x for x in text.split("\n") if not x.strip().startswith("//")), language)
+            assert time.time() - began < 20 and len(nodes) >= n, language
