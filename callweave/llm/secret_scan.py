@@ -25,10 +25,11 @@ MARKOV = "markov"
 #: Numbers added up at a time.
 BLOCK = 128
 #: Strings that the models judge: runs of these characters as far as a base span begins in them; what is left of a run
-#: behind a base span belongs to that. The first group is the string.
+#: behind a base span belongs to that, up to where an assignment begins. The first group is the string.
 RUN = "[A-Za-z0-9+/_-]"
-ANY_BASE = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}+)|AKIA[A-Z0-9]{16,}+|[0-9a-f]{24,}+"""
-CANDIDATE = f"(?:{ANY_BASE}){RUN}*+|(?<!{RUN})(?={RUN}{{20}})((?:(?!{ANY_BASE}){RUN}){{20,}}+={{0,2}})"
+ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}+)"""
+OTHERS = "AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+CANDIDATE = f"(?:{ASSIGN}|(?={OTHERS}))(?:(?!{ASSIGN}){RUN})*+|(?<!{RUN})(?={RUN}{{20}})((?:(?!{ASSIGN}|{OTHERS}){RUN}){{20,}}+={{0,2}})"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 #: Classes: one for each character of the alphabet and one for the string's edge.
 CLASSES = len(ALPHABET) + 1
