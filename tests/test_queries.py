@@ -32,8 +32,8 @@ def test_query_is_its_sql(spark, db, name):
     assert rows == sorted(want.select(*[f'"{c}"' for c in cols]).fetchall(), key=repr)
 
 
-def test_every_query_but_one_has_sql():
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"import_hints"}
+def test_every_query_has_sql():
+    assert set(queries.queries()) == set(queries.oracle_sql())
 
 
 def test_import_hints_are_brute_force(spark):
