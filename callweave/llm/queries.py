@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, line_dedup, secret_scan
+from callweave.llm import bpe, chat_format, decontaminate, exact_dedup, hard_negatives, html_extract, jaccard_join, lang_id, license_scan, line_dedup, merkle, secret_scan, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +145,79 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.place(_read(spark, sf_dir, "documents"), shards=8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(table.select("vec_id", label.alias("label"), "embedding"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS place
+  FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score)
+WHERE place <= 3
+"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    changed = F.when(tampered, merkle.document_leaf(F.col("n_chars") + 1))
+    rows = merkle.manifest(docs.select("doc_id", "lang", merkle.document_leaf(F.col("n_chars")).alias("leaf"), changed.alias("changed")))
+    folded = merkle.fold(F.coalesce("row.changed", "leaf"), F.col("path"))
+    rows = rows.select("row.doc_id", "leaf", "subroot", "root", merkle.digest(F.array_join("path.digest", "")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP13_SQL = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, lang, n_chars, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx,
+         xor(list_reduce([4294967295] || flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [CAST(ascii(substr(doc_id::VARCHAR, i::INT, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+                         lambda x, e: xor(xor(x, e) >> 1, 3988292384 * (xor(x, e) & 1))), 4294967295) % 7 = 0 AS picked
+  FROM documents
+), parts AS (
+  SELECT doc_id, lang, idx, picked, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+         coalesce(strlen(text) || ':' || text, '-') AS z FROM rows
+), leaves AS (
+  SELECT doc_id, lang, idx, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+         CASE WHEN picked AND n_chars IS NOT NULL THEN sha256(a || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || z) END AS changed FROM parts
+), low AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY idx) AS d FROM leaves GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(d), 2), lambda i: sha256(d[i + 1] || coalesce(d[i + 2], ''))) FROM low WHERE len(d) > 1
+), subroots AS (SELECT lang, d[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM low WHERE len(d) = 1),
+high AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS d FROM subroots
+  UNION ALL SELECT level + 1, list_transform(range(0, len(d), 2), lambda i: sha256(d[i + 1] || coalesce(d[i + 2], ''))) FROM high WHERE len(d) > 1
+), steps AS (
+  SELECT doc_id, level, (idx >> level) & 1 AS side, low.d[xor(idx >> level, 1) + 1] AS sister FROM leaves JOIN low ON low.lang IS NOT DISTINCT FROM leaves.lang AND len(low.d) > 1
+  UNION ALL SELECT doc_id, 1000 + level, (place >> level) & 1, high.d[xor(place >> level, 1) + 1]
+  FROM leaves JOIN subroots ON subroots.lang IS NOT DISTINCT FROM leaves.lang JOIN high ON len(high.d) > 1
+), paths AS (SELECT doc_id, coalesce(string_agg(sister, '' ORDER BY level), '') AS proof, list({'side': side, 'sister': coalesce(sister, '')} ORDER BY level) AS path FROM steps GROUP BY doc_id),
+fold AS (
+  SELECT doc_id, coalesce(changed, leaf) AS now, path, 1 AS pos FROM leaves JOIN paths USING (doc_id)
+  UNION ALL SELECT doc_id, sha256(CASE WHEN path[pos].side = 1 THEN path[pos].sister || now ELSE now || path[pos].sister END), path, pos + 1 FROM fold WHERE pos <= len(path)
+)
+SELECT l.doc_id, l.leaf, subroot, root, sha256(proof) AS proof_sha256, now AS folded_root, now = root AS verified
+FROM leaves l JOIN paths USING (doc_id) JOIN fold ON fold.doc_id = l.doc_id AND pos = len(fold.path) + 1
+JOIN subroots ON subroots.lang IS NOT DISTINCT FROM l.lang, (SELECT d[1] AS root FROM high WHERE len(d) = 1)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
@@ -157,8 +230,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_lang_id": op9_lang_id,
         "op10_licenses": op10_licenses,
+        "op11_sharding": op11_sharding,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op12_hard_negatives": OP12_SQL, "op13_merkle": OP13_SQL}

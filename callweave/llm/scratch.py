@@ -39,6 +39,19 @@ def _at(spark: SparkSession, path: str):
     return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
 
+def path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, until the application ends."""
+    found = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    files, there = _at(spark, found)
+    files.deleteOnExit(there)
+    return found
+
+
+def exists(spark: SparkSession, place: str) -> bool:
+    files, there = _at(spark, place)
+    return files.exists(there)
+
+
 def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back; ``keep``: not to be deleted with its owner's other tables."""
     spark = df.sparkSession
