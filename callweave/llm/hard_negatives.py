@@ -238,7 +238,7 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     best rows of other labels are taken whose score is from ``low`` to ``high`` hundredths of the positive's score.
     The score is the inner product of the components' floors in 256ths; ties go by the smaller vec_id. Vectors of
     different lengths have no score and don't meet; empty vectors have the score 0. A score beyond a long is held at
-    the long's limit. Fewer rows than asked for, or none, are what there is; an anchor without them has no row. An
+    the long's limit, and so is the window made of it. Fewer rows than asked for, or none, are what there is; an anchor without them has no row. An
     empty table gives an empty result. Other columns than the three are ignored.
 
     The parts are as many as the rows need for trees of about ``part_values`` components, and enough for all cores.
