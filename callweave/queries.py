@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import columns as C
-from callweave.operators import lookup, report, resolve, search, sync
+from callweave.operators import lookup, report, resolve, search, sync, vectors
 from callweave.plans import projection as P
 from callweave.plans.cut import cut
 
@@ -489,6 +489,18 @@ def search_more(s, d):
     return search.more_than(P.nodes(s, d), "widget")
 
 
+# -- vectors
+
+
+@query("""WITH r AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+          SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank, id, similarity
+                         FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 9) AS similarity FROM r a JOIN r b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0))
+          WHERE rank <= 10""")
+def vector_top_k(s, d):
+    rows = vectors.usable(s.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding")
+    return vectors.top_k(rows.where(F.col("id") % 50 == 0), rows, 10)
+
+
 # -- incremental maintenance
 
 
