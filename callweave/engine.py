@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave import schema
-from callweave.operators import lookup, report, resolve, search, sync
+from callweave.operators import lookup, report, resolve, search, sync, trigrams
 from callweave.plans.cut import cut
 from callweave.sources import scan
 from callweave.sources.parsers import calls_of, nodes_of, parsed
-from callweave.sources.store import IndexMissing, Store
+from callweave.sources.store import IndexMissing, Manifest, Store
 
 log = logging.getLogger(__name__)
 #: The file beside the tables that tells tools and people what the index is of.
@@ -26,9 +26,10 @@ POINTER = "ABOUT.md"
 class Engine:
     """An index of one workspace. Results are DataFrames; ``workspace`` must be visible to all executors."""
 
-    def __init__(self, spark: SparkSession, workspace: str):
+    def __init__(self, spark: SparkSession, workspace: str, index: str | None = None):
+        """``index``: the folder of the index, on any storage that Spark can write; without it, one within the workspace."""
         self.spark, self.workspace = spark, str(workspace)
-        self.store = Store(spark, str(Path(workspace, scan.INDEX_DIR)))
+        self.store = Store(spark, index or str(Path(workspace, scan.INDEX_DIR).absolute()))
 
     # -- building
 
@@ -40,34 +41,33 @@ class Engine:
         calls = sync.known_ends(calls_of(found), nodes, "caller_id")
         calls = cut(calls.select(*schema.names(schema.RAW_CALLS)))
         resolved = cut(resolve.resolve(calls, nodes))
-        self._keep({
+        self._say(self.store.write({
             "files": found.where("content_hash is not null"), "nodes": nodes, "raw_calls": calls,
             "edges": sync.known_ends(resolve.edges_of(resolved), nodes, "source_id", "target_id"),
-            "unresolved_refs": sync.known_ends(resolve.unresolved_of(resolved), nodes, "source_id"), "postings": search.index_rows(nodes),
-        })
+            "unresolved_refs": sync.known_ends(resolve.unresolved_of(resolved), nodes, "source_id"), "postings": search.index_rows(nodes), "trigrams": trigrams.index_rows(nodes),
+        }, self._facts()))
 
     def sync(self, include_library: bool = False) -> None:
         """Bring the index up to date: only changed files are parsed, only calls that they touch resolved anew.
 
         A file that can't be read as UTF-8 any more keeps what the index has of it.
         """
-        if self.store.manifest is None:
+        now = self.store.manifest
+        if now is None:
             raise IndexMissing(f"no index in {self.workspace}; build one first")
-        if self.store.manifest["schema_version"] != schema.SCHEMA_VERSION:
+        if now.schema_version != schema.SCHEMA_VERSION:
             return self.build(include_library)
-        before = {t: self.store.table(t) for t in schema.TABLES if t != "project_metadata"}
+        before = {t: self.store.table(t) for t in ("files", "nodes", "raw_calls", "edges", "unresolved_refs")}
         listed = cut(scan.scan(self.spark, self.workspace, include_library).select(*schema.names(schema.FILES)))
         self._warn(listed)
         changed = sync.modified(before["files"], listed).select("file_path")
         found = cut(parsed(scan.scan(self.spark, self.workspace, include_library, changed)))
         # what was parsed is what counts, should a file have changed in between
         disk = cut(listed.join(found.select("file_path"), "file_path", "left_anti").unionByName(found.select(*listed.columns)))
-        after = sync.apply_changes(before, {"files": disk, "nodes": nodes_of(found), "raw_calls": calls_of(found)})
-        old, new = before["nodes"], after["nodes"]
-        gone = old.join(new, [old[c].eqNullSafe(new[c]) for c in ("id", *search.COLUMNS)], "left_anti")
-        fresh = new.join(old, [new[c].eqNullSafe(old[c]) for c in ("id", *search.COLUMNS)], "left_anti")
-        self._keep(after | {"postings": search.updated(before["postings"], gone, fresh)})
-        return None
+        after = sync.changes(before, {"files": disk, "nodes": nodes_of(found), "raw_calls": calls_of(found)})
+        gone, new = sync.symbols_changed(after, before)
+        after |= {"postings": (gone, search.index_rows(new)), "trigrams": (gone, trigrams.index_rows(new))}
+        return self._say(self.store.append(after, self._facts()))
 
     def compact(self) -> None:
         """Rewrite the tables in as few files as they need."""
@@ -77,12 +77,14 @@ class Engine:
         for r in files.where("content_hash is null").select("file_path").limit(20).collect():
             log.warning("not readable as UTF-8, left as it was: %s", r["file_path"])
 
-    def _keep(self, tables: dict[str, DataFrame]) -> None:
-        facts = scan.git_facts(self.workspace) | {"indexed_at": datetime.now(UTC).isoformat(timespec="seconds")}
-        self.store.write(tables, facts)
-        log.info("indexed: %s", ", ".join(f"{n} {t}" for t, n in ((t, self.table(t).count()) for t in ("files", "nodes", "edges", "raw_calls", "unresolved_refs"))))
-        said = "".join(f"- {name}: {facts[key] or 'N/A'}\n" for name, key in (("commit", "git_commit_sha"), ("branch", "git_branch"), ("working tree", "git_status"), ("indexed at", "indexed_at")))
-        (self.store.folder / POINTER).write_text(f"# Code graph of this workspace\n\nWritten by each build and sync.\n\n{said}\nAsk it with callweave.engine.Engine; status() says whether it is fresh.\n")
+    def _facts(self) -> dict[str, str | None]:
+        return scan.git_facts(self.workspace) | {"indexed_at": datetime.now(UTC).isoformat(timespec="seconds")}
+
+    def _say(self, written: Manifest) -> None:
+        """Tell what has been written, as it was counted in writing."""
+        log.info("version %d: %s", written.version, ", ".join(f"{sum(s.rows for s in found)} {t} in {len(found)} segments, {sum(s.gone for s in found)} keys replaced" for t, found in written.tables.items()))
+        said = "".join(f"- {name}: {written.facts[key] or 'N/A'}\n" for name, key in (("commit", "git_commit_sha"), ("branch", "git_branch"), ("working tree", "git_status"), ("indexed at", "indexed_at")))
+        self.store.put_text(POINTER, f"# Code graph of this workspace\n\nWritten by each build and sync.\n\n{said}\nAsk it with callweave.engine.Engine; status() says whether it is fresh.\n")
 
     # -- asking
 
@@ -93,7 +95,7 @@ class Engine:
         """One row: counts, freshness, schema, verdict and what to do."""
         facts = {r["key"]: r["value"] for r in self.table("project_metadata").collect()}
         live = scan.git_facts(self.workspace)
-        row = (self.store.manifest["schema_version"], facts.get("git_commit_sha"), live["git_commit_sha"], facts.get("git_status"), live["git_status"], facts.get("indexed_at"))
+        row = (self.store.manifest.schema_version, facts.get("git_commit_sha"), live["git_commit_sha"], facts.get("git_status"), live["git_status"], facts.get("indexed_at"))
         given = self.spark.createDataFrame([row], "found_schema int, indexed_sha string, head_sha string, indexed_status string, live_status string, indexed_at string")
         return report.status(report.totals(self.table("files"), self.table("nodes"), self.table("edges")), given, schema.SCHEMA_VERSION)
 
@@ -101,7 +103,7 @@ class Engine:
         return lookup.files_with_counts(self.table("files"), self.table("nodes"))
 
     def search(self, query: str, limit: int = 30, no_tests: bool = False) -> DataFrame:
-        return search.search(self.table("nodes"), query, limit, no_tests, self.table("postings"))
+        return search.search(self.table("nodes"), query, limit, no_tests, self.table("postings"), self.table("trigrams"))
 
     def _targets(self, symbol: str, within: str | None, no_tests: bool) -> DataFrame:
         return lookup.scoped(lookup.without_tests(lookup.find_symbol(self.table("nodes"), symbol), no_tests), within)
@@ -139,7 +141,7 @@ class Engine:
 
     def explore(self, query: str, no_tests: bool = False) -> dict[str, DataFrame]:
         """Symbols that a query finds, by file and rank, with code, callers and callees."""
-        found = lookup.without_tests(search.ladder(self.table("nodes"), query, self.table("postings")), no_tests)
+        found = lookup.without_tests(search.ladder(self.table("nodes"), query, self.table("postings"), self.table("trigrams")), no_tests)
         return self._details(found.orderBy("file_path", "rank", "id"), no_tests)
 
     def pull_report(self, pull: str, changed: str, k: int = 12) -> DataFrame:

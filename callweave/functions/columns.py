@@ -106,9 +106,21 @@ def path_matches_hint(path: Column, hint: Column) -> Column:
     return (hint == "") | F.rlike(path, hint_pattern(hint))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def folded(c: Column) -> Column:
+    """ASCII letters in lower case; others stay as they are."""
+    return F.translate(c, UPPER, LOWER)
+
+
+def fold(s: str) -> str:
+    return s.translate(str.maketrans(UPPER, LOWER))
+
+
 def like_pattern(q: str) -> str:
-    """For ILIKE: ``%`` and ``_`` of the query stay wildcards, a backslash is itself."""
-    return "%" + q.replace("\\", "\\\\") + "%"
+    """For LIKE on ``folded`` columns: ``%`` and ``_`` of the query stay wildcards, a backslash is itself."""
+    return "%" + fold(q).replace("\\", "\\\\") + "%"
 
 
 def shortened(path: Column, keep: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.functions.columns import confidence, like_pattern, resolution_label
+from callweave.functions.columns import confidence, folded, like_pattern, resolution_label
 
 
 def find_nodes(nodes: DataFrame, name: str | None = None, kind: str | None = None, file_path: str | None = None) -> DataFrame:
@@ -20,8 +20,10 @@ def find_by_id(nodes: DataFrame, symbol: str) -> DataFrame:
 
 
 def find_like(nodes: DataFrame, query: str) -> DataFrame:
+    """Name, qualified name or id contain the query, in which % and _ are wildcards; ASCII letters are folded."""
     pattern = like_pattern(query)
-    return nodes.where(F.col("name").ilike(pattern) | F.col("qualified_name").ilike(pattern) | F.col("id").ilike(pattern))
+    like = lambda c: folded(F.col(c)).like(pattern)
+    return nodes.where(like("name") | like("qualified_name") | like("id"))
 
 
 def without_tests(nodes: DataFrame, no_tests: bool) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.lookup import find_like, find_nodes, first_found, without_tests
+from callweave.operators.trigrams import find_like_indexed
 
 COLUMNS = ["name", "qualified_name", "signature", "doc_comment"]
 #: BM25's constants.
@@ -39,11 +40,6 @@ def postings(nodes: DataFrame) -> DataFrame:
     return index_rows(nodes).select("id", "col", "term", "pos")
 
 
-def updated(rows: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """A stored index without the symbols ``gone`` (id), and with those of ``new``: only their texts are read again."""
-    return rows.join(gone.select("id"), "id", "left_anti").unionByName(index_rows(new))
-
-
 class QuerySyntaxError(ValueError):
     """The query isn't in the grammar."""
 
@@ -253,10 +249,13 @@ def match(nodes: DataFrame, query: str, index: DataFrame | None = None) -> DataF
     return rows.select("id", rank.alias("rank"))
 
 
-def ladder(nodes: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
-    """Symbols with rank: those that match, or else those of that name, or else those that contain the query."""
+def ladder(nodes: DataFrame, query: str, index: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
+    """Symbols with rank: those that match, or else those of that name, or else those that contain the query.
+
+    ``index`` and ``grams``: stored rows of this module's and of trigrams' ``index_rows``.
+    """
     named = find_nodes(nodes, name=query).withColumn("rank", F.lit(0.0))
-    like = find_like(nodes, query).withColumn("rank", F.lit(0.0))
+    like = (find_like(nodes, query) if grams is None else find_like_indexed(nodes, grams, query)).withColumn("rank", F.lit(0.0))
     try:
         matched = nodes.join(match(nodes, query, index), "id").select(*nodes.columns, "rank")
     except QuerySyntaxError:
@@ -271,8 +270,8 @@ def relevance(query: str) -> list[Column]:
     return [tier, F.octet_length("name"), F.col("name"), F.col("rank"), F.col("id")]
 
 
-def search(nodes: DataFrame, query: str, limit: int = 30, no_tests: bool = False, index: DataFrame | None = None) -> DataFrame:
-    return without_tests(ladder(nodes, query, index), no_tests).orderBy(*relevance(query)).limit(limit)
+def search(nodes: DataFrame, query: str, limit: int = 30, no_tests: bool = False, index: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
+    return without_tests(ladder(nodes, query, index, grams), no_tests).orderBy(*relevance(query)).limit(limit)
 
 
 def more_than(nodes: DataFrame, query: str, limit: int = 30, no_tests: bool = False, index: DataFrame | None = None) -> DataFrame:

@@ -42,32 +42,50 @@ def replaced(rows: DataFrame, gone: DataFrame, new: DataFrame, key: str = "file_
     return rows.join(gone, key, "left_anti").unionByName(new.select(*rows.columns))
 
 
-def apply_changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables after a sync. ``after``: files on disk, and nodes and raw_calls of the modified ones (others are ignored).
+def changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """What a sync does to each table: the keys whose rows go, and the rows that come. ``after`` as in ``apply_changes``.
 
     Resolved anew are the calls of changed files, calls of names that a changed file has or had, and unresolved
-    references to such names; the other edges stay. That gives the edges of a fresh build.
+    references to such names. Calls find symbols by name alone, so only symbols of the names called are candidates, and
+    every edge to a symbol that goes is among those resolved anew. Both keep the work to what the change touches.
     """
     gone = pruned(before["files"], after["files"]).select("file_path")
-    new_files = modified(before["files"], after["files"])
-    changed = gone.union(new_files.select("file_path")).distinct()
-    changed = cut(changed)
+    new_files = cut(modified(before["files"], after["files"]))
+    changed = cut(gone.union(new_files.select("file_path")).distinct())
     old_nodes = before["nodes"].join(changed, "file_path", "left_semi")
-    new_nodes = after["nodes"].join(new_files.select("file_path"), "file_path", "left_semi")
-    touched = old_nodes.select("id", "name").union(new_nodes.select("id", "name"))
-    touched = cut(touched)
-    names = touched.select(F.col("name").alias("simple")).distinct()
-    files = replaced(before["files"], changed, new_files)
-    nodes = cut(replaced(before["nodes"], changed, new_nodes))
-    old_ids = old_nodes.select(F.col("id").alias("caller_id"))
-    new_ids = new_nodes.select(F.col("id").alias("caller_id"))
-    calls = cut(replaced(before["raw_calls"], old_ids, after["raw_calls"].join(new_ids, "caller_id", "left_semi"), "caller_id"))
-    by_name = calls.withColumn("simple", F.coalesce("callee_simple", simple_name(F.col("callee_name")))).join(names, "simple", "left_semi").select("caller_id")
+    new_nodes = cut(after["nodes"].join(new_files.select("file_path"), "file_path", "left_semi"))
+    old_ids = cut(old_nodes.select("id", "name"))
+    touched = old_ids.union(new_nodes.select("id", "name"))
+    names = cut(touched.select(F.col("name").alias("simple")).distinct())
+    nodes = replaced(before["nodes"], changed, new_nodes)
+    new_calls = cut(after["raw_calls"].join(new_nodes.select(F.col("id").alias("caller_id")), "caller_id", "left_semi"))
+    gone_callers = old_ids.select(F.col("id").alias("caller_id"))
+    calls = replaced(before["raw_calls"], gone_callers, new_calls, "caller_id")
+    simple = F.coalesce("callee_simple", simple_name(F.col("callee_name")))
+    by_name = calls.withColumn("simple", simple).join(names, "simple", "left_semi").select("caller_id")
     refs = before["unresolved_refs"].withColumn("simple", simple_name(F.col("specifier"))).join(names, "simple", "left_semi").select(F.col("source_id").alias("caller_id"))
     affected = cut(touched.select(F.col("id").alias("caller_id")).union(by_name).union(refs).distinct())
+    again = cut(calls_once(calls.join(affected, "caller_id", "left_semi")))
+    called = again.select(simple_name(F.col("callee_name")).alias("name")).distinct()
+    candidates = nodes.join(called, "name", "left_semi").unionByName(nodes.join(affected.select(F.col("caller_id").alias("id")), "id", "left_semi").select(*nodes.columns))
+    found = cut(resolve(again, cut(candidates.dropDuplicates(["id"]))))
     sources = affected.select(F.col("caller_id").alias("source_id"))
-    again = calls.join(affected, "caller_id", "left_semi").distinct()
-    found = cut(resolve(again, nodes))
-    edges = known_ends(before["edges"].join(sources, "source_id", "left_anti").unionByName(edges_of(found)), nodes, "source_id", "target_id")
-    refs = known_ends(before["unresolved_refs"].join(sources, "source_id", "left_anti").unionByName(unresolved_of(found)), nodes, "source_id")
-    return {"files": files, "nodes": nodes, "raw_calls": calls, "edges": edges.select(*before["edges"].columns), "unresolved_refs": refs.select(*before["unresolved_refs"].columns)}
+    callers = candidates.select("id").distinct()
+    return {
+        "files": (changed, new_files), "nodes": (changed, new_nodes), "raw_calls": (gone_callers, new_calls),
+        "edges": (sources, known_ends(edges_of(found), callers, "source_id")), "unresolved_refs": (sources, known_ends(unresolved_of(found), callers, "source_id")),
+    }
+
+
+def symbols_changed(of: dict[str, tuple[DataFrame, DataFrame]], before: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Ids of the symbols that a change takes away, and the symbols that it brings."""
+    changed, new = of["nodes"]
+    return before["nodes"].join(changed, "file_path", "left_semi").select("id"), new
+
+
+def apply_changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after a sync. ``after``: files on disk, and nodes and raw_calls of the modified ones (others are ignored).
+
+    That gives the edges of a fresh build. Of raw calls of one caller at one place to one name, one is resolved.
+    """
+    return {t: replaced(before[t], gone, new, gone.columns[0]) for t, (gone, new) in changes(before, after).items()}

@@ -17,7 +17,8 @@ RAW_CALLS = (
 UNRESOLVED = "source_id string, specifier string, kind string, line long, column long"
 METADATA = "key string, value string"
 POSTINGS = "term string, id string, col string, pos int, tokens int"
-TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "raw_calls": RAW_CALLS, "unresolved_refs": UNRESOLVED, "postings": POSTINGS, "project_metadata": METADATA}
+TRIGRAMS = "gram string, id string"
+TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "raw_calls": RAW_CALLS, "unresolved_refs": UNRESOLVED, "postings": POSTINGS, "trigrams": TRIGRAMS, "project_metadata": METADATA}
 
 
 def names(ddl: str) -> list[str]:
