@@ -184,7 +184,7 @@ class Store:
         rows = rows.sortWithinPartitions(*order) if order else rows
         # observed last: what samples the ranges would be counted too
         writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write
-        for column in BLOOM.get(name, []):
+        for column in BLOOM.get(name, []) if whole else []:  # a change is small, and such a filter isn't
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_VALUES))
         writer.parquet(f"{place}/rows")
         n, taken = seen.get["n"], 0
