@@ -65,7 +65,7 @@ def changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> dict[s
     by_name = calls.withColumn("simple", simple).join(names, "simple", "left_semi").select("caller_id")
     refs = before["unresolved_refs"].withColumn("simple", simple_name(F.col("specifier"))).join(names, "simple", "left_semi").select(F.col("source_id").alias("caller_id"))
     affected = cut(touched.select(F.col("id").alias("caller_id")).union(by_name).union(refs).distinct())
-    again = cut(calls_once(calls.join(affected, "caller_id", "left_semi")))
+    again = cut(calls.join(affected, "caller_id", "left_semi").distinct())
     called = again.select(simple_name(F.col("callee_name")).alias("name")).distinct()
     candidates = nodes.join(called, "name", "left_semi").unionByName(nodes.join(affected.select(F.col("caller_id").alias("id")), "id", "left_semi").select(*nodes.columns))
     found = cut(resolve(again, cut(candidates.dropDuplicates(["id"]))))
@@ -86,6 +86,6 @@ def symbols_changed(of: dict[str, tuple[DataFrame, DataFrame]], before: dict[str
 def apply_changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables after a sync. ``after``: files on disk, and nodes and raw_calls of the modified ones (others are ignored).
 
-    That gives the edges of a fresh build. Of raw calls of one caller at one place to one name, one is resolved.
+    That gives the edges of a fresh build, so raw calls at one place that differ in a receiver or hint are all resolved.
     """
     return {t: replaced(before[t], gone, new, gone.columns[0]) for t, (gone, new) in changes(before, after).items()}

@@ -5,12 +5,17 @@ The same projection in DuckDB's SQL is PROJECTION_SQL, so that every operator ha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave import schema
 from callweave.functions.columns import is_test_path
+from callweave.operators import search, trigrams
 from callweave.operators.resolve import edges_of, resolve, unresolved_of
+from callweave.plans.cut import cut, place
+from callweave.sources.store import Store
 
 
 def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +86,45 @@ def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"nodes": nodes(spark, sf_dir), "files": files(spark, sf_dir), "raw_calls": raw_calls(spark, sf_dir), "edges": edges_of(found), "unresolved_refs": unresolved_of(found)}
 
 
+#: Indexes by application, folder, state of the files that they are of, and what is in them.
+_STORED: dict[tuple[str, ...], Store] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Changes when the tables that the graph is made of are written anew."""
+    said = []
+    for name in ("part", "lineitem"):
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+        said += [files.getFileStatus(there).getModificationTime(), files.getContentSummary(there).getLength()]
+    return ",".join(map(str, said))
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[], dict[str, DataFrame]]) -> Store:
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), kind)
+    if key not in _STORED:
+        store = Store(spark, place(spark, kind))
+        store.write(make(), {})
+        _STORED[key] = store
+    return _STORED[key]
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Store:
+    """nodes and edges as an index holds them: resolved once for each state of the tables, for questions that ask of the graph."""
+    own = nodes(spark, sf_dir)
+    return _stored(spark, sf_dir, "graph", lambda: {"nodes": own, "edges": edges_of(resolve(raw_calls(spark, sf_dir), own))})
+
+
+def stored_texts(spark: SparkSession, sf_dir: str) -> Store:
+    """nodes, postings and trigrams as an index holds them."""
+
+    def make() -> dict[str, DataFrame]:
+        own = cut(nodes(spark, sf_dir))
+        return {"nodes": own, "postings": search.index_rows(own), "trigrams": trigrams.index_rows(own)}
+
+    return _stored(spark, sf_dir, "texts", make)
+
+
 PROJECTION_SQL = r"""
 part_symbols AS (
   SELECT *, file_path || '::' || qualified_name AS id FROM (

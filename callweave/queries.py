@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import columns as C
-from callweave.operators import lookup, report, resolve, search, sync, vectors
+from callweave.operators import lookup, report, resolve, search, sync, trigrams, vectors
 from callweave.plans import projection as P
-from callweave.plans.cut import cut
+from callweave.plans.cut import cut, place
+from callweave.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +54,23 @@ def raw_calls_table(s, d):
     return P.raw_calls(s, d)
 
 
+@query('''SELECT * EXCLUDE (place) FROM (SELECT caller_id, callee_name, callee_simple, callee_scope, call_kind, receiver_expr, receiver_type, package_or_namespace, import_hint, line, "column",
+            row_number() OVER (PARTITION BY caller_id, callee_name, line, "column" ORDER BY callee_simple NULLS FIRST, callee_scope NULLS FIRST, call_kind NULLS FIRST, receiver_expr NULLS FIRST, receiver_type NULLS FIRST,
+                               package_or_namespace NULLS FIRST, import_hint NULLS FIRST) AS place FROM raw_calls) WHERE place = 1''')
+def raw_calls_once(s, d):
+    return sync.calls_once(P.raw_calls(s, d))
+
+
+def resolved_in_file(s, d):
+    """A single file's calls, with its symbols alone as candidates."""
+    return resolve.edges_of(resolve.resolve_in_file(P.raw_calls(s, d), P.nodes(s, d), FILE))
+
+
+query("SELECT * FROM edges")(resolved_in_file)
+#: The same cascade over the symbols of the file and the calls that they make.
+SQL["resolved_in_file"] = SQL["resolved_in_file"].replace("AS seg FROM nodes", f"AS seg FROM nodes WHERE file_path = '{FILE}'").replace("FROM raw_calls r LEFT JOIN syms", "FROM raw_calls r JOIN syms")
+
+
 @query("SELECT * FROM edges")
 def edges_resolved(s, d):
     return resolve.edges_of(P.resolved(s, d))
@@ -83,7 +101,8 @@ for _name in resolve.STAGES:
 
 
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return P.nodes(s, d), resolve.edges_of(P.resolved(s, d))
+    store = P.stored_graph(s, d)
+    return store.table("nodes"), store.table("edges")
 
 
 # -- lookups
@@ -401,8 +420,9 @@ def combined_paths(s, d):
     return rows.select("a", "b", C.combine_paths(F.col("a"), F.col("b")).alias("path"))
 
 
-@query("""WITH hints AS (SELECT DISTINCT import_hint AS hint FROM raw_calls WHERE import_hint IS NOT NULL UNION SELECT ''),
-       pairs AS MATERIALIZED (SELECT hint, path, strpos(translate(path, '/\\', '..'), translate(hint, '/\\', '..')) AS place FROM hints, (SELECT DISTINCT file_path AS path FROM files))
+@query("""WITH hints AS MATERIALIZED (SELECT unnest(list_distinct(list(import_hint))) AS hint FROM raw_calls UNION ALL SELECT ''),
+       paths AS MATERIALIZED (SELECT file_path || '' AS path FROM files),
+       pairs AS MATERIALIZED (SELECT hint, path, strpos(translate(path, '/\\', '..'), translate(hint, '/\\', '..')) AS place FROM hints, paths)
        SELECT hint, path, true AS hit FROM pairs WHERE place > 0 AND (NOT contains(hint, '/') OR contains(path, hint) OR hint = '')""")
 def import_hints(s, d):
     hints = P.raw_calls(s, d).where("import_hint is not null").select(F.col("import_hint").alias("hint"))
@@ -444,8 +464,13 @@ def search_postings(s, d):
     return search.postings(P.nodes(s, d))
 
 
+def _match(s: SparkSession, d: str, text: str) -> DataFrame:
+    store = P.stored_texts(s, d)
+    return search.match(store.table("nodes"), text, store.table("postings"))
+
+
 def _ranked(text: str) -> Query:
-    return lambda s, d: search.match(P.nodes(s, d), text).select("id", F.round("rank", 9).alias("rank"))
+    return lambda s, d: _match(s, d, text).select("id", F.round("rank", 9).alias("rank"))
 
 
 query(_bm25_sql("term = 'red'", "term = 'widget'", having="bool_or(term = 'red') AND bool_or(term = 'widget')"), "search_two_words")(_ranked("red widget"))
@@ -456,17 +481,30 @@ query(_bm25_sql("col = 'doc_comment' AND term = 'small'", having="bool_or(col =
 
 @query(f"WITH post AS {POST} SELECT DISTINCT a.id FROM post a JOIN post b ON a.id = b.id AND a.col = b.col AND abs(b.pos - a.pos) <= 2 WHERE a.term = 'bolt' AND b.term = 'brand'")
 def search_near_by(s, d):
-    return search.match(P.nodes(s, d), "NEAR(bolt brand, 1)").select("id")
+    return _match(s, d, "NEAR(bolt brand, 1)").select("id")
 
 
 @query(f"WITH post AS {POST} SELECT DISTINCT a.id FROM post a JOIN post b ON a.id = b.id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.term = 'blue' AND b.term = 'bolt'")
 def search_phrase(s, d):
-    return search.match(P.nodes(s, d), '"blue bolt"').select("id")
+    return _match(s, d, '"blue bolt"').select("id")
 
 
 @query(f"WITH post AS {POST} SELECT DISTINCT a.id FROM post a JOIN post b ON a.id = b.id AND a.col = b.col AND abs(b.pos - a.pos) <= 11 WHERE a.term = 'bolt' AND b.term = 'brand'")
 def search_near(s, d):
-    return search.match(P.nodes(s, d), "NEAR(bolt brand)").select("id")
+    return _match(s, d, "NEAR(bolt brand)").select("id")
+
+
+def _like(pattern: str, sql: str) -> None:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        store = P.stored_texts(s, d)
+        return trigrams.find_like_indexed(store.table("nodes"), store.table("trigrams"), pattern)
+
+    query(f"SELECT {NODE} FROM nodes WHERE " + " OR ".join(f"{c} ILIKE '%{pattern}%'" for c in trigrams.TEXTS), sql)(run)
+
+
+_like("Ue_Bolt", "like_by_trigrams")
+_like("odd::brand_1%red", "like_by_trigrams_wildcards")
+_like("_4", "like_of_short_runs")
 
 
 @query(f"""SELECT {NODE} FROM nodes WHERE name ILIKE '%SMALL::Odd%' OR qualified_name ILIKE '%SMALL::Odd%' OR id ILIKE '%SMALL::Odd%'
@@ -534,6 +572,19 @@ def modified_files(s, d):
     return sync.modified(before["files"], after["files"]).select("file_path")
 
 
+@query(f"SELECT id, col, term, CAST(pos AS INTEGER) AS pos FROM {POST}")
+def stored_postings_after_changes(s, d):
+    """An index of the symbols before, and a change of every tenth part's: taken away by id, and brought."""
+    nodes = cut(P.nodes(s, d))
+    touched = (F.col("start_line") - 1) % 100 == 0
+    old = nodes.where(~touched).unionByName(nodes.where((F.col("start_line") - 1) % 300 == 0).withColumn("doc_comment", F.lit("words that go")))
+    store = Store(s, place(s, "changed"))
+    store.write({"nodes": old, "postings": search.index_rows(old)}, {})
+    ids = nodes.where(touched).select("id")
+    store.append({"nodes": (nodes.where(touched).select("file_path").distinct(), nodes.join(nodes.where(touched).select("file_path").distinct(), "file_path", "left_semi")), "postings": (ids, search.index_rows(nodes.where(touched)))}, {})
+    return store.table("postings").join(store.table("nodes").select("id"), "id", "left_semi").select("id", "col", "term", "pos")
+
+
 @query("SELECT file_path FROM files WHERE is_test")
 def pruned_files(s, d):
     files = P.files(s, d)
