@@ -4,7 +4,8 @@ The standard library's parser is fed the page and reports events; each block of
 tags that stand in and before it. Lines that structure marks as menus, adverts, forms and the like count as empty. The
 ratio of text to tags along the page is smoothed; lines over the threshold form clusters. The clusters choose the region,
 which is the article with most of their text, or without one the containers that hold their lines, and they decide about
-lines whose marks may be an article's own. The rest of the region's text is returned whole.
+lines whose marks may be an article's own, and about lists of links within it. The rest of the region's text is returned
+whole. Text of dropped elements that stand within a line, as scripts and hidden parts do, is no part of the line.
 """
 
 from __future__ import annotations
@@ -40,12 +41,18 @@ MARKS = frozenset(
 MAYBE = frozenset("masthead modal notification pager popup recommended related respond search skip toolbar widget".split())
 #: Those that mark an element only outside of the article: within, a header holds its heading.
 OUTER_MARKS = frozenset("header banner".split())
+#: Blocks of text. An article's own may have any class, so the clusters decide about those of a marked one.
+TEXT_BLOCKS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 p pre".split())
+#: How a notice begins that is no article's last line.
+NOTICE = re.compile(r"(?:©|\(c\)|copyright\b)", re.IGNORECASE)
+NOTICE_CHARS = 120
 #: Elements that hold an article.
 HOLDERS = frozenset(["article", "main"])
 #: Elements that can hold an article's lines where none of those is; others are blocks of it or parts of blocks.
 CONTAINERS = frozenset("body center details div html section table tbody td tr".split())
 WORD = re.compile(r"[a-z0-9]+")
 WHITE = re.compile(r"\s+")
+MARKUP = re.compile(r"<[a-zA-Z/!?]")
 
 
 #: What an element is, and what its descendants are with it.
@@ -81,9 +88,19 @@ class Lines(HTMLParser):
         text = WHITE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            self.lines.append(Line(text, self.tags, self.open[-1][1] if self.open else 0, self.linked))
+            element = self.open[-1][1] if self.open else 0
+            if self.skips():  # the line began around what is skipped
+                while self.flags[element] & DROP:
+                    element = self.parent[element]
+            self.lines.append(Line(text, self.tags, element, self.linked))
             self.tags = self.linked = 0
 
+    def skips(self) -> bool:
+        """Whether a dropped element is open within a line that isn't dropped itself."""
+        if not self.open or not self.flags[self.open[-1][1]] & DROP:
+            return False
+        return not self.blocks or not self.flags[self.open[self.blocks[-1]][1]] & DROP
+
     def cut(self, size: int) -> None:
         """Close open elements down to ``size``."""
         while len(self.open) > size:
@@ -137,6 +154,8 @@ class Lines(HTMLParser):
             self.cut(len(self.open) - 1)
 
     def handle_data(self, data: str) -> None:
+        if self.skips():
+            return
         self.parts.append(data)
         if self.links > 0:
             self.linked += len(data)
@@ -170,11 +189,14 @@ class Lines(HTMLParser):
             return DROP
         if (a.get("role") or "").lower() in ROLES:
             return DROP
-        words = set(WORD.findall(f"{a.get('class') or ''} {a.get('id') or ''}".lower()))
+        names = f"{a.get('class') or ''} {a.get('id') or ''}".lower()
+        words = set(WORD.findall(names))
         if tag in HOLDERS and not inside:
             return DROP * bool(words & {"comment", "comments", "related", "promo", "ad", "sponsored"})
         if words & MARKS or not inside and words & OUTER_MARKS:
-            return DROP
+            # within the article a word that is but a part of a name says little
+            whole = not inside or bool(MARKS & set(names.split()))
+            return DROP if whole and tag not in TEXT_BLOCKS else DOUBT
         return DOUBT * bool(words & MAYBE)
 
 
@@ -227,10 +249,17 @@ def regions(page: Lines, kept: list[int], chosen: set[int]) -> list[bool]:
     return [around[n] in hold for n in range(len(page.parent))]
 
 
+def whole_tags(html: str) -> str:
+    """``html`` without a tag that its end cuts off: the parser would look for the end of each such tag anew."""
+    last = html.rfind(">") + 1
+    broken = MARKUP.search(html, last)
+    return html[: broken.start()] if broken else html
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks, joined by a line feed; empty if there is none. Null counts as empty."""
     page = Lines()
-    page.feed(html or "")
+    page.feed(whole_tags(html or ""))
     page.close()
     page.flush()
     lines = page.lines
@@ -246,14 +275,20 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
 
     def stays(i: int) -> bool:
         x = lines[i]
+        if not article and len(x.text) <= NOTICE_CHARS and NOTICE.match(x.text):
+            return False
         if i in chosen:
             return within[x.element]
         if page.flags[x.element] & DOUBT:
             return False
         if article:
-            return within[x.element]
+            return within[x.element] and i not in listed
         return first < i < last or within[x.element] and 2 * x.linked < len(x.text)
 
+    # beside the clusters, lines of links that follow one another are a list of links, in an article too
+    links = [i for i in kept if i not in chosen and 2 * lines[i].linked >= len(lines[i].text)]
+    place = {i: k for k, i in enumerate(kept)}
+    listed = {i for a, b in zip(links, links[1:], strict=False) if place[b] == place[a] + 1 for i in (a, b)}
     return "\n".join(lines[i].text for i in kept if stays(i))
 
 

@@ -101,6 +101,63 @@ def test_deep_and_long_markup_takes_linear_time():
         assert time.time() - began < 5, unit
 
 
+def test_dropped_elements_within_a_line():
+    """Scripts, styles, buttons, forms, adverts and hidden parts, in a paragraph and between paragraphs."""
+    inside = '<p>Say <button>go</button> <script>var x=1</script><style>.a</style> <span hidden>hid</span> <span class="advert">buy</span> end</p>'
+    assert html_extract.main_text(f"<article>{inside}</article>") == "Say end"
+    for between in ("<script>var x=1;</script>", '<span class="advert">Buy now</span>', "<style>.b{}</style>", "<template>t</template>", '<b style="display: none">no</b>', "<svg><text>no</text></svg>", "<select><option>no</select>", "<textarea>no</textarea>", "<noscript>no</noscript>", '<span hidden>a<div>b</div>c</span>', '<label hidden>x</label>', "<form>no</form>"):
+        assert html_extract.main_text(f"<article><p>{LONG}</p>{between}<p>{LONG}</p></article>") == f"{LONG}\n{LONG}", between
+        if "<div>" not in between:  # a block ends the paragraph, and what is open in it
+            assert html_extract.main_text(f"<article><p>One {between} two</p></article>") in ("One two", "One\ntwo"), between
+        assert html_extract.main_text(f"<body><div><p>{LONG}</p>{between}<p>{LONG}</p></div></body>") == f"{LONG}\n{LONG}", between
+    assert html_extract.main_text("<article>Text <span hidden>hid <div>block</div></span> end</article>") == "Text\nend"
+
+
+def test_words_that_are_parts_of_names():
+    """Paragraphs of an article may have any class; containers are dropped for a whole word."""
+    for name in ('class="share-price"', 'class="social"', 'class="navigation-theory"', 'id="comments-on-law"', 'id="ad"', 'class="notice-of-war"'):
+        page = f"<article><p>{LONG}</p><p {name}>{LONG} Kept.</p><p>{LONG}</p></article>"
+        assert html_extract.main_text(page) == f"{LONG}\n{LONG} Kept.\n{LONG}", name
+    for mark in ('div class="ad"', 'div class="x comments"', 'section id="share"', 'ul class="social"'):
+        assert html_extract.main_text(f"<article><p>{LONG}</p><{mark}>{LONG}</{mark.split()[0]}></article>") == LONG, mark
+    assert html_extract.main_text(f'<article><p>{LONG}</p><div class="notice-of-war"><p>{LONG}</p></div></article>') == f"{LONG}\n{LONG}"
+
+
+def test_clusters_decide_within_an_article(monkeypatch):
+    """An unmarked list of links in an article goes, a single link and one amid text stay; without the method it stays."""
+    share = "<div><a href=/f>One</a></div><div><a href=/t>Two</a></div><div><a href=/m>Three</a></div>"
+    page = f'<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG} <a href="/x">a link</a></p><p>{LONG}</p>{share}</article>'
+    want = "\n".join(["Title", LONG, LONG, LONG + " a link", LONG])
+    assert html_extract.main_text(page) == want
+    assert html_extract.main_text(page.replace(share, "<p><a href=/s>Source</a></p>")) == want + "\nSource"
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines, flags, sigma: {i for i, x in enumerate(lines) if not flags[x.element] & html_extract.DROP})
+    assert html_extract.main_text(page) != want
+
+
+def test_clusters_decide_on_given_pages_without_their_marks(monkeypatch):
+    """With plain containers and no classes most given pages still give the same text; without the clusters none does."""
+    pages = [r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    bare = lambda x: re.sub(r'\s(?:class|id|role)="[^"]*"', "", re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|section|form)\b", r"<\1div", x))
+    plain, want = [bare(x) for x in pages], [html_extract.main_text(x) for x in pages]
+    same = lambda: sum(html_extract.main_text(x) == w for x, w in zip(plain, want, strict=True)) / len(pages)
+    assert same() > 0.5
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines, flags, sigma: {i for i, x in enumerate(lines) if not flags[x.element] & html_extract.DROP})
+    assert same() < 0.05
+
+
+def test_notices():
+    assert html_extract.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p><p>Copyright 2020</p></div></body>") == f"{LONG}\n{LONG}"
+    assert html_extract.main_text(f"<article><p>{LONG}</p><p>Copyright is a right.</p></article>") == f"{LONG}\nCopyright is a right."
+
+
+def test_tags_that_never_end():
+    for unit in ("<a ", '<p x="', "<!--", "<![CDATA[", "<?x ", "</a ", "<!x ", "<b x='", "<a <b>", "<", "< a", "<a/", "&", "&#", "&amp"):
+        began = time.time()
+        html_extract.main_text("<p>text</p>" + unit * 30_000)
+        assert time.time() - began < 5, unit
+    assert html_extract.main_text("<p>one</p><p>two <a href") == "one\ntwo" and html_extract.main_text("1 < 2 and 3 > 2, a<") == "1 < 2 and 3 > 2, a<"
+
+
 def test_pages_against_a_plain_reading(spark):
     """Articles of the test pages have no nested blocks, so a few patterns read them too."""
     got = {r["page_id"]: r for r in queries.op4_html(spark, SF).collect()}
