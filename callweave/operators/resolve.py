@@ -1,14 +1,16 @@
 """Call resolution: which symbols the call sites of a project name.
 
-Stages are tried in turn, from the most certain; a stage decides if it leaves one candidate. What decides a call is a
-few strings, so calls are first reduced to the distinct combinations of them, each with a key. A stage gives keys and
-targets, and one aggregation takes the most certain stage of each key. The stages compare for equality, mostly with an
-index of the strings that exactly one symbol has, so a name that thousands of symbols share is a few rows there; substrings
-are compared where a segment of the path, or as many last characters, are equal already.
+Stages are tried in turn, from the most certain; a stage decides if it leaves one candidate. What decides a call at a
+stage is a few strings, so each stage is an index: of the combinations that have exactly one candidate, and that
+candidate. Most indexes are made of the symbols alone, so a name that thousands of symbols share is a few rows there.
+Where substrings count, the distinct strings that calls ask for meet the symbols that have a segment of the path, or as
+many last characters, in common. Each call then looks its strings up in every index, and the first hit stands: joins on
+equality whose smaller side Spark sends around where it is small, and whose hot keys it splits where not.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +20,6 @@ from callweave.functions.columns import callee_namespace, owner_of, path_matches
 from callweave.plans.cut import cut
 
 EXACT, RECEIVER, PACKAGE, NAMESPACE, SAME_FILE, NAME_ONLY = 5, 4, 3, 2, 1, 0
-#: What decides a call.
-KEY = ["simple", "ns", "import_hint", "receiver_type", "package_or_namespace", "caller_namespace", "caller_file"]
 
 
 def symbols(nodes: DataFrame) -> DataFrame:
@@ -39,50 +39,62 @@ def only(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def call_keys(calls: DataFrame, syms: DataFrame) -> DataFrame:
-    """The calls with the strings that decide them, and key1 and key2, hashes of these."""
+    """The calls with the strings that decide them."""
     callers = syms.select(F.col("id").alias("caller_id"), F.col("namespace").alias("caller_namespace"), F.col("file_path").alias("caller_file"))
-    out = calls.withColumns({"simple": simple_name(F.col("callee_name")), "ns": callee_namespace(F.col("callee_name"))})
-    out = out.join(callers, "caller_id", "left")
-    strings = [F.coalesce(c, F.lit("\0")) for c in KEY]  # a null would be passed over
-    return out.withColumns({"key1": F.xxhash64(*strings), "key2": F.xxhash64(F.lit("second"), *strings)})
+    return asked(calls).join(callers, "caller_id", "left")
 
 
-def _find(keys: DataFrame, index: DataFrame, on: dict[str, Column], kind: Column | int) -> DataFrame:
-    """The keys, and the candidate that ``index`` has for each."""
-    looked = keys.select("key1", "key2", *[c.alias(k) for k, c in on.items()]).dropna(subset=list(on))
-    found = looked.join(index, list(on))
-    return found.select("key1", "key2", F.array(F.struct(F.col("id"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"))).alias("targets"))
+def asked(calls: DataFrame) -> DataFrame:
+    """The calls with what their names say."""
+    return calls.withColumns({"simple": simple_name(F.col("callee_name")), "ns": callee_namespace(F.col("callee_name"))})
 
 
-def stage_exact(keys: DataFrame, syms: DataFrame) -> DataFrame:
+#: What a stage finds: the candidates and how sure they are.
+TARGETS = "array<struct<id:string,kind:int>>"
+
+
+@dataclass(frozen=True)
+class Index:
+    """rows: a column for each of ``on``, and targets. ``on``: what a call looks up there; it finds nothing by a null."""
+
+    rows: DataFrame
+    on: dict[str, Column]
+
+
+def _index(rows: DataFrame, on: dict[str, Column], kind: Column | int) -> Index:
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
+    return Index(rows.select(*on, F.array(F.struct(F.col("id"), kind.alias("kind"))).cast(TARGETS).alias("targets")), on)
+
+
+def stage_exact(calls: DataFrame, syms: DataFrame) -> Index:
     """The import hint's dotted segments are those of the candidate's owner."""
     parts = lambda c, sep: F.array_join(F.split(c, sep), "\1")
-    index = only(syms.select("id", "name", parts(F.col("exact_owner"), "::").alias("segments")), "name", "segments")
-    return _find(keys, index, {"name": F.col("simple"), "segments": parts(F.col("import_hint"), r"\.")}, EXACT)
+    rows = only(syms.select("id", "name", parts(F.col("exact_owner"), "::").alias("segments")), "name", "segments")
+    return _index(rows, {"name": F.col("simple"), "segments": parts(F.col("import_hint"), r"\.")}, EXACT)
 
 
-def stage_receiver(keys: DataFrame, syms: DataFrame) -> DataFrame:
+def stage_receiver(calls: DataFrame, syms: DataFrame) -> Index:
     """The receiver's type is the owner or ends it; a candidate in a path that the import hint names is exact."""
     parts = F.split("owner", "::")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "::"))
     by_tail = syms.where("owner is not null").select("id", "name", "file_path", F.explode(F.array_distinct(tails)).alias("receiver_type"))
-    wanted = keys.where("receiver_type is not null").select("simple", "receiver_type", "import_hint").distinct()
-    found = wanted.join(by_tail.withColumnRenamed("name", "simple"), ["simple", "receiver_type"])
+    wanted = calls.where("receiver_type is not null").select(F.col("simple").alias("name"), "receiver_type", "import_hint").distinct()
+    found = wanted.join(by_tail, ["name", "receiver_type"])
     kind = F.when(F.col("import_hint").isNotNull() & path_matches_hint(F.col("file_path"), F.col("import_hint")), EXACT).otherwise(RECEIVER)
     hint = F.coalesce("import_hint", F.lit("\0"))
-    best = found.groupBy("simple", "receiver_type", hint.alias("hint"), kind.alias("kind")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    best = best.groupBy("simple", "receiver_type", "hint").agg(F.max(F.struct("kind", "n", "id")).alias("best")).where("best.n = 1")
-    index = best.select("simple", "receiver_type", "hint", "best.id", F.col("best.kind").alias("found"))
-    return _find(keys, index, {"simple": F.col("simple"), "receiver_type": F.col("receiver_type"), "hint": hint}, F.col("found"))
+    best = found.groupBy("name", "receiver_type", hint.alias("hint"), kind.alias("kind")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    best = best.groupBy("name", "receiver_type", "hint").agg(F.max(F.struct("kind", "n", "id")).alias("best")).where("best.n = 1")
+    rows = best.select("name", "receiver_type", "hint", "best.id", F.col("best.kind").alias("found"))
+    return _index(rows, {"name": F.col("simple"), "receiver_type": F.col("receiver_type"), "hint": hint}, F.col("found"))
 
 
-def stage_import(keys: DataFrame, syms: DataFrame) -> DataFrame:
+def stage_import(calls: DataFrame, syms: DataFrame) -> Index:
     """The candidate's file is in a path that the import hint names.
 
     What stands between two separators of a hint is a whole segment of such a path, so candidates meet hints of three
     segments or more by the longest of these, and others by name.
     """
-    pairs = keys.where("import_hint is not null").select(F.col("simple").alias("name"), "import_hint").distinct()
+    pairs = calls.where("import_hint is not null").select(F.col("simple").alias("name"), "import_hint").distinct()
     parts = F.split("import_hint", r"[./\\]", -1)
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
     pairs = pairs.withColumn("segment", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
@@ -90,43 +102,42 @@ def stage_import(keys: DataFrame, syms: DataFrame) -> DataFrame:
     by_segment = own.withColumn("segment", F.explode(F.array_distinct(F.split("file_path", r"[./\\]", -1))))
     found = pairs.where("segment is not null").join(by_segment, ["name", "segment"]).unionByName(pairs.where("segment is null").join(own, "name"))
     found = found.where(path_matches_hint(F.col("file_path"), F.col("import_hint")))
-    return _find(keys, only(found, "name", "import_hint"), {"name": F.col("simple"), "import_hint": F.col("import_hint")}, PACKAGE)
+    return _index(only(found, "name", "import_hint"), {"name": F.col("simple"), "import_hint": F.col("import_hint")}, PACKAGE)
 
 
-def stage_package(keys: DataFrame, syms: DataFrame) -> DataFrame:
+def stage_package(calls: DataFrame, syms: DataFrame) -> Index:
     """The first segment of the candidate's qualified name is the call's package."""
-    index = only(syms.select("id", "name", F.substring_index("qname", "::", 1).alias("package")), "name", "package")
-    return _find(keys, index, {"name": F.col("simple"), "package": F.col("package_or_namespace")}, PACKAGE)
+    rows = only(syms.select("id", "name", F.substring_index("qname", "::", 1).alias("package")), "name", "package")
+    return _index(rows, {"name": F.col("simple"), "package": F.col("package_or_namespace")}, PACKAGE)
 
 
-def stage_scope(keys: DataFrame, syms: DataFrame) -> DataFrame:
+def stage_scope(calls: DataFrame, syms: DataFrame) -> Index:
     """The candidate's qualified name ends with the call's last two segments, whatever stands before them.
 
     A name's candidates meet the few lengths of its calls' segments, and then the segments themselves.
     """
-    lengths = keys.where("ns is not null").select(F.col("simple").alias("name"), F.length("ns").alias("n")).distinct()
+    lengths = calls.where("ns is not null").select(F.col("simple").alias("name"), F.length("ns").alias("n")).distinct()
     ends = syms.select("id", "name", "qname").join(lengths, "name").where(F.endswith("qname", F.concat(F.lit("::"), "name")))
     before = F.length("qname") - F.length("name") - 2
-    index = only(ends.where(before >= F.col("n")).select("id", "name", F.substring(F.col("qname"), before - F.col("n") + 1, F.col("n")).alias("ns")), "name", "ns")
-    return _find(keys, index, {"name": F.col("simple"), "ns": F.col("ns")}, PACKAGE)
+    rows = only(ends.where(before >= F.col("n")).select("id", "name", F.substring(F.col("qname"), before - F.col("n") + 1, F.col("n")).alias("ns")), "name", "ns")
+    return _index(rows, {"name": F.col("simple"), "ns": F.col("ns")}, PACKAGE)
 
 
-def stage_namespace(keys: DataFrame, syms: DataFrame) -> DataFrame:
+def stage_namespace(calls: DataFrame, syms: DataFrame) -> Index:
     """Caller and candidate are in the same namespace."""
-    index = only(syms.select("id", "name", "namespace"), "name", "namespace")
-    return _find(keys, index, {"name": F.col("simple"), "namespace": F.col("caller_namespace")}, NAMESPACE)
+    rows = only(syms.select("id", "name", "namespace"), "name", "namespace")
+    return _index(rows, {"name": F.col("simple"), "namespace": F.col("caller_namespace")}, NAMESPACE)
 
 
-def stage_same_file(keys: DataFrame, syms: DataFrame) -> DataFrame:
+def stage_same_file(calls: DataFrame, syms: DataFrame) -> Index:
     """Every candidate in the caller's file."""
-    index = syms.groupBy("name", "file_path").agg(F.collect_list(F.struct("id", F.lit(SAME_FILE).alias("kind"))).alias("targets"))
-    looked = keys.select("key1", "key2", F.col("simple").alias("name"), F.col("caller_file").alias("file_path")).dropna(subset=["file_path"])
-    return looked.join(index, ["name", "file_path"]).select("key1", "key2", "targets")
+    rows = syms.groupBy("name", "file_path").agg(F.collect_list(F.struct("id", F.lit(SAME_FILE).alias("kind"))).cast(TARGETS).alias("targets"))
+    return Index(rows, {"name": F.col("simple"), "file_path": F.col("caller_file")})
 
 
-def stage_name(keys: DataFrame, syms: DataFrame) -> DataFrame:
+def stage_name(calls: DataFrame, syms: DataFrame) -> Index:
     """The project's only candidate."""
-    return _find(keys, only(syms.select("id", "name"), "name"), {"name": F.col("simple")}, NAME_ONLY)
+    return _index(only(syms.select("id", "name"), "name"), {"name": F.col("simple")}, NAME_ONLY)
 
 
 STAGES = {
@@ -138,17 +149,19 @@ STAGES = {
 def resolve(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """The calls, each with targets: array<struct<id, kind>>, empty if unresolved, and stage.
 
-    Symbols, calls and keys are read by every stage, so they are written once.
+    ``calls`` are read several times, of few columns each: they should be a stored table or as cheap.
     """
-    kind = "array<struct<id:string,kind:int>>"
     syms = cut(symbols(nodes))
-    keyed = cut(call_keys(calls, syms))
-    keys = cut(keyed.select("key1", "key2", *KEY).dropDuplicates(["key1", "key2"]))
-    found = [stage(keys, syms).select("key1", "key2", F.struct(F.lit(k).alias("stage"), F.col("targets").cast(kind).alias("targets")).alias("found")) for k, stage in enumerate(STAGES.values())]
-    first = reduce(DataFrame.unionAll, found).groupBy("key1", "key2").agg(F.min_by("found", "found.stage").alias("found"))
-    out = keyed.join(first, ["key1", "key2"], "left")
-    name = F.coalesce(F.get(F.array(*map(F.lit, STAGES)), F.col("found.stage")), F.lit("unresolved"))
-    return out.withColumns({"targets": F.coalesce("found.targets", F.array().cast(kind)), "stage": name}).drop("found", "key1", "key2")
+    out, own = call_keys(calls, syms), asked(calls)
+    for stage, make in STAGES.items():
+        index = make(own, syms)
+        keys = {k: f"__{stage}_{k}" for k in index.on}
+        rows = index.rows.select(*[F.col(k).alias(name) for k, name in keys.items()], F.col("targets").alias(f"__{stage}"))
+        out = out.join(rows, reduce(Column.__and__, [index.on[k] == F.col(name) for k, name in keys.items()]), "left").drop(*keys.values())
+    found = [F.col(f"__{stage}") for stage in STAGES]
+    name = F.coalesce(*[F.when(c.isNotNull(), F.lit(stage)) for stage, c in zip(STAGES, found, strict=True)], F.lit("unresolved"))
+    out = out.withColumns({"targets": F.coalesce(*found, F.array().cast(TARGETS)), "stage": name})
+    return out.drop(*[f"__{stage}" for stage in STAGES])
 
 
 def resolve_in_file(calls: DataFrame, nodes: DataFrame, file_path: str) -> DataFrame:
