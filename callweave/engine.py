@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from callweave import schema
 from callweave.operators import lookup, report, resolve, search, sync, trigrams
 from callweave.plans.cut import cut
-from callweave.sources import scan
+from callweave.sources import scan, workspace
 from callweave.sources.parsers import calls_of, nodes_of, parsed
 from callweave.sources.store import IndexMissing, Manifest, Store
 
@@ -57,13 +57,33 @@ class Engine:
             raise IndexMissing(f"no index in {self.workspace}; build one first")
         if now.schema_version != schema.SCHEMA_VERSION:
             return self.build(include_library)
-        before = {t: self.store.table(t) for t in ("files", "nodes", "raw_calls", "edges", "unresolved_refs")}
+        before = self._tables()
         listed = cut(scan.scan(self.spark, self.workspace, include_library).select(*schema.names(schema.FILES)))
         self._warn(listed)
         changed = sync.modified(before["files"], listed).select("file_path")
         found = cut(parsed(scan.scan(self.spark, self.workspace, include_library, changed)))
         # what was parsed is what counts, should a file have changed in between
         disk = cut(listed.join(found.select("file_path"), "file_path", "left_anti").unionByName(found.select(*listed.columns)))
+        return self._change(before, disk, found)
+
+    def apply(self, seen: DataFrame) -> None:
+        """Bring the index up to date with files that are known to have changed, and no others.
+
+        ``seen``: the columns of a scan, and gone. Files that the index has like this are left alone.
+        """
+        seen = cut(seen)
+        if seen.isEmpty():
+            return None
+        before = self._tables()
+        found = cut(parsed(seen.where("not gone")))
+        others = before["files"].join(seen.select("file_path"), "file_path", "left_anti")
+        return self._change(before, others.unionByName(found.select(*others.columns)), found)
+
+    def _tables(self) -> dict[str, DataFrame]:
+        return {t: self.store.table(t) for t in ("files", "nodes", "raw_calls", "edges", "unresolved_refs")}
+
+    def _change(self, before: dict[str, DataFrame], disk: DataFrame, found: DataFrame) -> None:
+        """Append what ``disk`` (files) and ``found`` (what was parsed of them) make different."""
         after = sync.changes(before, {"files": disk, "nodes": nodes_of(found), "raw_calls": calls_of(found)})
         gone, new = sync.symbols_changed(after, before)
         after |= {"postings": (gone, search.index_rows(new)), "trigrams": (gone, trigrams.index_rows(new))}
@@ -116,7 +136,7 @@ class Engine:
 
     def contents(self, paths: DataFrame) -> DataFrame:
         """file_path, content of those files as they are on disk."""
-        return scan.scan(self.spark, self.workspace, True).join(paths.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "content")
+        return workspace.named(self.spark, self.workspace, paths).select("file_path", "content")
 
     def node(self, symbol: str | None = None, file: str | None = None, line: int | None = None, offset: int | None = None, limit: int | None = None, symbols_only: bool = False, no_tests: bool = False) -> dict[str, DataFrame]:
         """Of a symbol: nodes, code, callers, callees. Of a file: nodes, dependents, and lines unless ``symbols_only``."""

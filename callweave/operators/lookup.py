@@ -50,10 +50,24 @@ def scoped(nodes: DataFrame, prefix: str | None) -> DataFrame:
     return nodes if prefix is None else nodes.where(F.startswith("file_path", F.lit(prefix)))
 
 
+#: Ids of a question that go into the filter of the scan; more are joined.
+IDS = 200
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` is one of ``ids`` (id).
+
+    A few ids are fetched and become a filter that reaches the scan: where the rows lie in the column's order, the files
+    and row groups that can't hold them aren't read.
+    """
+    ids = ids.select(F.col("id").alias(column)).distinct()
+    few = [r[0] for r in ids.limit(IDS + 1).collect()]
+    return rows.where(F.col(column).isin(few)) if len(few) <= IDS else rows.join(ids, column, "left_semi")
+
+
 def _related(targets: DataFrame, edges: DataFrame, nodes: DataFrame, own: str, other: str, kind: str | None, min_confidence: int, no_tests: bool) -> DataFrame:
     rows = edges if kind is None else edges.where(F.col("kind") == kind)
-    ids = targets.select(F.col("id").alias(own)).distinct()
-    hits = rows.join(ids, own, "left_semi").select(F.col(other).alias("id"), confidence(F.col("resolution_kind")).alias("confidence"), "resolution_kind")
+    hits = among(rows, own, targets).select(F.col(other).alias("id"), confidence(F.col("resolution_kind")).alias("confidence"), "resolution_kind")
     hits = hits.where(F.coalesce("confidence", F.lit(0)) >= min_confidence)
     best = hits.groupBy("id").agg(F.max(F.struct("confidence", "resolution_kind")).alias("best"))
     found = without_tests(nodes.join(best, "id"), no_tests)
