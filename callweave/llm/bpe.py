@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from callweave.llm import scratch
+from callweave.llm import memory, scratch
 
 #: Distinct words whose encodings a task keeps.
 CACHE_WORDS = 300_000
@@ -287,6 +287,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 decoded = pa.array([bpe.decode(x.tolist()) for x in found], pa.string())
                 yield pa.record_batch([part.column(0), ids, decoded], ["doc_id", "ids", "decoded"])
+        memory.give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))

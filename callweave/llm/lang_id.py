@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm import scratch
+from callweave.llm import memory, scratch
 
 #: Hashed features, and letters of a word; a longer run of letters is several words.
 BUCKETS = 1 << 17
@@ -303,6 +303,8 @@ def label_rows(docs: DataFrame, model: CrfModel | None) -> DataFrame:
                     k = None if x is None else int(x.argmax())
                     out.append((UNDETERMINED, 0.0) if k is None else (m.labels[k], min(1.0, float(x[k]))))
             yield pd.DataFrame(out, columns=["lang", "score"])
+        del labeller, m
+        memory.give_back()
 
     # said to be nondeterministic, as else a filter on its result is pushed under it and has it run twice
     judged = docs.select(F.struct("*").alias("doc"), judge.asNondeterministic()(docs["text"].cast("string")).alias("judged"))
