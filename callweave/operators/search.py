@@ -236,7 +236,7 @@ def match(nodes: DataFrame, query: str, index: DataFrame | None = None) -> DataF
     counts = rows.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))])
     # symbols without a token count too
     symbols = nodes.agg(F.count(F.lit(1)).alias("docs"))
-    length = post.where("pos = 0").groupBy("id").agg(F.max("tokens").alias("tokens")).agg(F.sum("tokens").alias("all"))
+    length = post.agg(F.count(F.lit(1)).alias("all"))  # a row for each token
     for df in near:
         rows = rows.join(df, "id", "left")
     rows = rows.where(keep).crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(symbols)).crossJoin(F.broadcast(length))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from callweave import schema
 from callweave.functions.columns import is_test_path
-from callweave.operators import search, trigrams
+from callweave.operators import search, topk, trigrams
 from callweave.operators.resolve import edges_of, resolve, unresolved_of
 from callweave.plans.cut import cut, place
 from callweave.sources.store import Store
@@ -125,6 +125,16 @@ def stored_texts(spark: SparkSession, sf_dir: str) -> Store:
     return _stored(spark, sf_dir, "texts", make)
 
 
+def stored_impacts(spark: SparkSession, sf_dir: str) -> Store:
+    """impacts and impact_blocks, of ``stored_texts``."""
+
+    def make() -> dict[str, DataFrame]:
+        rows = cut(topk.entries(stored_texts(spark, sf_dir).table("postings")))
+        return {"impacts": rows, "impact_blocks": topk.blocks(rows)}
+
+    return _stored(spark, sf_dir, "impacts", make)
+
+
 PROJECTION_SQL = r"""
 part_symbols AS (
   SELECT *, file_path || '::' || qualified_name AS id FROM (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import columns as C
-from callweave.operators import lookup, report, resolve, search, sync, trigrams, vectors
+from callweave.operators import lookup, report, resolve, search, sync, topk, trigrams, vectors
 from callweave.plans import projection as P
 from callweave.plans.cut import cut, place
 from callweave.sources.store import Store
@@ -479,6 +479,23 @@ query(_bm25_sql("term = 'bolt'", "term = 'blue'", having="bool_or(term = 'bolt')
 query(_bm25_sql("col = 'doc_comment' AND term = 'small'", having="bool_or(col = 'doc_comment' AND term = 'small')"), "search_column")(_ranked("doc_comment : small"))
 
 
+def _best(text: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        store, docs = P.stored_impacts(s, d), P.stored_texts(s, d).counts()["nodes"]
+        return topk.Best(s, store.table("impacts"), store.table("impact_blocks"), docs)(text)
+
+    return run
+
+
+def _best_sql(*words: str, having: str) -> str:
+    return f"SELECT id, rank FROM ({_bm25_sql(*[f'term = {w!r}' for w in words], having=having)}) ORDER BY rank, id LIMIT 30"
+
+
+query(_best_sql("bolt", having="bool_or(term = 'bolt')"), "search_best_of_one_word")(_best("bolt"))
+query(_best_sql("red", "widget", having="bool_or(term = 'red') AND bool_or(term = 'widget')"), "search_best_of_all_words")(_best("red widget"))
+query(_best_sql("red", "promo", "anvil", having="bool_or(term IN ('red', 'promo', 'anvil'))"), "search_best_of_any_word")(_best("red OR promo OR anvil"))
+
+
 @query(f"WITH post AS {POST} SELECT DISTINCT a.id FROM post a JOIN post b ON a.id = b.id AND a.col = b.col AND abs(b.pos - a.pos) <= 2 WHERE a.term = 'bolt' AND b.term = 'brand'")
 def search_near_by(s, d):
     return _match(s, d, "NEAR(bolt brand, 1)").select("id")

@@ -37,8 +37,8 @@ RATIO = 2
 #: Tombstones that are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_KEYS = 500_000
 #: What a table's rows are replaced by, and how they lie within a file.
-KEYS = {"files": "file_path", "nodes": "file_path", "raw_calls": "caller_id", "edges": "source_id", "unresolved_refs": "source_id", "postings": "id", "trigrams": "id"}
-ORDER = {"nodes": ["name", "id"], "edges": ["target_id", "source_id"], "raw_calls": ["callee_simple"], "postings": ["term", "id"], "trigrams": ["gram", "id"]}
+KEYS = {"files": "file_path", "nodes": "file_path", "raw_calls": "caller_id", "edges": "source_id", "unresolved_refs": "source_id", "postings": "id", "trigrams": "id", "impacts": "id", "impact_blocks": "term"}
+ORDER = {"nodes": ["name", "id"], "edges": ["target_id", "source_id"], "raw_calls": ["callee_simple"], "postings": ["term", "id"], "trigrams": ["gram", "id"], "impacts": ["term", "block", "shard"], "impact_blocks": ["term", "block"]}
 #: Columns that rows are looked up by and don't lie in the order of: their row groups have Bloom filters for so many values.
 BLOOM = {"nodes": ["id", "qualified_name"], "edges": ["source_id"]}
 BLOOM_VALUES = 100_000
