@@ -2,8 +2,9 @@
 
 A word's symbols are stored in the order of falling impact, what a symbol's count of the word and its length make of the
 score, and in blocks, of which the largest impact is known. A query reads the first blocks of its words, and then twice
-as many, until no symbol that it hasn't met, and none that it has met for some of the words alone, can still reach the
-kth best: what they may get from unread blocks is bounded by these. The scores are then those of the full ranking.
+as many, until no symbol that it hasn't met, and none that it has met for some of the words alone, can still come before
+the kth best: what they may get from unread blocks is bounded by these, and as equal impacts lie in the order of ids, so
+is the id of one that ties. The scores are those of the full ranking.
 """
 
 from __future__ import annotations
@@ -31,19 +32,28 @@ def _impact(tf: Column, tokens: Column, mean: float | Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * tokens / mean))
 
 
-def entries(postings: DataFrame, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
-    """term, block, shard, id, tf, tokens, of ``search.index_rows``. The mean length decides about the order alone."""
+def mean_length(postings: DataFrame, docs: int) -> float:
+    """Words of a symbol; there is a row for each."""
+    return postings.count() / max(docs, 1) or 1.0
+
+
+def entries(postings: DataFrame, mean: float, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
+    """term, block, shard, id, tf, tokens, of ``search.index_rows``, in the order of their impact at ``mean``."""
     each = postings.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("tokens").alias("tokens"))
     sizes = each.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
-    mean = postings.agg(F.count(F.lit(1)) / F.count_distinct("id")).first()[0] or 1.0
     each = each.join(sizes, "term").withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
     falling = Window.partitionBy("term", "shard").orderBy(F.desc(_impact(F.col("tf"), F.col("tokens"), F.lit(mean))), "id")
     return each.select("term", F.floor((F.row_number().over(falling) - 1) / block).cast("int").alias("block"), "shard", "id", F.col("tf").cast("int").alias("tf"), "tokens")
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """term, block, shard, symbols, words (how often the term stands in them), and the bounds most_tf and least_tokens."""
-    return rows.groupBy("term", "block", "shard").agg(F.count(F.lit(1)).alias("symbols"), F.sum("tf").alias("words"), F.max("tf").alias("most_tf"), F.min("tokens").alias("least_tokens"))
+def blocks(rows: DataFrame, mean: float) -> DataFrame:
+    """term, block, shard, symbols, words (how often the term stands in them), and bounds.
+
+    most is the largest impact at ``mean``; most_tf and least_tokens bound it at any other, once symbols have come or gone.
+    """
+    most = F.max(_impact(F.col("tf"), F.col("tokens"), F.lit(mean))).alias("most")
+    own = rows.groupBy("term", "block", "shard").agg(F.count(F.lit(1)).alias("symbols"), F.sum("tf").alias("words"), F.max("tf").alias("most_tf"), F.min("tokens").alias("least_tokens"), F.min("id").alias("least_id"), most)
+    return own.withColumn("mean", F.lit(mean))
 
 
 def plain_words(query: str) -> tuple[list[str], bool] | None:
@@ -104,23 +114,33 @@ class Best:
 
     def _round(self, words: list[str], weight: dict[str, float], mean: float, depth: int, every: bool, k: int) -> tuple[list[str], bool]:
         """Ids of the best so far, and whether no other symbol can be among them."""
-        unread = self.heads.where(F.col("term").isin(words) & (F.col("block") >= depth)).groupBy("term").agg(F.max("most_tf").alias("tf"), F.min("least_tokens").alias("tokens")).collect()
-        most = {r["term"]: weight[r["term"]] * r["tf"] * (K1 + 1) / (r["tf"] + K1 * (1 - B + B * r["tokens"] / mean)) for r in unread}
         met = self._met(words, weight, mean, depth)
         whole = (1 << len(words)) - 1
         top = met.where(F.col("met") == whole) if every else met
         best = top.orderBy(F.desc(F.round("score", DECIMALS)), "id").limit(k).collect()
         ids = [r["id"] for r in best]
-        if not most:
+        weights = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(weight[w]))])
+        bound = F.when(F.col("mean") == mean, F.col("most")).otherwise(_impact(F.col("most_tf"), F.col("least_tokens"), F.lit(mean)))
+        bound = F.element_at(weights, F.col("term")) * bound
+        heads = self.heads.where(F.col("term").isin(words) & (F.col("block") >= depth)).select("term", "least_id", bound.alias("bound"))
+        first = F.min(F.struct((-F.round("bound", DECIMALS)).alias("falling"), "least_id"))["least_id"]
+        unread = heads.groupBy("term").agg(F.max("bound").alias("most"), first.alias("id")).collect()
+        if not unread:
             return ids, True
-        if len(best) < k or sum(most.values()) >= best[-1]["score"] - CLOSE:
+        if len(best) < k:
+            return ids, False
+        score, last = best[-1]["score"], ids[-1]
+        # a symbol of unread blocks alone: beyond the kth best, or as good by all words, and then not before the first ids there
+        most = sum(r["most"] for r in unread)
+        if (not every or len(unread) == len(words)) and (most > score + CLOSE or most >= score - CLOSE and max(r["id"] for r in unread) <= last):
             return ids, False
-        more = sum((F.when(F.col("met").bitwiseAND(1 << n) == 0, F.lit(most.get(w, 0.0))).otherwise(0.0) for n, w in enumerate(words)), F.lit(0.0))
-        # a symbol that lacks a word whose blocks have all been read can't match all of them
-        may = [F.col("met").bitwiseAND(1 << n) != 0 for n, w in enumerate(words) if every and w not in most]
-        others = met.where(~F.col("id").isin(ids) & (F.col("score") + more >= best[-1]["score"] - CLOSE))
-        for c in may:
-            others = others.where(c)
+        by = {r["term"]: r["most"] for r in unread}
+        lacks = [F.col("met").bitwiseAND(1 << n) == 0 for n in range(len(words))]
+        may = F.col("score") + sum((F.when(no, F.lit(by.get(w, 0.0))).otherwise(0.0) for no, w in zip(lacks, words, strict=True)), F.lit(0.0))
+        others = met.where(~F.col("id").isin(ids) & ((may > score + CLOSE) | (may >= score - CLOSE) & (F.col("id") < last)))
+        if every:  # one that lacks a word whose blocks have all been read can't have all of them
+            for no, w in zip(lacks, words, strict=True):
+                others = others if w in by else others.where(~no)
         return ids, others.isEmpty()
 
     def _exact(self, ids: list[str], words: list[str], weight: dict[str, float], mean: float, depth: int, every: bool, k: int) -> DataFrame:

@@ -129,8 +129,10 @@ def stored_impacts(spark: SparkSession, sf_dir: str) -> Store:
     """impacts and impact_blocks, of ``stored_texts``."""
 
     def make() -> dict[str, DataFrame]:
-        rows = cut(topk.entries(stored_texts(spark, sf_dir).table("postings")))
-        return {"impacts": rows, "impact_blocks": topk.blocks(rows)}
+        texts = stored_texts(spark, sf_dir)
+        mean = topk.mean_length(texts.table("postings"), texts.counts()["nodes"])
+        rows = cut(topk.entries(texts.table("postings"), mean))
+        return {"impacts": rows, "impact_blocks": topk.blocks(rows, mean)}
 
     return _stored(spark, sf_dir, "impacts", make)
 

@@ -19,7 +19,7 @@ METADATA = "key string, value string"
 POSTINGS = "term string, id string, col string, pos int, tokens int"
 TRIGRAMS = "gram string, id string"
 IMPACTS = "term string, block int, shard int, id string, tf int, tokens int"
-IMPACT_BLOCKS = "term string, block int, shard int, symbols long, words long, most_tf int, least_tokens int"
+IMPACT_BLOCKS = "term string, block int, shard int, symbols long, words long, most_tf int, least_tokens int, least_id string, mean double, most double"
 TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "raw_calls": RAW_CALLS, "unresolved_refs": UNRESOLVED, "postings": POSTINGS, "trigrams": TRIGRAMS, "impacts": IMPACTS, "impact_blocks": IMPACT_BLOCKS, "project_metadata": METADATA}
 
 

@@ -24,11 +24,13 @@ def index(spark):
 QUERIES = ["w0", "w29", "w0 w1", "w2 AND w9", "w5 OR w20", "w1 OR w2 OR w3", "w7 w7", "none", "w0 none", "w28 w29"]
 
 
-@pytest.mark.parametrize(("block", "shard", "queries"), [(16, 1_000_000, QUERIES), (8, 300, ["w1", "w0 w3", "w4 OR none"])])
-def test_same_as_the_full_ranking(spark, index, block, shard, queries):
+@pytest.mark.parametrize(("block", "shard", "queries", "other"), [(16, 1_000_000, QUERIES, 1), (8, 300, ["w1", "w0 w3", "w4 OR none"], 1), (16, 1_000_000, ["w9", "w2 w4"], 1.1)])
+def test_same_as_the_full_ranking(spark, index, block, shard, queries, other):
+    """``other``: whether the blocks are of an index of another mean length."""
     nodes, post = index
-    rows = topk.entries(post, shard, block).cache()
-    heads = topk.blocks(rows).cache()
+    mean = topk.mean_length(post, nodes.count())
+    rows = topk.entries(post, mean, shard, block).cache()
+    heads = topk.blocks(rows, mean * other).cache()
     best = topk.Best(spark, rows, heads, nodes.count())
     fewer = 0
     for query in queries:
@@ -47,7 +49,7 @@ def test_same_as_the_full_ranking(spark, index, block, shard, queries):
 
 def test_shards_bound_the_rows_put_in_order(index):
     _, post = index
-    rows = topk.entries(post, 300, 8)
+    rows = topk.entries(post, 10.0, 300, 8)
     sizes = rows.groupBy("term", "shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block").alias("b"), F.max("block").alias("last")).collect()
     assert max(r["n"] for r in sizes) < 600 and all(r["b"] == r["last"] + 1 == -(-r["n"] // 8) for r in sizes)
     assert rows.groupBy("term", "id").count().where("count > 1").isEmpty()
