@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "nodes_last_of_id", "files_table", "edges_resolved", "unresolved_refs", "callers", "callees_min_confidence", "files_with_counts", "hotspots",
     "search_two_words", "search_not", "search_phrase", "file_slice", "test_paths", "skipped_paths", "combined_paths", "changed_file_symbols",
+    "raw_calls_once", "resolved_in_file", "like_by_trigrams", "like_of_short_runs", "stored_postings_after_changes", "search_best_of_any_word", "vector_top_k", "incremental_edges",
 ]
 
 
