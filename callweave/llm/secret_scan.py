@@ -121,7 +121,8 @@ def default_model(spark: SparkSession) -> MarkovModel:
 
 def log_likelihood_ratio(token: Column, model: MarkovModel) -> Column:
     """Mean log-odds of a step of ``token``: above 0 if random strings explain it better. One pass over its characters."""
-    table = F.array(*[F.lit(x) for x in model.log_odds])
+    # one literal, which is folded into an array: thousands of literals would be as many nodes of the plan, three times
+    table = F.split(F.lit(",".join(map(repr, model.log_odds))), ",").cast("array<double>")
     edge = F.lit(CLASSES - 1)
     odds = lambda a, b: F.get(table, a * F.lit(CLASSES) + b)
     one = lambda c: F.instr(F.lit(ALPHABET), c) - 1
