@@ -275,6 +275,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         file = scratch.broadcast(docs.sparkSession, (f.read(), unicode_ranges()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.begin("bpe", _LOADED.clear)
         text, ranges = file.value
         bpe = _LOADED.get(hash(text))
         if bpe is None:

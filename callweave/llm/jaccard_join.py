@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm import scratch, shingles
+from callweave.llm import memory, scratch, shingles
 from callweave.llm.components import components
 
 #: Shingles whose frequency the first order knows; all others come before them. The order decides about speed alone.
@@ -60,6 +60,7 @@ def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         many = n >= LOCALLY
         return pa.record_batch([pa.array(tokens[many].view(np.int64)), pa.array(n[many])], ["token", "n"])
 
+    memory.begin("jaccard_join")
     held: list[np.ndarray] = []
     size = 0
     for b in batches:
@@ -132,6 +133,7 @@ def _summarise(frequent, percent: int):
     """doc_id, n, same (an earlier row's doc_id with the same set), prefixes and sketches, empty where there is such a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.begin("jaccard_join")
         tokens, classes = frequent.value
         seen: dict[bytes, object] = {}
         for b in batches:
@@ -153,6 +155,8 @@ def _summarise(frequent, percent: int):
                     large.append(None if sketch is None or len(sketch) == SKETCH else sketch)
                 columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(same, pa.int64()), _lists(prefixes), _lists(small), _lists(large)]
                 yield pa.record_batch(columns + [_lists(held, np.int32) for held in further], SUMMARY_NAMES)
+        seen.clear()
+        memory.give_back()
 
     return run
 
@@ -272,6 +276,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.begin("jaccard_join")
         last, mine = None, np.empty(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -293,6 +293,7 @@ def label_rows(docs: DataFrame, model: CrfModel | None) -> DataFrame:
 
     @F.pandas_udf("lang string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        memory.begin("lang_id")
         m = sent.value
         labeller = Labeller(m) if m else None
         for texts in batches:
