@@ -116,9 +116,10 @@ def further_prefix(s: np.ndarray, k: int, percent: int) -> np.ndarray:
 def parity(s: np.ndarray) -> np.ndarray:
     """A bit for each residue of the hashes: whether an odd number of the set's shingles has it.
 
-    Two sets differ in at least as many shingles as their sketches in bits. There are at least twice as many bits as shingles.
+    Two sets differ in at least as many shingles as their sketches in bits. There are at least as many bits as shingles, so
+    that sets which share little differ in nearly half of their bits, and those that are similar in two sevenths at most.
     """
-    bits = max(64 * SKETCH, 1 << max(0, 2 * len(s) - 1).bit_length())
+    bits = max(64 * SKETCH, 1 << max(0, len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
@@ -203,14 +204,23 @@ def _beside(pairs: DataFrame, rows: DataFrame, columns: dict[str, str]) -> DataF
 
 
 def plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sketches and further prefixes allow it; these are looked at where the small sketches do."""
+    """Those of ``pairs`` (a, b) whose sketches and further prefixes allow it.
+
+    What is shorter is asked first, and only the pairs that it allows move what is longer: small sketches are of a fixed
+    size, large ones of a bit or two for each shingle, prefixes of a byte for each shingle and order.
+    """
     own = rows.where("same is null").withColumn("n", F.col("n").cast("long"))
-    near = _beside(pairs, own, {"n": "n", "small": "small"}).where(small_allow("a", "b", percent)).select("a", "b")
-    near = scratch.table(near, "near-pairs")
-    more = _beside(near, own, {"n": "n", "large": "large"} | {c: c for c in FURTHER})
-    out = scratch.table(more.where(orders_allow("a", "b") & large_allow("a", "b", percent)).select("a", "b"), "pairs")
-    scratch.drop(near)
-    return out
+    left = pairs
+    for columns, allowed in (
+        (["n", "small"], small_allow("a", "b", percent)),
+        (["n", "large"], large_allow("a", "b", percent)),
+        (FURTHER, orders_allow("a", "b")),
+    ):
+        after = scratch.table(_beside(left, own, {c: c for c in columns}).where(allowed).select("a", "b"), "pairs")
+        if left is not pairs:
+            scratch.drop(left)
+        left = after
+    return left
 
 
 # -- candidates
