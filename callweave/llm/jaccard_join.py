@@ -203,19 +203,17 @@ def _beside(pairs: DataFrame, rows: DataFrame, columns: dict[str, str]) -> DataF
     return b.join(sent(pairs), "b").join(a, "a")
 
 
-def plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def plausible(pairs: DataFrame, rows: DataFrame, percent: int, begin: int = 0) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sketches and further prefixes allow it.
 
     What is shorter is asked first, and only the pairs that it allows move what is longer: small sketches are of a fixed
-    size, large ones of a bit or two for each shingle, prefixes of a byte for each shingle and order.
+    size, large ones of a bit or two for each shingle, prefixes of a byte for each shingle and order. ``begin``: steps
+    that were taken before.
     """
     own = rows.where("same is null").withColumn("n", F.col("n").cast("long"))
     left = pairs
-    for columns, allowed in (
-        (["n", "small"], small_allow("a", "b", percent)),
-        (["n", "large"], large_allow("a", "b", percent)),
-        (FURTHER, orders_allow("a", "b")),
-    ):
+    steps = [(["n", "small"], small_allow("a", "b", percent)), (["n", "large"], large_allow("a", "b", percent)), (FURTHER, orders_allow("a", "b"))]
+    for columns, allowed in steps[begin:]:
         after = scratch.table(_beside(left, own, {c: c for c in columns}).where(allowed).select("a", "b"), "pairs")
         if left is not pairs:
             scratch.drop(left)
@@ -229,8 +227,8 @@ def plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 def _pairs_of_tokens(percent: int):
     """Rows sorted by token and doc -> pairs (token null, a < b), and the rows of large tokens (b null).
 
-    A pair whose tokens before this one are equal too has met at that one. A token's rows may come in any number of
-    batches: of those before only the first row is kept.
+    A pair whose tokens before this one are equal too has met at that one. ``n`` is negative in rows that bring no larger
+    set to theirs. A token's rows may come in any number of batches: of those before only the first row is kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +260,8 @@ def _pairs_of_tokens(percent: int):
             left.append(starts[own[many]])
             right.append(many)
             x, y = np.concatenate(left), np.concatenate(right)
-            fits = (doc[x] != doc[y]) & ((before[x] != before[y]) | (before[x] == 0)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            fits = (doc[x] != doc[y]) & ((before[x] != before[y]) | (before[x] == 0)) & (np.where(np.abs(n[x]) <= np.abs(n[y]), n[x], n[y]) > 0)
+            fits &= 100 * np.minimum(np.abs(n[x]), np.abs(n[y])) >= percent * np.maximum(np.abs(n[x]), np.abs(n[y]))
             x, y = x[fits], y[fits]
             pairs = np.unique(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])]), axis=1) if len(x) else np.empty((2, 0), np.int64)
             if resumed:  # that row has been passed on
@@ -322,8 +321,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     frequent = scratch.broadcast(docs.sparkSession, frequent_tokens(base))
     rows = scratch.table(base.mapInArrow(_summarise(frequent, percent), SUMMARY), "sets")
     at = rows.where("size(prefix) > 0").select("doc_id", F.col("n").cast("long").alias("n"), "prefix", F.posexplode("prefix").alias("pos", "token"))
+    # of the smaller of two similar sets the first shared token comes early, as at least so many are shared; n is negative elsewhere
+    early = F.col("pos") <= F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}")
     before = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.get("prefix", F.col("pos") - 1))
-    tokens = at.select("token", "doc_id", "n", before.alias("before"))
+    tokens = at.select("token", "doc_id", F.when(early, F.col("n")).otherwise(-F.col("n")).alias("n"), before.alias("before"))
     spread = tokens.repartition(F.col("token")).sortWithinPartitions("token", "doc_id")
     met = scratch.table(spread.mapInArrow(_pairs_of_tokens(percent), "token long, a long, b long, n long, before long"), "met")
     first = scratch.table(met.where("token is null").select("a", "b").distinct(), "first-pairs")
@@ -336,25 +337,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     scratch.drop(found)
     groups = components(links)
     # documents of large tokens that are in different components so far
-    crowd = met.where("token is not null").select("token", F.col("a").alias("doc"), "n", "before")
+    crowd = met.where("token is not null").select("token", F.col("a").alias("doc"), F.abs("n").alias("n"), (F.col("n") > 0).alias("early"), "before")
     crowd = crowd.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = crowd.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    crowd = scratch.table(crowd, "crowd")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("component", "before") for name, f in (("lo", F.min), ("hi", F.max))]
+    undecided = (F.col("lo_component") != F.col("hi_component")) & ((F.col("lo_before") != F.col("hi_before")) | (F.col("lo_before") == 0))
+    mixed = crowd.groupBy("token").agg(F.max("early").alias("any"), *ends).where(undecided & F.col("any")).select("token")
     own = rows.where("same is null").select(F.col("doc_id").alias("doc"), "small")
-    crowd = scratch.table(crowd.join(mixed, "token", "left_semi").join(own, "doc"), "crowd")
-    if not crowd.isEmpty():
-        a, b = (crowd.select(*[F.col(c).alias(c if c == "token" else f"{c}_{s}") for c in crowd.columns]) for s in "ab")
+    open_rows = scratch.table(crowd.join(mixed, "token", "left_semi").join(own, "doc"), "open-crowd")
+    scratch.drop(crowd)
+    if not open_rows.isEmpty():
+        a, b = (open_rows.select(*[F.col(c).alias(c if c == "token" else f"{c}_{s}") for c in open_rows.columns]) for s in "ab")
         apart = (F.col("component_a") != F.col("component_b")) & (F.col("doc_a") < F.col("doc_b"))
-        fits = ((F.col("before_a") != F.col("before_b")) | (F.col("before_a") == 0)) & small_allow("a", "b", percent)
+        brought = (F.col("early_a") | (F.col("n_a") > F.col("n_b"))) & (F.col("early_b") | (F.col("n_b") > F.col("n_a")))
+        fits = brought & ((F.col("before_a") != F.col("before_b")) | (F.col("before_a") == 0)) & small_allow("a", "b", percent)
         more = a.join(b, (a["token"] == b["token"]) & apart & fits).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
         more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
-            likely = plausible(more, rows, percent)
+            likely = plausible(more, rows, percent, begin=1)
             found = verified(likely, named, percent)
             if not found.isEmpty():
                 scratch.drop(groups)
                 groups = components(links.unionAll(found))
             scratch.drop(likely, found)
         scratch.drop(more)
-    scratch.drop(met, pairs, links, crowd)
+    scratch.drop(met, pairs, links, open_rows)
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
