@@ -38,17 +38,22 @@ def only(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
-def call_keys(calls: DataFrame, syms: DataFrame) -> DataFrame:
-    """The calls with the strings that decide them."""
-    callers = syms.select(F.col("id").alias("caller_id"), F.col("namespace").alias("caller_namespace"), F.col("file_path").alias("caller_file"))
-    return asked(calls).join(callers, "caller_id", "left")
-
-
 def asked(calls: DataFrame) -> DataFrame:
     """The calls with what their names say."""
     return calls.withColumns({"simple": simple_name(F.col("callee_name")), "ns": callee_namespace(F.col("callee_name"))})
 
 
+def _segments(path: Column, sep: str) -> Column:
+    """The parts of a path between separators, as one string."""
+    return F.array_join(F.split(path, sep), "\1")
+
+
+def _tails(owner: Column) -> Column:
+    """The owner, and what is left of it without its first segments."""
+    parts = F.split(owner, "::")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "::")))
+
+
 #: What a stage finds: the candidates and how sure they are.
 TARGETS = "array<struct<id:string,kind:int>>"
 
@@ -68,16 +73,13 @@ def _index(rows: DataFrame, on: dict[str, Column], kind: Column | int) -> Index:
 
 def stage_exact(calls: DataFrame, syms: DataFrame) -> Index:
     """The import hint's dotted segments are those of the candidate's owner."""
-    parts = lambda c, sep: F.array_join(F.split(c, sep), "\1")
-    rows = only(syms.select("id", "name", parts(F.col("exact_owner"), "::").alias("segments")), "name", "segments")
-    return _index(rows, {"name": F.col("simple"), "segments": parts(F.col("import_hint"), r"\.")}, EXACT)
+    rows = only(syms.select("id", "name", _segments(F.col("exact_owner"), "::").alias("segments")), "name", "segments")
+    return _index(rows, {"name": F.col("simple"), "segments": _segments(F.col("import_hint"), r"\.")}, EXACT)
 
 
 def stage_receiver(calls: DataFrame, syms: DataFrame) -> Index:
     """The receiver's type is the owner or ends it; a candidate in a path that the import hint names is exact."""
-    parts = F.split("owner", "::")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "::"))
-    by_tail = syms.where("owner is not null").select("id", "name", "file_path", F.explode(F.array_distinct(tails)).alias("receiver_type"))
+    by_tail = syms.where("owner is not null").select("id", "name", "file_path", F.explode(_tails(F.col("owner"))).alias("receiver_type"))
     wanted = calls.where("receiver_type is not null").select(F.col("simple").alias("name"), "receiver_type", "import_hint").distinct()
     found = wanted.join(by_tail, ["name", "receiver_type"])
     kind = F.when(F.col("import_hint").isNotNull() & path_matches_hint(F.col("file_path"), F.col("import_hint")), EXACT).otherwise(RECEIVER)
@@ -144,24 +146,83 @@ STAGES = {
     "exact": stage_exact, "receiver": stage_receiver, "imported": stage_import, "package": stage_package, "scope": stage_scope,
     "namespace_hit": stage_namespace, "same_file": stage_same_file, "named": stage_name,
 }
+#: What a call says of its target, and the stages that this alone decides.
+SAID = ["callee_name", "receiver_type", "import_hint", "package_or_namespace"]
+BY_WORDS = ["exact", "receiver", "imported", "package", "scope"]
+#: Stages that ask for the caller's place too; names that they leave open have several candidates.
+BY_PLACE = ["namespace_hit", "same_file"]
+
+
+def look_up(calls: DataFrame, indexes: dict[str, Index]) -> DataFrame:
+    """The calls, with what they find at each stage as ``__stage``."""
+    for stage, index in indexes.items():
+        keys = {k: f"__{stage}_{k}" for k in index.on}
+        rows = index.rows.select(*[F.col(k).alias(name) for k, name in keys.items()], F.col("targets").alias(f"__{stage}"))
+        calls = calls.join(rows, reduce(Column.__and__, [index.on[k] == F.col(name) for k, name in keys.items()]), "left").drop(*keys.values())
+    return calls
+
+
+def first_hit(stages: dict[str, Column]) -> Column:
+    """The first of the stages whose column isn't null."""
+    return F.coalesce(*[F.when(c.isNotNull(), F.lit(stage)) for stage, c in stages.items()])
+
+
+def lone(syms: DataFrame) -> DataFrame:
+    """The symbols that no other has the name of, in columns ``only_...``."""
+    tails = F.when(F.col("owner").isNotNull(), _tails(F.col("owner")))
+    about = F.struct("id", "file_path", "qname", "namespace", _segments(F.col("exact_owner"), "::").alias("segments"), tails.alias("tails"))
+    rows = syms.where("name is not null").groupBy("name").agg(F.min(about).alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    return rows.select(F.col("name").alias("only_name"), *[F.col(f"only.{c}").alias(f"only_{c}") for c in ("id", "file_path", "qname", "namespace", "segments", "tails")])
+
+
+def lone_kinds() -> dict[str, Column]:
+    """By stage, the kind of a call's only candidate (``only_...``) if the stage takes it; these are the stages' conditions."""
+    hinted = F.col("import_hint").isNotNull() & path_matches_hint(F.col("only_file_path"), F.col("import_hint"))
+    fits = {
+        "exact": (F.col("only_segments") == _segments(F.col("import_hint"), r"\."), F.lit(EXACT)),
+        "receiver": (F.array_contains("only_tails", F.col("receiver_type")), F.when(hinted, EXACT).otherwise(RECEIVER)),
+        "imported": (hinted, F.lit(PACKAGE)),
+        "package": (F.substring_index("only_qname", "::", 1) == F.col("package_or_namespace"), F.lit(PACKAGE)),
+        "scope": (F.endswith("only_qname", F.concat("ns", F.lit("::"), "only_name")), F.lit(PACKAGE)),
+        "namespace_hit": (F.col("only_namespace") == F.col("caller_namespace"), F.lit(NAMESPACE)),
+        "same_file": (F.col("only_file_path") == F.col("caller_file"), F.lit(SAME_FILE)),
+        "named": (F.col("only_id").isNotNull(), F.lit(NAME_ONLY)),
+    }
+    return {stage: F.when(fit, kind) for stage, (fit, kind) in fits.items()}
+
+
+def answers(calls: DataFrame, syms: DataFrame) -> DataFrame:
+    """What calls say (SAID) of the names of ``syms``, each once, with said and said_stage where that decides."""
+    asks = asked(calls.select(*SAID).distinct()).join(syms.select(F.col("name").alias("simple")).distinct(), "simple", "left_semi")
+    asks = cut(asks)
+    found = look_up(asks, {stage: STAGES[stage](asks, syms) for stage in BY_WORDS})
+    hits = {stage: F.col(f"__{stage}") for stage in BY_WORDS}
+    return found.select(*SAID, F.coalesce(*hits.values()).alias("said"), first_hit(hits).alias("said_stage")).where("said is not null")
 
 
 def resolve(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """The calls, each with targets: array<struct<id, kind>>, empty if unresolved, and stage.
 
-    ``calls`` are read several times, of few columns each: they should be a stored table or as cheap.
+    Names that one symbol has are found by a single join, and the stages are conditions on what it finds. For the others
+    what calls say is resolved once for each combination, and calls look that up as a whole. So a call moves a few times,
+    however many stages there are. ``calls`` are read twice.
     """
     syms = cut(symbols(nodes))
-    out, own = call_keys(calls, syms), asked(calls)
-    for stage, make in STAGES.items():
-        index = make(own, syms)
-        keys = {k: f"__{stage}_{k}" for k in index.on}
-        rows = index.rows.select(*[F.col(k).alias(name) for k, name in keys.items()], F.col("targets").alias(f"__{stage}"))
-        out = out.join(rows, reduce(Column.__and__, [index.on[k] == F.col(name) for k, name in keys.items()]), "left").drop(*keys.values())
-    found = [F.col(f"__{stage}") for stage in STAGES]
-    name = F.coalesce(*[F.when(c.isNotNull(), F.lit(stage)) for stage, c in zip(STAGES, found, strict=True)], F.lit("unresolved"))
-    out = out.withColumns({"targets": F.coalesce(*found, F.array().cast(TARGETS)), "stage": name})
-    return out.drop(*[f"__{stage}" for stage in STAGES])
+    single = cut(lone(syms))
+    shared = cut(syms.where("name is not null").join(single.select(F.col("only_name").alias("name")), "name", "left_anti"))
+    words = cut(answers(calls, shared)).select(*[F.col(c).alias(f"__{c}") for c in SAID], "said", "said_stage")
+    out = asked(calls).join(single, F.col("simple") == F.col("only_name"), "left")
+    out = out.join(words, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SAID]), "left")
+    callers = syms.select(F.col("id").alias("caller_id"), F.col("namespace").alias("caller_namespace"), F.col("file_path").alias("caller_file"))
+    out = out.join(callers, "caller_id", "left")
+    own = lone_kinds()
+    out = out.withColumns({"only_kind": F.coalesce(*own.values()), "only_stage": first_hit(own)})
+    out = look_up(out, {stage: STAGES[stage](calls, shared) for stage in BY_PLACE})
+    places = {stage: F.col(f"__{stage}") for stage in BY_PLACE}
+    only = F.when(F.col("only_id").isNotNull(), F.array(F.struct(F.col("only_id").alias("id"), F.col("only_kind").alias("kind"))).cast(TARGETS))
+    targets = F.coalesce(only, F.col("said"), *places.values(), F.array().cast(TARGETS))
+    stage = F.coalesce("only_stage", "said_stage", first_hit(places), F.lit("unresolved"))
+    return out.select(*[c for c in calls.columns], targets.alias("targets"), stage.alias("stage"))
 
 
 def resolve_in_file(calls: DataFrame, nodes: DataFrame, file_path: str) -> DataFrame:
