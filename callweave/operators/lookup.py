@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.columns import confidence, folded, like_pattern, resolution_label
+from callweave.plans.cut import cut
 
 
 def find_nodes(nodes: DataFrame, name: str | None = None, kind: str | None = None, file_path: str | None = None) -> DataFrame:
@@ -137,12 +138,14 @@ def cross_file_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def k_hop_callers(target: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """id and the least number of calls, up to ``depth``, by which a symbol reaches ``target``. An extension."""
-    reached = target.select("id", F.lit(0).alias("hops")).distinct()
-    rim = reached
+    """id and the least number of calls, up to ``depth``, by which a symbol reaches ``target``. An extension.
+
+    Each rim is stored, so that its size is known before the edges, which are many more, are moved to meet it.
+    """
+    rim = reached = cut(target.select("id", F.lit(0).alias("hops")).distinct())
     for k in range(1, depth + 1):
         step = edges.join(rim.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id")).distinct()
-        rim = step.join(reached, "id", "left_anti").withColumn("hops", F.lit(k))
+        rim = cut(step.join(reached, "id", "left_anti").withColumn("hops", F.lit(k)))
         reached = reached.unionByName(rim)
     return reached
 
