@@ -559,13 +559,18 @@ def vector_top_k(s, d):
 # -- incremental maintenance
 
 
+def _old_files(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """The files before: those with the symbols of every tenth part had another hash."""
+    touched = nodes.where((F.col("start_line") - 1) % 100 == 0).select("file_path").distinct().withColumn("touched", F.lit(True))
+    return files.join(touched, "file_path", "left").withColumn("content_hash", F.when(F.col("touched"), "old").otherwise(F.col("content_hash"))).drop("touched")
+
+
 def _snapshots(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Before: without the symbols of every tenth part and the calls from them. After: all."""
     nodes, calls, files = cut(P.nodes(s, d)), cut(P.raw_calls(s, d)), cut(P.files(s, d))
     old = nodes.where((F.col("start_line") - 1) % 100 != 0)
     kept = calls.join(old.select(F.col("id").alias("caller_id")), "caller_id", "left_semi")
-    old_files = files.join(nodes.where((F.col("start_line") - 1) % 100 == 0).select("file_path").distinct().withColumn("touched", F.lit(True)), "file_path", "left")
-    old_files = old_files.withColumn("content_hash", F.when(F.col("touched"), "old").otherwise(F.col("content_hash"))).drop("touched")
+    old_files = _old_files(nodes, files)
     found = cut(resolve.resolve(kept, old))
     before = {"nodes": old, "files": old_files, "raw_calls": kept, "edges": resolve.edges_of(found), "unresolved_refs": resolve.unresolved_of(found)}
     return before, {"nodes": nodes, "files": files, "raw_calls": calls}
@@ -585,8 +590,8 @@ def incremental_unresolved(s, d):
 
 @query("SELECT DISTINCT file_path FROM nodes WHERE (start_line - 1) % 100 = 0")
 def modified_files(s, d):
-    before, after = _snapshots(s, d)
-    return sync.modified(before["files"], after["files"]).select("file_path")
+    files = cut(P.files(s, d))
+    return sync.modified(_old_files(P.nodes(s, d), files), files).select("file_path")
 
 
 @query(f"SELECT id, col, term, CAST(pos AS INTEGER) AS pos FROM {POST}")
