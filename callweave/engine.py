@@ -40,7 +40,7 @@ class Engine:
         nodes = cut(nodes_of(found))
         calls = sync.known_ends(calls_of(found), nodes, "caller_id")
         calls = cut(calls.select(*schema.names(schema.RAW_CALLS)))
-        resolved = cut(resolve.resolve(calls, nodes))
+        resolved = cut(resolve.resolve(calls, nodes).select(*resolve.FOUND))
         self._say(self.store.write({
             "files": found.where("content_hash is not null"), "nodes": nodes, "raw_calls": calls,
             "edges": sync.known_ends(resolve.edges_of(resolved), nodes, "source_id", "target_id"),

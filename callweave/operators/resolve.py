@@ -231,6 +231,10 @@ def resolve_in_file(calls: DataFrame, nodes: DataFrame, file_path: str) -> DataF
     return resolve(calls.join(own.select(F.col("id").alias("caller_id")), "caller_id", "left_semi"), own)
 
 
+#: What ``edges_of`` and ``unresolved_of`` read: a stored result needs no more.
+FOUND = ["caller_id", "callee_name", "line", "column", "targets"]
+
+
 def edges_of(resolved: DataFrame) -> DataFrame:
     """One edge for each caller and target, of the surest kind."""
     each = resolved.select(F.col("caller_id").alias("source_id"), F.explode("targets").alias("t"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.columns import simple_name
-from callweave.operators.resolve import edges_of, resolve, unresolved_of
+from callweave.operators.resolve import FOUND, edges_of, resolve, unresolved_of
 from callweave.plans.cut import cut
 
 
@@ -68,7 +68,7 @@ def changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> dict[s
     again = cut(calls.join(affected, "caller_id", "left_semi").distinct())
     called = again.select(simple_name(F.col("callee_name")).alias("name")).distinct()
     candidates = nodes.join(called, "name", "left_semi").unionByName(nodes.join(affected.select(F.col("caller_id").alias("id")), "id", "left_semi").select(*nodes.columns))
-    found = cut(resolve(again, cut(candidates.dropDuplicates(["id"]))))
+    found = cut(resolve(again, cut(candidates.dropDuplicates(["id"]))).select(*FOUND))
     sources = affected.select(F.col("caller_id").alias("source_id"))
     callers = candidates.select("id").distinct()
     return {

@@ -571,7 +571,7 @@ def _snapshots(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str,
     old = nodes.where((F.col("start_line") - 1) % 100 != 0)
     kept = calls.join(old.select(F.col("id").alias("caller_id")), "caller_id", "left_semi")
     old_files = _old_files(nodes, files)
-    found = cut(resolve.resolve(kept, old))
+    found = cut(resolve.resolve(kept, old).select(*resolve.FOUND))
     before = {"nodes": old, "files": old_files, "raw_calls": kept, "edges": resolve.edges_of(found), "unresolved_refs": resolve.unresolved_of(found)}
     return before, {"nodes": nodes, "files": files, "raw_calls": calls}
 

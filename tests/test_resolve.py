@@ -3,7 +3,7 @@
 import random
 
 from callweave import queries, schema
-from callweave.operators import lookup, resolve
+from callweave.operators import lookup, resolve, sync
 from callweave.plans import projection
 from tests.test_engine import scalar
 
@@ -56,3 +56,11 @@ def test_modified_files_ask_no_calls(spark, monkeypatch):
     got = {r[0] for r in queries.queries()["modified_files"](spark, SF).collect()}
     nodes = projection.nodes(spark, SF).where("(start_line - 1) % 100 = 0").select("file_path")
     assert got == {r[0] for r in nodes.collect()} and got
+
+
+def test_stored_results_hold_what_is_read(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(sync, "cut", lambda df: kept.append(df.columns) or df)
+    before = projection.graph(spark, SF)
+    sync.changes(before, before)
+    assert [c for c in kept if "targets" in c] == [resolve.FOUND]
