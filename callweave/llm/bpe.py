@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from callweave.llm import memory, scratch
 
 #: Distinct words whose encodings a task keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Texts of characters under it: nothing composes or moves, and lower case is the same in any Unicode version.
 PLAIN = 0x300
 #: Entries of each table of results that a task keeps.
-MEMO = 400_000
+MEMO = 200_000
 #: Rows that a task holds decoded at once.
 ROWS = 256
 
@@ -41,10 +41,12 @@ def unicode_ranges() -> dict[str, list[tuple[int, int]]]:
     """First and last of the library's own letters, numbers and white space; Python has another Unicode version."""
     from tokenizers import Regex, pre_tokenizers
 
-    chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    # in blocks, as what is found of all characters at once takes 60 MB of the driver
+    blocks = ["".join(chr(c) for c in range(at, at + 0x800) if not 0xD800 <= c < 0xE000) for at in range(0, 0x110000, 0x800)]
     ranges = {}
     for name in (r"\p{L}", r"\p{N}", r"\s"):
-        found = sorted(ord(x) for x, _ in pre_tokenizers.Split(Regex(name), "removed", invert=True).pre_tokenize_str(chars))
+        split = pre_tokenizers.Split(Regex(name), "removed", invert=True)
+        found = sorted(ord(x) for chars in blocks if chars for x, _ in split.pre_tokenize_str(chars))
         breaks = [k for k in range(1, len(found)) if found[k] != found[k - 1] + 1]
         ranges[name] = [(found[a], found[b - 1]) for a, b in zip([0, *breaks], [*breaks, len(found)], strict=True)]
     return ranges
@@ -173,41 +175,36 @@ class WordBpe:
         return True
 
     def encode_words(self, words: set[str]) -> None:
-        """Encodings of new words, by one traversal of their trie; a node's place in the automaton goes along."""
-        root: dict = {}
-        for w in words:
-            node = root
-            raw = w.encode("utf-8")
-            for c in raw[:-1]:
-                nxt = node.get(c)
-                if nxt is None:
-                    nxt = node[c] = {}
-                node = nxt
-            node[raw[-1] + 256] = w
+        """Encodings of new words, by one traversal of their trie; a node's place in the automaton goes along.
+
+        Words in order are the trie's leaves in depth-first order, so that only the path to the word at hand is held.
+        """
         met, ends, pairs, size = self.met, self.ends, self.pairs, self.bytes
-        states = [-1]
-        todo: list = [(root, 0, 0)]
-        while todo:
-            node, depth, at = todo.pop()
-            del states[max(depth, 1) :]
-            if depth:
-                states.append(self.last_token(ends[at], depth, states))
-            below = depth + 1
-            for c, child in node.items():
+        states, places, before = [-1], [0], b""
+        for raw, word in sorted((w.encode("utf-8"), w) for w in words):
+            depth, most = 0, min(len(raw), len(before)) - 1
+            while depth < most and raw[depth] == before[depth]:
+                depth += 1
+            before = raw
+            del states[depth + 1 :], places[depth + 1 :]
+            at = places[depth]
+            for c in raw[depth:-1]:
                 nxt = met.get(at * 512 + c)
-                if nxt is None:
-                    nxt = self.move(at, c)
-                if c < 256:
-                    todo.append((child, below, nxt))
-                    continue
-                last = self.last_token(ends[nxt], below, states)
-                out, k = [last], below - size[last]
-                while k:
-                    t = states[k]
-                    out.append(t)
-                    k -= size[t]
-                out.reverse()
-                self.ids[child] = struct.pack(f"<{len(out)}i", *out)
+                at = self.move(at, c) if nxt is None else nxt
+                depth += 1
+                places.append(at)
+                states.append(self.last_token(ends[at], depth, states))
+            nxt = met.get(at * 512 + raw[-1] + 256)
+            if nxt is None:
+                nxt = self.move(at, raw[-1] + 256)
+            last = self.last_token(ends[nxt], depth + 1, states)
+            out, k = [last], depth + 1 - size[last]
+            while k:
+                t = states[k]
+                out.append(t)
+                k -= size[t]
+            out.reverse()
+            self.ids[word] = struct.pack(f"<{len(out)}i", *out)
         if len(pairs) > MEMO:
             pairs.clear()
         if len(met) > MEMO:
@@ -280,6 +277,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         bpe = _LOADED.get(hash(text))
         if bpe is None:
             bpe = _LOADED[hash(text)] = WordBpe(text, ranges)
+            memory.give_back()
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)

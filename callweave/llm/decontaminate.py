@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm import scratch, shingles
+from callweave.llm import memory, scratch, shingles
 
 #: Items whose signatures are sent around at once; more are searched for in further passes.
 BLOCK = 20_000
@@ -164,6 +164,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.75, blo
 
 def _searcher(sent, containment: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory.begin("decontaminate")
         index = sent.value
         for b in batches:
             hits = []
@@ -172,11 +173,12 @@ def _searcher(sent, containment: float):
                     n = len(index.sets[k])
                     hits.append((doc_id, k, shared, n, shared / n))
             yield pd.DataFrame(hits, columns=["doc_id", "item", "n_shared", "n_item", "containment"])
+        del index
+        memory.give_back()
 
     return run
 
 
 def clean(docs: DataFrame, items: DataFrame, containment: float = 0.75) -> DataFrame:
     """The rows of ``docs`` that contain no item, all columns. A null doc_id is kept unless such a row contains one."""
-    hit = find_leaks(docs, items, containment).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    return scratch.without(docs, find_leaks(docs, items, containment))

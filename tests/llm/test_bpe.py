@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -52,3 +53,14 @@ def test_odd_rows(spark, library):
     want = sorted(library.encode(r["text"] or "", add_special_tokens=False).ids for r in df.collect())
     assert sorted(r["ids"] for r in got) == want
     assert bpe.encode(empty_docs(spark), PATH).collect() == []
+
+
+def test_encoding_holds_only_the_path_to_a_word():
+    own = bpe.WordBpe(open(PATH, encoding="utf-8").read(), bpe.unicode_ranges())
+    rng = random.Random(2)
+    words = {"".join(rng.choice("abcdefghij") for _ in range(24)) for _ in range(8000)}
+    tracemalloc.start()
+    own.encode_words(words)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak - held < 8 << 20  # a trie of dictionaries takes over 30 MB
